@@ -5,9 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import hostlens
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# functions for Arrow tasks travel with the job: executors need not have this package installed
+cloudpickle.register_pickle_by_value(hostlens)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
