@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact, minhash, mixing, pii, quality
+from . import chat, decontaminate, exact, minhash, mixing, pii, quality, suffix
 from .common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats all conversations and the probe -7, and reads the digests back from the output."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -52,7 +57,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_decontaminate, op4_mix, op6_pii, op7_minhash, op8_quality, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_chat_format, op3_decontaminate, op4_mix, op6_pii, op7_minhash, op8_quality, op9_exact_dedup)}
 
 ORACLES = {
     "op2_chat_format": r"""
