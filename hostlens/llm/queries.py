@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact, minhash, mixing, pii, quality, suffix
+from . import chat, decontaminate, exact, minhash, mixing, pii, quality, suffix, warc
 from .common import table
 
 
@@ -37,6 +37,12 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages as an archive and reads every record back through the index."""
+    out = warc.read_archive(warc.write_archive(table(spark, sf_dir, "pages")))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii", lambda s: s.kind.isin(*pii.BASE))
@@ -57,7 +63,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_chat_format, op3_decontaminate, op4_mix, op6_pii, op7_minhash, op8_quality, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_chat_format, op3_decontaminate, op4_mix, op5_warc, op6_pii, op7_minhash, op8_quality, op9_exact_dedup)}
 
 ORACLES = {
     "op2_chat_format": r"""
