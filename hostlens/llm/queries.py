@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact, minhash, mixing, pii, quality, suffix, warc
+from . import chat, decontaminate, exact, minhash, mixing, pii, quality, secrets, suffix, warc
 from .common import table
 
 
@@ -63,7 +63,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_chat_format, op3_decontaminate, op4_mix, op5_warc, op6_pii, op7_minhash, op8_quality, op9_exact_dedup)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate with the forest's decision; texts of secrets are not repeated here."""
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(spark)).drop("candidate")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_chat_format, op3_decontaminate, op4_mix, op5_warc, op6_pii, op7_minhash, op8_quality, op9_exact_dedup, op10_secrets)}
 
 ORACLES = {
     "op2_chat_format": r"""
