@@ -92,3 +92,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.join(runs, ["_bucket", "_run"]).select(
         F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_new") & ~F.col("_goes_on")).alias("kept"), F.col("_sha").alias("text_sha256")
     )
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that exact_groups() keeps, with the columns they came with; of rows that repeat id and text, one."""
+    of_id = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit((1 << 63) - 1))
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select(of_id(f"`{id_col}`").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    rows = docs.withColumns({"_kept_id": of_id(f"`{id_col}`"), "_kept_sha": F.sha2(normalised(F.col(f"`{text_col}`")), 256)})
+    out = rows.join(kept.distinct(), ["_kept_id", "_kept_sha"], "left_semi")
+    if not docs.groupBy(F.col(f"`{id_col}`")).count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["_kept_id", "_kept_sha"])
+    return out.select(docs.columns)
