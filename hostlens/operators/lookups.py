@@ -29,18 +29,6 @@ def disk_kinds(physical_disk: DataFrame) -> DataFrame:
     return rows.filter("key <> '' and kind <> ''").groupBy("host_id", "key").agg(F.max_by("kind", "seq").alias("kind"))
 
 
-def with_codes(devices: DataFrame, codes: DataFrame) -> DataFrame:
-    """Adds error_code: devices without a record, or without an id, have 0."""
-    joined = devices.withColumn("key", key(F.col("pnp_device_id"))).join(codes, ["host_id", "key"], "left")
-    return joined.withColumn("error_code", F.coalesce("error_code", F.lit(0))).drop("key")
-
-
-def with_drivers(devices: DataFrame, drivers: DataFrame) -> DataFrame:
-    """Adds version, date and provider of the driver: empty texts where there is none."""
-    joined = devices.withColumn("key", key(F.col("pnp_device_id"))).join(drivers, ["host_id", "key"], "left").drop("key")
-    return joined.fillna("", ["driver_version", "driver_date", "driver_provider"])
-
-
 def first_rows(rows: DataFrame, *columns: str) -> DataFrame:
     """The first row of each host by input order."""
     return rows.groupBy("host_id").agg(F.min_by(F.struct(*columns), "seq").alias("r")).select("host_id", "r.*")

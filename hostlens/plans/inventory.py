@@ -9,28 +9,39 @@ from pyspark.sql import functions as F
 
 from hostlens.functions import devices as d
 from hostlens.functions.values import cim_date, gib, integer, key, parts, tenths, text, unsigned
-from hostlens.operators.lookups import disk_kinds, driver_records, first_rows, pnp_codes, with_codes, with_drivers
+from hostlens.operators.lookups import disk_kinds, driver_records, first_rows, pnp_codes
 
 DEVICE = "host_id src_ord seq category name manufacturer detail pnp_device_id error_code health health_text driver_version driver_date driver_provider".split()
+DRIVER = ("driver_version", "driver_date", "driver_provider")
 SEPARATOR = "  ·  "
 Tables = Mapping[str, DataFrame]
 
 
-def _device(rows: DataFrame, src_ord: int, category: int | Column, **columns: Column | str) -> DataFrame:
-    """The shared schema: what a scan does not set is empty, code -1, working."""
+def _device(rows: DataFrame, src_ord: int, category: int | Column, keyed: bool = False, driven: bool = False, **columns: Column | str) -> DataFrame:
+    """The shared schema: what a scan does not set is empty, code -1, working.
+
+    keyed: code and health come from the lookup by device id; driven: so does the driver.
+    """
     defaults = {c: F.lit("") for c in DEVICE} | {"error_code": F.lit(-1), "health": F.lit("Ok"), "health_text": F.lit(d.WORKS)}
     fixed = {"host_id": F.col("host_id"), "seq": F.col("seq"), "src_ord": F.lit(src_ord), "category": category if isinstance(category, Column) else F.lit(category)}
     given = {k: F.lit(v) if isinstance(v, str) else v for k, v in columns.items()}
-    return rows.select(*[(defaults | given | fixed)[c].alias(c) for c in DEVICE])
-
-
-def _coded() -> dict[str, Column]:
-    code = F.col("error_code")
-    return {"pnp_device_id": F.col("pnp_device_id"), "error_code": code, "health": d.device_health(code), "health_text": d.device_health_text(code)}
+    if keyed:
+        given["pnp_device_id"] = F.col("pnp_device_id")
+    device_key = key(F.col("pnp_device_id")) if keyed else F.lit(None).cast("string")
+    return rows.select(*[(defaults | given | fixed)[c].alias(c) for c in DEVICE], device_key.alias("key"), F.lit(driven).alias("driven"))
 
 
-def _driver() -> dict[str, Column]:
-    return {c: F.col(c) for c in ("driver_version", "driver_date", "driver_provider")}
+def resolve(rows: DataFrame, codes: DataFrame, drivers: DataFrame) -> DataFrame:
+    """Looks up code and driver of all rows of _device() at once: both build sides and the rows have one partitioning, (host_id, key)."""
+    found = rows.join(codes.withColumnRenamed("error_code", "_code"), ["host_id", "key"], "left")
+    found = found.join(drivers.select("host_id", "key", *[F.col(c).alias(f"_{c}") for c in DRIVER]), ["host_id", "key"], "left")
+    keyed, code = F.col("key").isNotNull(), F.coalesce("_code", F.lit(0))
+    basic = keyed & (F.col("health") == "NeedsDriver")  # an adapter on a basic driver: its own state and text stand
+    out = {
+        "error_code": F.when(keyed, code).otherwise(F.col("error_code")), "health": F.when(keyed & ~basic, d.device_health(code)).otherwise(F.col("health")),
+        "health_text": F.when(keyed & ~basic, d.device_health_text(code)).otherwise(F.col("health_text")),
+    } | {c: F.when(F.col("driven"), F.coalesce(f"_{c}", F.lit(""))).otherwise(F.col(c)) for c in DRIVER}
+    return found.select(*[out[c].alias(c) if c in out else F.col(c) for c in DEVICE])
 
 
 def _clean(rows: DataFrame, *names: str) -> DataFrame:
@@ -38,25 +49,26 @@ def _clean(rows: DataFrame, *names: str) -> DataFrame:
 
 
 def processors(t: Tables) -> DataFrame:
-    r = t["processor"]
-    return _device(r, 0, 0, name=text(F.col("name")), manufacturer=text(F.col("manufacturer")), detail=d.cpu_detail(integer(F.col("cores")), integer(F.col("threads")), integer(F.col("max_mhz"))))
+    detail = d.cpu_detail(integer(F.col("cores")), integer(F.col("threads")), integer(F.col("max_mhz")))
+    return _device(t["processor"], 0, 0, name=text(F.col("name")), manufacturer=text(F.col("manufacturer")), detail=detail)
 
 
 def gpus(t: Tables, strict_vendor: bool = False, zone_minutes: int = 0) -> DataFrame:
     """(host_id, seq, name, pnp_device_id, driver_version, driver_date, vendor, vendor_name, vendor_url, hres, vres) of every adapter."""
     r = _clean(t["video_controller"], "name", "pnp_device_id", "adapter_compat", "driver_version")
     vendor = d.gpu_vendor(F.col("pnp_device_id"), F.col("adapter_compat"), F.col("name"), strict_vendor)
-    r = r.select("host_id", "seq", "name", "pnp_device_id", "driver_version", cim_date(F.col("driver_date"), zone_minutes).alias("driver_date"), vendor.alias("vendor"), integer(F.col("hres")).alias("hres"), integer(F.col("vres")).alias("vres"))
+    date = cim_date(F.col("driver_date"), zone_minutes)
+    r = r.select("host_id", "seq", "name", "pnp_device_id", "driver_version", date.alias("driver_date"), vendor.alias("vendor"), integer(F.col("hres")).alias("hres"), integer(F.col("vres")).alias("vres"))
     return r.withColumns({"vendor_name": d.vendor_name(F.col("vendor")), "vendor_url": d.vendor_page(F.col("vendor"))})
 
 
-def graphics(t: Tables, codes: DataFrame, strict_vendor: bool = False, zone_minutes: int = 0) -> DataFrame:
-    """An adapter that runs on a basic driver needs its own, whatever its code says; the code stays."""
-    r = with_codes(gpus(t, strict_vendor, zone_minutes), codes)
-    coded, basic = _coded(), d.basic_adapter(F.col("name"))
-    coded["health"] = F.when(basic, "NeedsDriver").otherwise(coded["health"])
-    coded["health_text"] = F.when(basic, d.BASIC_TEXT).otherwise(coded["health_text"])
-    return _device(r, 1, 1, name=F.col("name"), manufacturer=F.col("vendor_name"), detail=d.resolution(F.col("hres"), F.col("vres")), driver_version=F.col("driver_version"), driver_date=F.col("driver_date"), **coded)
+def graphics(t: Tables, strict_vendor: bool = False, zone_minutes: int = 0) -> DataFrame:
+    """An adapter that runs on a basic driver needs its own, whatever its code says; the code stays. Version and date are its own."""
+    basic = d.basic_adapter(F.col("name"))
+    return _device(
+        gpus(t, strict_vendor, zone_minutes), 1, 1, keyed=True, name=F.col("name"), manufacturer=F.col("vendor_name"), detail=d.resolution(F.col("hres"), F.col("vres")),
+        health=F.when(basic, "NeedsDriver").otherwise("Ok"), health_text=F.when(basic, d.BASIC_TEXT).otherwise(d.WORKS), driver_version=F.col("driver_version"), driver_date=F.col("driver_date"),
+    )
 
 
 def memory(t: Tables) -> DataFrame:
@@ -65,28 +77,28 @@ def memory(t: Tables) -> DataFrame:
     return _device(r, 2, 2, name=name, manufacturer=F.col("manufacturer"), detail=parts(SEPARATOR, F.col("slot"), F.col("part_number")))
 
 
-def storage(t: Tables, codes: DataFrame, drivers: DataFrame) -> DataFrame:
+def storage(t: Tables) -> DataFrame:
+    """Disks, with the kind of medium by their name."""
     r = _clean(t["disk_drive"], "model", "bus", "pnp_device_id")
     r = r.withColumn("key", key(F.col("model"))).join(disk_kinds(t["physical_disk"]), ["host_id", "key"], "left").drop("key")
-    r = with_codes(with_drivers(r, drivers), codes)
     detail = parts(SEPARATOR, d.disk_size(unsigned(F.col("size_bytes"))), F.coalesce("kind", F.lit("")), F.col("bus"))
-    return _device(r, 3, 3, name=F.col("model"), detail=detail, **_coded(), **_driver())
+    return _device(r, 3, 3, keyed=True, driven=True, name=F.col("model"), detail=detail)
 
 
-def network(t: Tables, codes: DataFrame, drivers: DataFrame) -> DataFrame:
+def network(t: Tables) -> DataFrame:
     """Physical adapters with a device id."""
     r = _clean(t["network_adapter"].filter("physical_adapter"), "name", "manufacturer", "mac", "pnp_device_id").filter("pnp_device_id <> ''")
-    r = with_codes(with_drivers(r, drivers), codes)
-    return _device(r, 4, 4, name=F.col("name"), manufacturer=F.col("manufacturer"), detail=parts(SEPARATOR, d.connection(integer(F.col("conn_status"), -1)), F.col("mac")), **_coded(), **_driver())
+    detail = parts(SEPARATOR, d.connection(integer(F.col("conn_status"), -1)), F.col("mac"))
+    return _device(r, 4, 4, keyed=True, driven=True, name=F.col("name"), manufacturer=F.col("manufacturer"), detail=detail)
 
 
-def _plain(rows: DataFrame, codes: DataFrame, drivers: DataFrame, src_ord: int, category: int) -> DataFrame:
-    r = with_codes(with_drivers(_clean(rows.drop("error_code"), "name", "manufacturer", "pnp_device_id"), drivers), codes)
-    return _device(r, src_ord, category, name=F.col("name"), manufacturer=F.col("manufacturer"), **_coded(), **_driver())
+def _plain(rows: DataFrame, src_ord: int, category: int, driven: bool) -> DataFrame:
+    r = _clean(rows, "name", "manufacturer", "pnp_device_id")
+    return _device(r, src_ord, category, keyed=True, driven=driven, name=F.col("name"), manufacturer=F.col("manufacturer"))
 
 
-def audio(t: Tables, codes: DataFrame, drivers: DataFrame) -> DataFrame:
-    return _plain(t["sound_device"], codes, drivers, 5, 5)
+def audio(t: Tables) -> DataFrame:
+    return _plain(t["sound_device"], 5, 5, True)
 
 
 def boards(t: Tables) -> DataFrame:
@@ -99,27 +111,24 @@ def firmware(t: Tables, zone_minutes: int = 0) -> DataFrame:
     return _device(r, 7, 7, name=F.col("version"), manufacturer=F.col("manufacturer"), detail=cim_date(F.col("release_date"), zone_minutes), health_text=d.NONE)
 
 
-def monitors(t: Tables, codes: DataFrame) -> DataFrame:
-    r = with_codes(_clean(t["desktop_monitor"], "name", "manufacturer", "pnp_device_id").filter("name <> ''"), codes)
-    return _device(r, 8, 8, name=F.col("name"), manufacturer=F.col("manufacturer"), **_coded())
+def monitors(t: Tables) -> DataFrame:
+    """Monitors with a name; their drivers are not looked up."""
+    return _plain(t["desktop_monitor"].filter(text(F.col("name")) != ""), 8, 8, False)
 
 
-def usb(t: Tables, codes: DataFrame, drivers: DataFrame) -> DataFrame:
-    return _plain(t["usb_controller"], codes, drivers, 9, 9)
+def usb(t: Tables) -> DataFrame:
+    return _plain(t["usb_controller"], 9, 9, True)
 
 
 def typed_inventory(t: Tables, codes: DataFrame | None = None, drivers: DataFrame | None = None, strict_vendor: bool = False, zone_minutes: int = 0) -> DataFrame:
     """All typed scans, duplicates kept."""
     codes = pnp_codes(t["pnp_entity"]) if codes is None else codes
     drivers = driver_records(t["signed_driver"], zone_minutes) if drivers is None else drivers
-    scans = [
-        processors(t), graphics(t, codes, strict_vendor, zone_minutes), memory(t), storage(t, codes, drivers), network(t, codes, drivers), audio(t, codes, drivers), boards(t),
-        firmware(t, zone_minutes), monitors(t, codes), usb(t, codes, drivers),
-    ]
+    scans = [processors(t), graphics(t, strict_vendor, zone_minutes), memory(t), storage(t), network(t), audio(t), boards(t), firmware(t, zone_minutes), monitors(t), usb(t)]
     out = scans[0]
     for s in scans[1:]:
         out = out.unionByName(s)
-    return out
+    return resolve(out, codes, drivers)
 
 
 def reported_keys(t: Tables) -> DataFrame:
@@ -138,13 +147,15 @@ def problem_devices(t: Tables, drivers: DataFrame | None = None, zone_minutes: i
     drivers = driver_records(t["signed_driver"], zone_minutes) if drivers is None else drivers
     rows = _clean(t["pnp_entity"], "pnp_device_id").filter("pnp_device_id <> '' and error_code > 0").withColumn("key", key(F.col("pnp_device_id")))
     rows = rows.join(reported_keys(t), ["host_id", "key"], "left_anti")
-    rows = rows.groupBy("host_id", "key").agg(F.min_by(F.struct("seq", "pnp_device_id", "name", "pnp_class", "error_code", "manufacturer"), "seq").alias("r")).select("host_id", "r.*")
-    r = with_drivers(_clean(rows, "name", "pnp_class", "manufacturer"), drivers)
+    first = F.min_by(F.struct("seq", "pnp_device_id", "name", "pnp_class", "error_code", "manufacturer"), "seq")
+    rows = rows.groupBy("host_id", "key").agg(first.alias("r")).join(drivers, ["host_id", "key"], "left").select("host_id", "r.*", *DRIVER)
+    rows = _clean(rows, "name", "pnp_class", "manufacturer").fillna("", list(DRIVER))
     code = F.col("error_code")
-    return _device(
-        r, 10, d.pnp_category(F.col("pnp_class")), name=F.when(F.col("name") == "", d.NO_NAME).otherwise(F.col("name")), manufacturer=F.col("manufacturer"), pnp_device_id=F.col("pnp_device_id"),
-        error_code=code, health=d.classify(code), health_text=d.describe(code), **_driver(),
+    out = _device(
+        rows, 10, d.pnp_category(F.col("pnp_class")), name=F.when(F.col("name") == "", d.NO_NAME).otherwise(F.col("name")), manufacturer=F.col("manufacturer"), pnp_device_id=F.col("pnp_device_id"),
+        error_code=code, health=d.classify(code), health_text=d.describe(code), **{c: F.col(c) for c in DRIVER},
     )
+    return out.select(DEVICE)
 
 
 def full_inventory(t: Tables, strict_vendor: bool = False, zone_minutes: int = 0) -> DataFrame:

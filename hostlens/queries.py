@@ -28,6 +28,10 @@ def _hosts(t: Derived) -> DataFrame:
     return t["computer_system"].select("host_id").distinct()
 
 
+def _resolved(rows: DataFrame, t: Derived) -> DataFrame:
+    return inv.resolve(rows, lookups.pnp_codes(t["pnp_entity"]), lookups.driver_records(t["signed_driver"]))
+
+
 @query
 def pnp_last_wins(t):
     return lookups.pnp_codes(t["pnp_entity"])
@@ -40,7 +44,7 @@ def driver_first_wins(t):
 
 @query
 def network_scan(t):
-    return inv.network(t, lookups.pnp_codes(t["pnp_entity"]), lookups.driver_records(t["signed_driver"])).drop("src_ord")
+    return _resolved(inv.network(t), t).drop("src_ord")
 
 
 @query
@@ -118,7 +122,7 @@ def gpu_list(t):
 
 @query
 def basic_display(t):
-    return inv.graphics(t, lookups.pnp_codes(t["pnp_entity"])).select("host_id", "seq", "error_code", "health", "health_text", "detail", d.basic_adapter(F.col("name")).alias("basic"))
+    return _resolved(inv.graphics(t), t).select("host_id", "seq", "error_code", "health", "health_text", "detail", d.basic_adapter(F.col("name")).alias("basic"))
 
 
 @query
@@ -133,7 +137,7 @@ def disk_media(t):
 
 @query
 def disk_text(t):
-    return inv.storage(t, lookups.pnp_codes(t["pnp_entity"]), lookups.driver_records(t["signed_driver"])).select("host_id", "seq", "name", "detail", "error_code", "driver_version")
+    return _resolved(inv.storage(t), t).select("host_id", "seq", "name", "detail", "error_code", "driver_version")
 
 
 @query
