@@ -31,6 +31,8 @@ SIMILARITY = 0.8
 LEAST_AGREEMENT = 0.65
 #: Rows of one bucket that one task compares.
 BLOCK = 1000
+#: Pairs of the last round must also agree in this share of the places of a longer signature: at similarity 0.8, 4 deviations below it.
+SHARP, LEAST_SHARP = 1024, 0.75
 _SCALE = np.float64(2.0**-53)
 
 
@@ -123,35 +125,61 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def _across(buckets: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of rows of one bucket, of different roots and with similar signatures. Large buckets go to tasks block by block."""
-    spark = buckets.sparkSession
-    sizes = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = buckets.join(sizes.select("band", "key", blocks.alias("blocks")), ["band", "key"])
+def _mixed(rooted: DataFrame) -> DataFrame:
+    """(band, key, n) of the buckets whose documents are of several classes; n: of documents."""
+    parts = rooted.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("m"))
+    return parts.groupBy("band", "key").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("band", "key", "n")
+
+
+def _sharp(docs: DataFrame) -> DataFrame:
+    """(doc_id, sharp): a longer signature for the few documents whose pairs are many, one byte a place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                times = signatures(*bags(plain_texts(part.column(1))), part.num_rows, SHARP)
+                sig = np.ascontiguousarray((mixed(times.view(np.uint64)) & np.uint64(255)).astype(np.uint8))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "sharp"])
+
+    return docs.mapInArrow(run, "doc_id bigint, sharp binary")
+
+
+def _across(rooted: DataFrame, mixed_buckets: DataFrame, signed: DataFrame, sharp: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of documents of one bucket, of different classes and with similar signatures.
+
+    Large buckets go to tasks block by block. A pair that meets in several bands comes from the first of them.
+    """
+    spark = rooted.sparkSession
+    rows = rooted.join(mixed_buckets.select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), ["band", "key"])
+    rows = rows.join(signed.select("doc_id", "sig", "bands"), "doc_id").join(sharp, "doc_id")
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "doc_id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "root", "sig")
+    rows = rows.select("band", "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "root", "sig", "bands", "sharp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, group = [], None
 
         def pairs() -> Iterator[pa.RecordBatch]:
-            _, _, x, y = group
+            band, _, x, y = group
             block = np.array([r[0] for r in left])
             ids, roots = np.array([r[1] for r in left]), np.array([r[2] for r in left])
             sigs = np.frombuffer(b"".join(r[3] for r in left), np.uint8).reshape(len(left), -1)
+            sharps = np.frombuffer(b"".join(r[5] for r in left), np.uint8).reshape(len(left), -1)
+            earlier = np.array([r[4][:band] for r in left], np.int64).reshape(len(left), band)
             for i in range(len(left)):
                 if x != y and block[i] != x:
                     continue
                 js = np.flatnonzero(((block == y) if x != y else (np.arange(len(left)) > i)) & (roots != roots[i]))
                 js = js[(sigs[js] == sigs[i]).mean(axis=1) >= LEAST_AGREEMENT] if len(js) else js
+                js = js[~(earlier[js] == earlier[i]).any(axis=1)] if len(js) else js
+                js = js[(sharps[js] == sharps[i]).mean(axis=1) >= LEAST_SHARP] if len(js) else js
                 if len(js):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[js], ids[i])), pa.array(np.maximum(ids[js], ids[i]))], ["a", "b"])
 
         for batch in batches:
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
-            for key, row in zip(keys, zip(*(batch.column(k).to_pylist() for k in range(4, 8)))):
+            for key, row in zip(keys, zip(*(batch.column(k).to_pylist() for k in range(4, 10)))):
                 if key != group:
                     if len(left) > 1:
                         yield from pairs()
@@ -183,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = signed.groupBy("bag").agg(F.min("doc_id").alias("rep"))
     members = signed.select("doc_id", "bag").join(reps, "bag").select("doc_id", "rep")
     alone = signed.join(reps, (signed.bag == reps.bag) & (signed.doc_id == reps.rep), "left_semi").filter("n_shingles > 0")
-    buckets = alone.select("doc_id", "sig", F.posexplode("bands").alias("band", "key"))
+    buckets = alone.select("doc_id", F.posexplode("bands").alias("band", "key"))
     met = buckets.groupBy("band", "key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).filter("center <> last").select("band", "key", "center")
     buckets = written(buckets.join(met, ["band", "key"]))
 
@@ -194,11 +222,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(_verified(star, texts, similarity))
 
     found = components(links)
-    rooted = buckets.join(found, buckets.doc_id == found.id, "left").select("band", "key", "doc_id", F.coalesce("root", "doc_id").alias("root"), "sig")
-    more = _across(rooted).join(star, ["a", "b"], "left_anti")
-    more = written(_verified(written(more), texts, similarity))
-    if not more.isEmpty():
-        found = components(links.select("a", "b").union(more.select("a", "b")))
+    rooted = written(buckets.join(found, buckets.doc_id == found.id, "left").select("band", "key", "doc_id", F.coalesce("root", "doc_id").alias("root")))
+    among = written(_mixed(rooted))
+    if not among.isEmpty():
+        sharp = written(_sharp(texts.join(rooted.join(among, ["band", "key"]).select("doc_id").distinct(), "doc_id", "left_semi")))
+        more = _across(rooted, among, signed, sharp).join(star, ["a", "b"], "left_anti")
+        more = written(_verified(written(more), texts, similarity))
+        if not more.isEmpty():
+            found = components(links.select("a", "b").union(more.select("a", "b")))
     # a representative without links is its own class
     classes = members.join(found, members.rep == found.id, "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
     classes = written(classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id")))
