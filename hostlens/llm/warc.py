@@ -229,7 +229,7 @@ def lookup(archive: Archive, urls: DataFrame, url_col: str = "url") -> DataFrame
     folder = archive.folder
     rows = archive.manifest.orderBy("first_key", "last_key", "part").collect()
     firsts, lasts = [r.first_key for r in rows], [r.last_key for r in rows]
-    places = [(r.warc, r.index, r.directory_at, r.directory_bytes) for r in rows]
+    places = [(r["warc"], r["index"], r["directory_at"], r["directory_bytes"]) for r in rows]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The files whose range of keys holds a key."""
