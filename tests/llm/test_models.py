@@ -1,0 +1,127 @@
+"""Quality classifier, secrets, WARC archives."""
+
+import base64
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from hostlens.llm import quality, secrets, warc
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    scored = quality.classify(docs, labels)
+    assert scored.count() == docs.count()
+    held = scored.join(labels, "doc_id").filter("held_out and quality is not null")
+    row = held.agg(F.count("*").alias("n"), F.avg((F.col("predicted") == F.col("quality")).cast("int")).alias("acc"), F.min("score").alias("lo"), F.max("score").alias("hi")).first()
+    assert row.n > 30 and row.acc > 0.9 and 0 <= row.lo <= row.hi <= 1
+
+
+def test_no_labels_and_odd_texts(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None), (None, "x"), (3, "w " * 50_000), (3, "w")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.score for r in quality.classify(docs, none).collect()} == {0.5}
+    assert quality.filter_quality(docs, none).count() == 5
+    some = spark.createDataFrame([(1, 0, 0), (3, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    assert quality.classify(docs, some).filter("score is null or isnan(score)").count() == 0
+
+
+def test_statistics_do_not_depend_on_neighbours():
+    texts = ["", "One two, two.\n", "Été || \U0001f600", "x" * 1000]
+    whole = quality.statistics(pa.array(texts))
+    assert np.allclose(whole, np.vstack([quality.statistics(pa.array([t])) for t in texts]))
+
+
+def test_isotonic():
+    x, y = quality.isotonic(np.array([3.0, 1, 2, 4]), np.array([0.0, 0, 1, 1]))
+    assert list(y) == sorted(y) and np.allclose(y, [0, 0.5, 1])
+
+
+def test_forest_on_fresh_findings(spark):
+    model = secrets.train(spark)
+    fresh = secrets.labelled_findings(600, seed=4)
+    df = spark.createDataFrame([(secrets.features(*x[:5]), float(x[5])) for x in fresh], "x array<double>, label double")
+    right = model.transform(df.withColumn("features", secrets.array_to_vector("x"))).filter("prediction = label").count()
+    assert right / len(fresh) > 0.97
+    docs = spark.createDataFrame(
+        [(1, 'see token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" here', "src"), (2, "commit 3fdf5a35c7b8d733c0b5c7d364eda8ac88d929d1 fixes", "docs"), (3, None, None), (4, "", "x"), (5, "plain words only", "x"), (5, "password: ${PASSWORD}", "x")],
+        "doc_id long, text string, source string",
+    )
+    got = {r.doc_id: (r.kept, r.end - r.start) for r in secrets.scan(docs, model).collect()}
+    assert got[1] == (True, 40) and got[2][0] is False and not got[5][0] and set(got) == {1, 2, 5}
+    long = spark.createDataFrame([(1, "ab1" * 100_000, "s")], "doc_id long, text string, source string")
+    assert secrets.scan(long, model).first().end == 300_000
+    own = spark.createDataFrame([*fresh, ("token", None, "", "", "", 1)], "kind string, candidate string, before string, after string, path string, label int")
+    assert secrets.scan(docs.limit(0), secrets.train(spark, own)).count() == 0
+
+
+def test_proposals_do_not_overlap():
+    text = 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" -----BEGIN RSA PRIVATE KEY----- abcd1234abcd1234abcd'
+    spans = secrets.propose(text)
+    assert [k for *_, k in spans] == ["assigned", "private_key", "token"] and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert secrets.dictionary_coverage("tokenfilename") == pytest.approx(13 / 13) and secrets.dictionary_coverage("") == 0
+
+
+@pytest.fixture(scope="module")
+def archive(spark):
+    rng = random.Random(3)
+    rows = [(i, f"http://h{i % 7}.Example.org:80/p?{i}" if i % 9 else "http://hot.org/", rng.choice(["same", "", None, f"<p>é {i}</p>" * (i % 40)])) for i in range(400)]
+    rows += [(5, "http://x.org/", "repeat"), (5, "http://x.org/", "repeat"), (None, None, "no id"), (500, "odd\r\nurl", "no id"), (501, "http://x.org/", "no id")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, record_type string")
+    return rows, warc.write_archive(df)
+
+
+def test_read_back(spark, archive):
+    rows, stored = archive
+    least = {}
+    for i, _, h in rows:
+        if i is not None:
+            least[h or ""] = min(i, least.get(h or "", i))
+    want = []
+    for i, u, h in rows:
+        payload = (h or "").encode()
+        first = least.get(h or "", i)
+        revisit = i is not None and i > first
+        want.append((i, u or "", len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), "revisit" if revisit else "response", first if revisit else None, None if revisit else h or ""))
+    got = [(r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.payload) for r in warc.read_archive(stored).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_lookup_equals_scan(spark, archive):
+    rows, stored = archive
+    asked = ["http://hot.org/", "http://h3.example.ORG/p?3", "http://nowhere.org/", "odd\r\nurl", None]
+    got = warc.lookup(stored, spark.createDataFrame([(u,) for u in asked], "url string")).collect()
+    hot = {i for i, u, _ in rows if u == "http://hot.org/"}
+    assert {r.page_id for r in got if r.query_url == "http://hot.org/"} == hot
+    assert [r.page_id for r in got if r.query_url == "http://h3.example.ORG/p?3"] == [3]
+    assert {r.query_url for r in got} == {"http://hot.org/", "http://h3.example.ORG/p?3", "odd\r\nurl", ""}
+
+
+def test_small_blocks_and_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "BLOCK_RECORDS", 3)
+    df = spark.range(50).select(F.col("id").alias("page_id"), F.lit("http://one.org/").alias("url"), F.concat(F.lit("p"), F.col("id")).alias("html"))
+    stored = warc.write_archive(df, folder=f"file://{tmp_path}")
+    assert warc.read_archive(stored).count() == 50 and stored.manifest.agg(F.sum("blocks")).first()[0] >= 17
+    assert warc.lookup(stored, spark.createDataFrame([("http://one.org/",)], "url string")).count() == 50
+    data = b"".join(p.read_bytes() for p in tmp_path.glob("*.warc.gz"))
+    n = 0
+    while data:  # gzip members, one a record
+        d = zlib.decompressobj(31)
+        record = d.decompress(data)
+        assert record.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and record.endswith(b"\r\n\r\n")
+        data, n = d.unused_data, n + 1
+    assert n == 50
+    assert warc.read_archive(warc.write_archive(df.limit(0))).count() == 0
+
+
+def test_url_key(spark):
+    urls = ["http://a.B.org:80/X?y", "https://u:p@c.org", "no url", None, "http://h.org#f"]
+    got = [r.k for r in spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").orderBy("i").select(warc.url_key(F.col("u")).alias("k")).collect()]
+    assert got == ["org,b,a)/X?y", "org,c)", "no url", "", "org,h)#f"]
