@@ -30,13 +30,15 @@ LENGTH = 100
 #: Bytes of an anchor, level by level; the last level's anchors are whole windows.
 ANCHORS = (20, 80, 100)
 #: Anchors with more different surroundings than this go to the next level.
-SPLIT = 20_000
+SPLIT = 8_000
 #: Documents that a hash of the id draws to find anchors in more than HOT of all documents. This decides only how rows are dealt.
 SAMPLE, HOT = 4000, 0.02
 #: Tasks over which such an anchor's rows are dealt.
 SALTS = 64
 #: Rows that one scan holds at once, besides a group.
-CHUNK = 40_000
+CHUNK = 8_000
+#: Bytes of text at once in a task, or one longer text: about twenty numbers for each byte are held.
+SLICE = 1 << 18
 
 _rng = np.random.default_rng(3)
 _SYMBOLS = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -48,7 +50,7 @@ _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, SLICE)
         step = lambda b: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64))])
         _powers = step(_BASE), step(_INVERSE)
     return _powers
@@ -131,7 +133,7 @@ def _rows(b: Bytes, ids: np.ndarray, doc: np.ndarray, position: np.ndarray, k: i
 
 def _anchor_rows(docs: DataFrame, length: int, hot: dict | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", SLICE):
             b = Bytes(batch.column(1))
             yield _rows(b, np.asarray(batch.column(0)), *b.anchors(ANCHORS[0], length), ANCHORS[0], length, hot)
 
@@ -156,43 +158,47 @@ def _hot(docs: DataFrame, length: int) -> dict:
 
 
 def _scanned(rows: DataFrame, split: int) -> DataFrame:
-    """The rows that matter, with: first (of its surroundings), repeated (they occur more than once), spread (the anchor has several surroundings), common (too many for one task)."""
+    """The rows that matter, with: first (of its surroundings), repeated (they occur more than once), spread (the anchor has several surroundings), common (too many for one task).
+
+    Rows of hot surroundings are known beforehand: `hot` is set on all, `again` on all but the first.
+    """
     order = Window.partitionBy("h", "salt").orderBy("c", "doc_id", "pos")
     whole = Window.partitionBy("h", "salt").orderBy("c", "doc_id", "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("_before", F.lag("c").over(order)).withColumn("_after", F.lead("c").over(order))
-    rows = rows.withColumn("first", F.col("_before").isNull() | (F.col("_before") != F.col("c")))
+    rows = rows.withColumn("first", ~F.col("again") & (F.col("_before").isNull() | (F.col("_before") != F.col("c"))))
     rows = rows.withColumn("_n", F.sum(F.col("first").cast("int")).over(whole))
-    rows = rows.withColumn("repeated", ~F.col("first") | F.coalesce(F.col("_after") == F.col("c"), F.lit(False))).withColumn("common", (F.col("salt") > 0) | (F.col("_n") > split))
+    rows = rows.withColumn("repeated", F.col("hot") | ~F.col("first") | F.coalesce(F.col("_after") == F.col("c"), F.lit(False))).withColumn("common", (F.col("salt") > 0) | (F.col("_n") > split))
     rows = rows.withColumn("spread", F.col("first") & ((F.col("_n") > 1) | F.col("common")))
     return rows.filter("repeated or spread").select("h", "c", "doc_id", "pos", "reach", "first", "repeated", "spread", "common")
 
 
-def _hot_occurrences(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(all occurrences of the hot surroundings, their first ones): a minimum combined before the shuffle; the few minima are broadcast."""
-    place = F.struct("doc_id", "pos")
-    hot = rows.filter("hot")
-    firsts = hot.groupBy("h", "c").agg(F.min(F.struct("doc_id", "pos", "reach", "salt")).alias("f"))
-    firsts = written(firsts.select("h", "c", "f.*", F.lit(False).alias("hot")))
-    known = firsts.select(F.col("h").alias("_h"), F.col("c").alias("_c"), F.struct("doc_id", "pos").alias("_f"))
-    every = hot.join(F.broadcast(known), (hot.h == known._h) & (hot.c == known._c)).select("h", "c", "doc_id", "pos", "reach", (place == F.col("_f")).alias("first"))
-    return every, firsts
+def _marked(rows: DataFrame) -> DataFrame:
+    """Adds `again` to rows of hot surroundings that are not their first, and deals those out evenly: they need no comparison.
+
+    The first ones are a minimum combined before the shuffle; there are few, and they are broadcast.
+    """
+    firsts = rows.filter("hot").groupBy("h", "c").agg(F.min(F.struct("doc_id", "pos")).alias("_f"))
+    firsts = written(firsts).withColumnsRenamed({"h": "_h", "c": "_c"})
+    found = rows.join(F.broadcast(firsts), F.col("hot") & (rows.h == firsts._h) & (rows.c == firsts._c), "left").withColumn("again", F.coalesce(F.struct("doc_id", "pos") != F.col("_f"), F.lit(False)))
+    dealt = F.when(F.col("again"), SALTS + 1 + F.pmod(F.xxhash64("doc_id", "pos"), F.lit(1 << 20))).otherwise(F.col("salt")).cast("int")
+    return found.withColumn("salt", dealt).drop("_h", "_c", "_f")
 
 
-CONTEXTS = "h bigint, doc_id bigint, pos bigint, right binary, left binary"
+CONTEXTS = "h bigint, doc_id bigint, pos bigint, right binary, left binary, around bigint"
 
 
 def _with_texts(spots: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, text, at): the places of each document, beside its text."""
-    at = spots.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h")).alias("at"))
-    return docs.join(at, "doc_id").select("doc_id", "text", F.col("at.pos").alias("pos"), F.col("at.h").alias("h"))
+    at = spots.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h", "around")).alias("at"))
+    return docs.join(at, "doc_id").select("doc_id", "text", F.col("at.pos").alias("pos"), F.col("at.h").alias("h"), F.col("at.around").alias("around"))
 
 
-def _places(batch: pa.RecordBatch) -> tuple[Bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """(the texts, text number, position in the batch, anchor) of the rows of _with_texts()."""
+def _places(batch: pa.RecordBatch) -> tuple[Bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(the texts, text number, position in the batch, anchor, surroundings) of the rows of _with_texts()."""
     b = Bytes(batch.column(1))
     n = np.diff(np.asarray(batch.column(2).offsets))
     doc = np.repeat(np.arange(len(n)), n)
-    return b, doc, b.starts[doc] + np.asarray(batch.column(2).flatten()), np.asarray(batch.column(3).flatten())
+    return b, doc, b.starts[doc] + np.asarray(batch.column(2).flatten()), np.asarray(batch.column(3).flatten()), np.asarray(batch.column(4).flatten())
 
 
 def _cut(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, back: bool = False) -> pa.Array:
@@ -207,13 +213,13 @@ def _contexts(spots: DataFrame, docs: DataFrame, k: int, length: int) -> DataFra
     """The bytes around each place: to the right from the anchor's start, to the left backwards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            b, doc, position, h = _places(batch)
+        for batch in slices(batches, "text", SLICE):
+            b, doc, position, h, around = _places(batch)
             for a in range(0, len(doc), CHUNK):
                 d, p = doc[a : a + CHUNK], position[a : a + CHUNK]
                 right = _cut(b.data, p, np.minimum(p + length, b.ends[d]))
                 left = _cut(b.data, np.maximum(p - (length - k), b.starts[d]), p, back=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h[a : a + CHUNK]), batch.column(0).take(pa.array(d)), pa.array(p - b.starts[d]), right, left], ["h", "doc_id", "pos", "right", "left"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[a : a + CHUNK]), batch.column(0).take(pa.array(d)), pa.array(p - b.starts[d]), right, left, pa.array(around[a : a + CHUNK])], ["h", "doc_id", "pos", "right", "left", "around"])
 
     return _with_texts(spots, docs).mapInArrow(run, CONTEXTS)
 
@@ -224,8 +230,8 @@ def _longer(spots: DataFrame, docs: DataFrame, k: int, longer: int, length: int)
     shifts = np.arange(0, length - k + 1, step) - (length - k) + step - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            b, doc, position, _ = _places(batch)
+        for batch in slices(batches, "text", SLICE):
+            b, doc, position, *_ = _places(batch)
             d = np.repeat(doc, len(shifts))
             p = (position[:, None] + shifts).ravel()
             inside = (p >= b.starts[d]) & (p + longer <= b.ends[d])
@@ -263,15 +269,23 @@ def _padded(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     n = np.diff(offsets)
     out = np.zeros((len(column), max(width, 1)), np.uint8)
-    out[np.repeat(np.arange(len(n)), n), ranges(n)] = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[: offsets[-1]] if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    full = (n == width) & (n > 0)
+    if full.any():
+        out[full] = np.lib.stride_tricks.sliding_window_view(data, width)[offsets[:-1][full]]
+    short = np.flatnonzero(~full)
+    out[np.repeat(short, n[short]), ranges(n[short])] = data[np.repeat(offsets[:-1][short], n[short]) + ranges(n[short])]
     return out, n
 
 
-def maximal_repeats(h: np.ndarray, right: np.ndarray, n_right: np.ndarray, left: np.ndarray, n_left: np.ndarray, k: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(group, row, bytes to the left, bytes to the right) of the repeats of at least `length` bytes, each with all its rows.
+def maximal_repeats(h: np.ndarray, right: np.ndarray, n_right: np.ndarray, left: np.ndarray, n_left: np.ndarray, k: int, length: int, order: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(group, row, bytes to the left, bytes to the right) of the repeats of at least `length` bytes, each with all its rows; some groups at a time.
 
     Rows are sorted by (h, right). A group's rows agree in its bytes, follow differently (they come from different children of
     an interval) and are preceded differently (they are an interval of the rows sorted by what stands before them).
+
+    With the rows' places in `order`, only what removal needs: rows that are not the first of their group, unless the bytes
+    lie inside those of an earlier group of the same row. Children come before their parents, so that reach to the right only falls.
     """
     n = len(h)
     lcp = np.zeros(n, np.int64)
@@ -280,49 +294,66 @@ def maximal_repeats(h: np.ndarray, right: np.ndarray, n_right: np.ndarray, left:
     two = nodes[nodes[:, 2] - nodes[:, 1] == 1]
     before = common_prefix(left[two[:, 1]], left[two[:, 2]], n_left[two[:, 1]], n_left[two[:, 2]])
     two, before = two[before + two[:, 0] >= length], before[before + two[:, 0] >= length]
-    groups = [np.repeat(np.arange(len(two)), 2)]
-    members, lefts, rights = [two[:, 1:].ravel()], [np.repeat(before, 2)], [np.repeat(two[:, 0], 2)]
-    order = np.lexsort((n_left, left.view(f"S{left.shape[1]}").ravel()))
+    covered = np.full(n, -1)
+    if order is None:
+        yield np.repeat(np.arange(len(two)), 2), two[:, 1:].ravel(), np.repeat(before, 2), np.repeat(two[:, 0], 2)
+    else:
+        later = np.where(order[two[:, 1]] < order[two[:, 2]], two[:, 2], two[:, 1])
+        covered[later] = before
+        yield np.arange(len(two)), later, before, two[:, 0]
+    by_left = np.lexsort((n_left, left.view(f"S{left.shape[1]}").ravel()))
     rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    g = len(two)
+    rank[by_left] = np.arange(n)
+    held: list[tuple[np.ndarray, ...]] = []
+    size, g = 0, len(two)
     for value, first, last in nodes[nodes[:, 2] - nodes[:, 1] > 1]:
         rows = np.arange(first, last + 1)
         child = np.concatenate([[0], np.cumsum(lcp[first + 1 : last + 1] == value)])
-        by_left = np.argsort(rank[first : last + 1])
-        rows, child = rows[by_left], child[by_left]
+        sort = np.argsort(rank[first : last + 1])
+        rows, child = rows[sort], child[sort]
         shared = np.zeros(len(rows), np.int64)
         shared[1:] = common_prefix(left[rows[1:]], left[rows[:-1]], n_left[rows[1:]], n_left[rows[:-1]])
-        least = max(length - value, 0)
         # values are one too high from here on, so that 0 shared bytes make an interval where the right side alone is long enough
-        found = prefix_intervals(shared + 1, least + 1)
-        for v, a, b in found:
-            if child[a : b + 1].min() != child[a : b + 1].max():
-                groups.append(np.full(b - a + 1, g))
-                members.append(rows[a : b + 1])
-                lefts.append(np.full(b - a + 1, v - 1))
-                rights.append(np.full(b - a + 1, value))
-                g += 1
-    return tuple(map(np.concatenate, (groups, members, lefts, rights)))
+        for v, a, b in prefix_intervals(shared + 1, max(length - value, 0) + 1):
+            members = rows[a : b + 1]
+            if (child[a : b + 1] == child[a]).all():
+                continue
+            if order is not None:
+                members = members[(order[members] != order[members].min()) & (covered[members] < v - 1)]
+                covered[members] = v - 1
+            held.append((np.full(len(members), g), members, np.full(len(members), v - 1), np.full(len(members), value)))
+            size, g = size + len(members), g + 1
+            if size >= 4 * CHUNK:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, size = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
 
+REPEATS = "repeat bigint, doc_id bigint, start bigint, length int, first boolean, around bigint, shift int"
 
-REPEATS = "repeat bigint, doc_id bigint, start bigint, length int, first boolean"
 
+def _trees(contexts: DataFrame, k: int, length: int, n_parts: int, pruned: bool) -> DataFrame:
+    names = [x.split()[0] for x in REPEATS.split(", ")]
 
-def _trees(contexts: DataFrame, k: int, length: int, n_parts: int) -> DataFrame:
-    def found(table: pa.Table) -> pa.RecordBatch:
-        h, doc, pos = (np.asarray(table.column(i)) for i in range(3))
+    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        h, doc, pos, around = (np.asarray(table.column(i)) for i in (0, 1, 2, 5))
         right, n_right = _padded(table.column(3).combine_chunks(), length)
         left, n_left = _padded(table.column(4).combine_chunks(), length - k)
-        group, row, before, after = maximal_repeats(h, right, n_right, left, n_left, k, length)
-        doc, start, size = doc[row], pos[row] - before, before + after
-        by = np.lexsort((start, doc, group))
-        first = np.ones(len(by), bool)
-        first[1:] = group[by][1:] != group[by][:-1]
-        head = by[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))] if len(by) else by
-        name = mixed(mixed(doc[head].astype(np.uint64)) + (start[head] * 65536 + size[head]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        columns = [name.view(np.int64), doc[by], start[by], size[by].astype(np.int32), first]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [x.split()[0] for x in REPEATS.split(", ")])
+        order = np.empty(len(h), np.int64)
+        order[np.lexsort((pos, doc))] = np.arange(len(h))
+        for group, row, before, after in maximal_repeats(h, right, n_right, left, n_left, k, length, order if pruned else None):
+            start, size = pos[row] - before, before + after
+            if pruned:
+                columns = [group, doc[row], start, size.astype(np.int32), np.zeros(len(row), bool), around[row], np.zeros(len(row), np.int32)]
+            else:
+                by = np.lexsort((order[row], group))
+                first = np.ones(len(by), bool)
+                first[1:] = group[by][1:] != group[by][:-1]
+                head = by[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))] if len(by) else by
+                name = mixed(mixed(doc[row][head].astype(np.uint64)) + (start[head] * 65536 + size[head]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                columns = [name.view(np.int64), doc[row][by], start[by], size[by].astype(np.int32), first, around[row][by], (n_left[row] - before)[by].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -336,10 +367,10 @@ def _trees(contexts: DataFrame, k: int, length: int, n_parts: int) -> DataFrame:
                 h = np.asarray(table.column(0))
                 cut = int(np.flatnonzero(h != h[-1])[-1]) + 1 if (h != h[-1]).any() else 0
                 if cut:
-                    yield found(table.slice(0, cut))
+                    yield from found(table.slice(0, cut))
                 held, n = table.slice(cut).to_batches(), table.num_rows - cut
         if held:
-            yield found(pa.Table.from_batches(held).combine_chunks())
+            yield from found(pa.Table.from_batches(held).combine_chunks())
 
     return contexts.repartition(n_parts, "h").sortWithinPartitions("h", "right").mapInArrow(run, REPEATS)
 
@@ -351,48 +382,61 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs if repeated.isEmpty() else docs.groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, split: int = SPLIT) -> DataFrame:
-    """(repeat, doc_id, start, length, first): all occurrences of all repeated passages of at least `length` bytes, start in bytes of UTF-8.
-
-    Each repeat is a group of equal passages in all the places where they stand; `first` marks the earliest by (doc_id, start).
-    A passage that is longer than an anchor's surroundings comes as several repeats that overlap, one for each anchor in it;
-    so a byte belongs to some repeat if, and only if, it belongs to a repeated passage of `length` bytes.
+def _compact(docs: DataFrame, length: int, split: int, pruned: bool = False) -> DataFrame:
+    """The repeats of _documents(), rows of equal surroundings as one: REPEATS.
 
-    * Passages never cross documents and may overlap within one. Null text is the empty text.
-    * Rows with one id count as one document, with the least of their texts; null ids are one document, the last.
-    * Other columns are ignored. An empty table gives an empty result.
+    A repeat of equal surroundings (around is null) lists all of them; another repeat lists the first row of each
+    of its surroundings `around`, shift bytes after their start. pruned: only occurrences that removal needs, without names.
     """
     spark = docs.sparkSession
-    docs = _documents(docs, id_col, text_col)
     n_parts = partitions(spark)
     hot = _hot(docs, length)
     rows = _anchor_rows(docs, length, hot)
+    rows = _marked(rows) if len(hot["contexts"]) else rows.withColumn("again", F.lit(False))
     out = []
-    as_repeats = lambda x, k: x.select(
-        F.xxhash64("h", "c").alias("repeat"), "doc_id", (F.col("pos") - F.floor(F.col("reach") / 4096)).cast("bigint").alias("start"),
-        (F.floor(F.col("reach") / 4096) + F.col("reach") % 4096).cast("int").alias("length"), "first")
-    if len(hot["contexts"]):
-        every, firsts = _hot_occurrences(rows)
-        out.append(as_repeats(every, ANCHORS[0]))
-        rows = rows.filter("not hot").unionByName(firsts)
+    around = F.xxhash64("h", "c")
+    left, right = F.floor(F.col("reach") / 4096), F.col("reach") % 4096
     for level, k in enumerate(ANCHORS):
         scanned = written(_scanned(rows, split))
-        # surroundings can be shorter than a window only at the ends of a text, where no window has this anchor
-        out.append(as_repeats(scanned.filter("repeated and floor(reach / 4096) + reach % 4096 >= " + str(length)), k))
+        # surroundings are shorter than a window only at the ends of a text, where no window has this anchor
+        same = scanned.filter("repeated").filter(left + right >= length)
+        out.append(same.select(around.alias("repeat"), "doc_id", (F.col("pos") - left).cast("bigint").alias("start"), (left + right).cast("int").alias("length"), "first", F.lit(None).cast("bigint").alias("around"), F.lit(0).alias("shift")))
         if k == length:
             break
-        spots = scanned.filter("spread and not common").select("doc_id", "pos", "h")
-        out.append(_trees(_contexts(spots, docs, k, length), k, length, n_parts))
-        spots = scanned.filter("spread and common").select("doc_id", "pos", "h")
+        spots = scanned.filter("spread and not common").select("doc_id", "pos", "h", around.alias("around"))
+        out.append(_trees(_contexts(spots, docs, k, length), k, length, n_parts, pruned))
+        spots = scanned.filter("spread and common").select("doc_id", "pos", "h", around.alias("around"))
         if spots.isEmpty():
             break
-        rows = _longer(spots, docs, k, ANCHORS[level + 1], length)
+        rows = _longer(spots, docs, k, ANCHORS[level + 1], length).withColumn("again", F.lit(False))
     result = out[0]
     for x in out[1:]:
         result = result.unionByName(x)
     return result
 
 
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, split: int = SPLIT) -> DataFrame:
+    """(repeat, doc_id, start, length, first): the repeated passages of at least `length` bytes with their occurrences, start in bytes of UTF-8.
+
+    Each repeat is a group of equal passages around one anchor; `first` marks the earliest by (doc_id, start). A passage that is
+    longer than an anchor's surroundings comes as several repeats that overlap, one for each anchor. For each string of `length` bytes
+    that occurs twice there is a repeat with all of its occurrences; only for anchors that are hot or have more than `split`
+    surroundings, copies of equal surroundings are listed in the repeat of those surroundings and not again in the others.
+
+    * Passages never cross documents and may overlap within one. Null text is the empty text.
+    * Rows with one id count as one document, with the least of their texts; null ids are one document, the last.
+    * Other columns are ignored. An empty table gives an empty result.
+    """
+    found = written(_compact(_documents(docs, id_col, text_col), length, split))
+    same, trees = found.filter("around is null"), found.filter("around is not null")
+    copies = same.filter("not first").select(F.col("repeat").alias("around"), F.col("doc_id").alias("_doc"), F.col("start").alias("_start"))
+    more = trees.join(copies, "around").select("repeat", F.col("_doc").alias("doc_id"), (F.col("_start") + F.col("shift")).alias("start"), "length", F.lit(False).alias("first"))
+    columns = ["repeat", "doc_id", "start", "length", "first"]
+    # a passage found at two of its anchors has one name, and its rows meet
+    out = same.select(columns).unionByName(trees.select(columns)).unionByName(more).distinct()
+    return out.withColumn("doc_id", F.when(F.col("doc_id") < F.lit((1 << 63) - 1), F.col("doc_id")))
+
+
 REMOVED = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
@@ -402,14 +446,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept is the remaining bytes (a cut may fall inside a character), or with keep_text = False their SHA-256 in lowercase hex. The first
     occurrence of every passage stays. Edge cases as in repeats(); every document has a row, also empty ones.
     """
-    again = repeats(docs, id_col, text_col, length, split).filter("not first")
-    # a row holds the spans of one document: no more than its length allows
-    spans = again.groupBy("doc_id").agg(F.collect_set(F.struct("start", F.col("start") + F.col("length"))).alias("at"))
     docs = _documents(docs, id_col, text_col)
+    again = _compact(docs, length, split, pruned=True).filter("not first")
+    # a row holds the spans of one document: no more than its length allows
+    spans = again.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.col("start") + F.col("length"))).alias("at"))
     joined = docs.join(spans, "doc_id", "left").select("doc_id", "text", F.col("at.start").alias("lo"), F.col("at.col2").alias("hi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 4 * SLICE):
             texts = batch.column(1)
             offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
             data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
