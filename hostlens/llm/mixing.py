@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, uniform
+from .common import partitions, uniform, written
 
 #: Rates above this are drawn as a sum of equal parts, so that exp(-rate) stays exact.
 PART = 30.0
 #: The sum of PART-sized Poisson terms beyond this count is below 2^-60.
 TERMS = 120
+#: Rates of at most so many sources are broadcast; of more, a source's rows are dealt to SALTS parts.
+BROADCAST_SOURCES, SALTS = 100_000, 64
 
 
 def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, epochs: float = 1.0, group_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -78,8 +80,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     source = F.coalesce(F.col(f"`{group_col}`").cast("string"), F.lit(""))
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
     kept = docs.drop("copy", "shuffle_key")
-    # a few bytes for each source; Spark broadcasts them below its size limit and splits hot sources in the sort-merge join above it
-    drawn = kept.withColumn("_source", source).join(rates, "_source").withColumn("_n", poisson_count(F.col("_rate"), seed, key))
+    rates, named = written(rates), kept.withColumn("_source", source)
+    if rates.count() <= BROADCAST_SOURCES:
+        joined = named.join(F.broadcast(rates), "_source")  # a name and a number for each source, their count checked
+    else:
+        # texts of a hot source meet its rate in many tasks
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        joined = named.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(rates.withColumn("_salt", salts), ["_source", "_salt"])
+    drawn = joined.withColumn("_n", poisson_count(F.col("_rate"), seed, key))
     copies = drawn.filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), key, F.col("copy").cast("string"))))
     out = copies.select(*[F.col(f"`{c}`") for c in kept.columns], F.col("copy").cast("bigint").alias("copy"), "shuffle_key")
     return out.repartition(partitions(docs.sparkSession), F.substring("shuffle_key", 1, 8)).sortWithinPartitions("shuffle_key")

@@ -108,6 +108,14 @@ def test_mix_weights_and_order(spark):
     assert [r.copy for r in mixing.mix(df.limit(1), epochs=100.0).orderBy("copy").collect()][:2] == [1, 2]
 
 
+def test_mix_of_many_sources(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "word " * (i % 5), f"s{i % 30}" if i % 3 else "hot", None) for i in range(900)], DOCS)
+    rows = lambda: sorted((r.doc_id, r.copy) for r in mixing.mix(df).collect())
+    few = rows()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert rows() == few
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_mix_is_the_same_in_every_run(spark, seed):
     df = spark.createDataFrame([(i, "word", "s", None) for i in range(300)], DOCS)
