@@ -19,7 +19,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def rows(frame: pd.DataFrame) -> list[tuple]:
     """Rows as comparable texts, columns by name."""
     def text(x):
-        if x is None or x != x or x is pd.NaT:
+        if pd.api.types.is_scalar(x) and pd.isna(x):
             return "NULL"
         return f"{x:.6f}".rstrip("0").rstrip(".") if isinstance(x, float) else str(x)
 
