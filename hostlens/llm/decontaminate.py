@@ -3,8 +3,11 @@
 The CGK embedding walks over a string, writes the current symbol at each step and moves on by a random bit
 that depends on step and symbol; strings at a small edit distance stay, or fall back, in step, so their
 outputs are at a small Hamming distance. Here the symbols are words. A walk starts at each word of
-each document, and each hash table samples a few of its steps; so do the walks of the items. Windows
-that meet an item in a table are verified by their exact word edit distance.
+each document, and each hash table samples a few of its steps; so do the walks of the items, from
+starts spread over the whole item. Runs of words complete them: of n words with e edits, (n - e) / (e + 1)
+neighbours stay unedited somewhere, so each run of that length of an item has an entry, too, and
+no item within the limit is missed. Windows that meet an item in a table are verified by their exact
+word edit distance.
 """
 
 from __future__ import annotations
@@ -23,9 +26,10 @@ from .words import plain_texts, slices
 #: An item is found where at most this share of its words is edited.
 EDITS = 0.2
 #: Independent walks; tables of each walk, by the number of first steps that they sample from; samples a table.
-#: Items that fit no longer table use the shortest ones.
+#: Walks that fit no longer table use the shortest ones. An item's walks start at every STRIDE-th of its words.
 WALKS, REACHES, SAMPLES = 3, (10, 10, 20, 20, 20, 40, 40, 40), 4
 SHORT = 10
+STRIDE = 10
 #: Shorter items match by chance and are not searched.
 MIN_WORDS = 5
 #: Items held by each task at once: a block is at most this many texts.
@@ -54,7 +58,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """The hash tables of a block of items. Bounded: WALKS x len(REACHES) entries an item at most."""
+    """The hash tables of a block of items. Bounded: for each item one entry a word in the runs, and WALKS x len(REACHES) a start in the walks."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         flat, counts = tokens(pa.array(texts, pa.string()))
@@ -65,29 +69,59 @@ class Index:
         self.steps = max(REACHES)
         self.odd = rng.integers(0, 1 << 32, (WALKS, self.steps), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
         self.samples = [[np.sort(rng.choice(r, SAMPLES, replace=False)) for r in REACHES] for _ in range(WALKS)]
+        searched = [i for i, x in enumerate(self.items) if len(x) >= MIN_WORDS]
+        gap = np.zeros(self.steps + 1, np.uint32)
+        padded = np.concatenate([gap, *(part for i in searched for part in (self.items[i], gap))])
+        sizes = np.array([len(self.items[i]) for i in searched], np.int64)
+        heads = np.cumsum(sizes + len(gap)) - sizes
+        starts = [np.arange(0, n, STRIDE) for n in sizes]
+        shift, item, head = self._spread(starts, searched, heads)
+        end = head + counts[item]
+        long = np.array([r > SHORT for r in REACHES])[:, None]
         self.tables = []
         for w in range(WALKS):
-            got = [[] for _ in REACHES]
-            for i, item in enumerate(self.items):
-                if len(item) < MIN_WORDS:
-                    continue
-                padded = np.concatenate([item, np.zeros(self.steps + 1, np.uint32)])
-                hashes, at = self.walk(padded, np.zeros(1, np.int64), w)
-                # a table counts if its samples lie inside the item
-                fits = [t for t in range(len(REACHES)) if at[self.samples[w][t][-1]][0] < len(item)]
-                longer = [t for t in fits if REACHES[t] > SHORT]
-                for t in longer or fits:
-                    got[t].append((int(hashes[t][0]), i))
-            self.tables.append([self._table(g) for g in got])
+            hashes, at = self.walk(padded, head + shift, w, True)
+            # a table counts if its samples lie inside the item
+            fits = np.array([at[s[-1]] < end for s in self.samples[w]])
+            used = np.where((fits & long).any(axis=0), fits & long, fits)
+            self.tables.append([self._table(h[u], item[u], shift[u]) for h, u in zip(hashes, used)])
+        lengths = np.array([self.run_length(n) for n in sizes], np.int64)
+        self.runs = {}
+        for q in sorted(set(lengths.tolist())):
+            of = np.flatnonzero(lengths == q)
+            shift, item, head = self._spread([np.arange(n - q + 1) for n in sizes[of]], [searched[i] for i in of], heads[of])
+            self.runs[q] = self._table(self.run(padded, head + shift, q), item, shift)
         self.masks = [self._masks(item) for item in self.items]
 
     @staticmethod
-    def _table(pairs: list[tuple[int, int]]):
-        pairs = sorted(pairs)
-        hashes = np.array([h for h, _ in pairs], np.uint32)
-        filled = np.zeros(1 << 16, bool)
-        filled[hashes & np.uint32(0xFFFF)] = True
-        return filled, hashes, np.array([i for _, i in pairs], np.int64)
+    def run_length(n: int) -> int:
+        """Neighbours that stay unedited in any n words with as many edits as are allowed."""
+        most = int(EDITS * n)
+        return -(-(n - most) // (most + 1))
+
+    @staticmethod
+    def _spread(shifts: list[np.ndarray], items: list[int], heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shift, item, first word) of every entry."""
+        n = np.array([len(x) for x in shifts], np.int64)
+        return np.concatenate([np.zeros(0, np.int64), *shifts]), np.repeat(np.array(items, np.int64), n), np.repeat(heads, n)
+
+    @staticmethod
+    def _table(hashes: np.ndarray, items: np.ndarray, shifts: np.ndarray):
+        by = np.argsort(hashes, kind="stable")
+        last = np.uint32((1 << max(16, (8 * len(hashes)).bit_length())) - 1)
+        filled = np.zeros(int(last) + 1, bool)
+        filled[hashes & last] = True
+        return filled, hashes[by], items[by], shifts[by]
+
+    @staticmethod
+    def run(text: np.ndarray, start: np.ndarray, q: int) -> np.ndarray:
+        """The hash of the q words from each start."""
+        out = np.zeros(len(start), np.uint32)
+        for j in range(q):
+            out *= np.uint32(0x85EBCA6B)
+            out += text[start + j]
+            out ^= out >> np.uint32(15)
+        return out
 
     @staticmethod
     def _masks(item: np.ndarray) -> dict[int, int]:
@@ -96,11 +130,11 @@ class Index:
             out[t] = out.get(t, 0) | 1 << i
         return out
 
-    def walk(self, text: np.ndarray, start: np.ndarray, w: int):
-        """The tables' hashes of the walks from each start; where each walk stands at each step."""
+    def walk(self, text: np.ndarray, start: np.ndarray, w: int, stand: bool = False):
+        """The tables' hashes of the walks from each start; with `stand`, where each walk stands at each step."""
         at, hashes, stands = start.copy(), [np.zeros(len(start), np.uint32) for _ in REACHES], []
         for j in range(self.steps):
-            if len(start) == 1:
+            if stand:
                 stands.append(at.copy())
             symbol = text[at]
             for t, s in enumerate(self.samples[w]):
@@ -112,28 +146,39 @@ class Index:
             at += symbol
         return hashes, stands
 
-    def candidates(self, text: np.ndarray) -> np.ndarray:
-        """Distinct (start, item) rows that meet in some table."""
+    def candidates(self, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Distinct (start, item, text number) rows that meet in some table. The start of the item's first word follows from where they meet; it may lie before the text."""
         padded = np.concatenate([text, np.zeros(self.steps + 1, np.uint32)])
         found = []
         for a in range(0, len(text), CHUNK):
             start = np.arange(a, min(a + CHUNK, len(text)))
+            met = []
+
+            def meet(h: np.ndarray, table, start=start, met=met):
+                filled, hashes, items, shifts = table
+                near = np.flatnonzero(filled[h & np.uint32(len(filled) - 1)])
+                if len(near):
+                    lo, hi = np.searchsorted(hashes, h[near], "left"), np.searchsorted(hashes, h[near], "right")
+                    n = hi - lo
+                    if n.any():
+                        each = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        at = np.repeat(start[near], n)
+                        met.append(np.column_stack([at - shifts[each], items[each], np.searchsorted(ends, at, "right")]))
+
             for w in range(WALKS):
-                for h, (filled, hashes, items) in zip(self.walk(padded, start, w)[0], self.tables[w]):
-                    near = np.flatnonzero(filled[h & np.uint32(0xFFFF)])
-                    if len(near):
-                        lo, hi = np.searchsorted(hashes, h[near], "left"), np.searchsorted(hashes, h[near], "right")
-                        n = hi - lo
-                        if n.any():
-                            each = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                            found.append(np.column_stack([np.repeat(start[near], n), items[each]]))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                for h, table in zip(self.walk(padded, start, w)[0], self.tables[w]):
+                    meet(h, table)
+            for q, table in self.runs.items():
+                meet(self.run(padded, start, q), table)
+            if met:
+                found.append(np.unique(np.concatenate(met), axis=0))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
     def likely(self, text: np.ndarray, found: np.ndarray) -> np.ndarray:
         """The candidates whose window holds the words that a match needs: n - 2 e of its n words occur in the item.
 
-        A match within e edits that starts at or up to e words beside the window's start shares n - e words with the
-        item, of which the window can miss e at its end. Lossless.
+        A match within e edits shares n - e words with the item. Where x of its edits move its start beside the window's,
+        the window can miss x of them at its start and e - x at its end. Lossless.
         """
         found = found[np.argsort(found[:, 1], kind="stable")]
         cuts = [*np.flatnonzero(np.diff(found[:, 1], prepend=-1)), len(found)]
@@ -144,7 +189,7 @@ class Index:
             words = np.unique(item)
             for c in range(a, b, 4096):
                 part = found[c : min(b, c + 4096)]
-                window = text[np.minimum(part[:, :1] + np.arange(n), len(text) - 1)]
+                window = text[np.clip(part[:, :1] + np.arange(n), 0, len(text) - 1)]
                 near = words[np.minimum(np.searchsorted(words, window), len(words) - 1)] == window
                 kept.append(part[near.sum(axis=1) >= n - 2 * int(EDITS * n)])
         return np.concatenate(kept) if kept else found
@@ -169,16 +214,16 @@ class Index:
         text, counts = tokens(texts)
         ends = np.cumsum(counts)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for start, item in self.likely(text, self.candidates(text)):
-            doc = int(np.searchsorted(ends, start, "right"))
+        for start, item, doc in self.likely(text, self.candidates(text, ends)).tolist():
             n = len(self.items[item])
             most = int(EDITS * n)
             if best.get((doc, item), (n,))[0] == 0:
                 continue
-            lo, hi = max(start - most, ends[doc] - counts[doc]), min(start + n + most, ends[doc])
+            head = int(ends[doc] - counts[doc])
+            lo, hi = max(start - most, head), min(start + n + most, int(ends[doc]))
             if hi - lo < n - most:
                 continue
-            got = (self.distance(text[lo:hi], item), int(start - ends[doc] + counts[doc]))
+            got = (self.distance(text[lo:hi], item), max(start - head, 0))
             if got[0] <= most and got < best.get((doc, item), (n, 0)):
                 best[doc, item] = got
         return [(doc, int(self.ids[i]), d, len(self.items[i]), at) for (doc, i), (d, at) in sorted(best.items())]
@@ -197,7 +242,8 @@ def _blocks(benchmark: DataFrame, block: int) -> Iterator[Index]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, distance, item_words, similarity, first_word) of every document and item that occurs in it.
 
-    An item occurs where a part of the document is at a word edit distance of at most EDITS of the item's words.
+    An item occurs where a part of the document is at a word edit distance of at most EDITS of the item's words; all that occur are
+    found, with their least distance. first_word is at most so many words beside the best part's first one.
     Work is local to a row; items are held block by block, and each block is one pass over the documents.
 
     * Null and empty texts contain nothing. Items of fewer than MIN_WORDS words, and of null id, are not searched.

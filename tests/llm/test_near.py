@@ -148,3 +148,30 @@ def test_leaks(spark, leaks):
     clean = decontaminate.remove_leaks(df, bench, block=7)
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in got}
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0 and decontaminate.find_leaks(df.limit(0), bench).count() == 0
+
+
+def spoiled(words, where, how):
+    """The words with as many edits as the limit allows, in one place or spread out."""
+    n, most = len(words), int(decontaminate.EDITS * len(words))
+    at = {"front": range(most), "middle": range((n - most) // 2, (n + most) // 2), "end": range(n - most, n), "spread": rng.sample(range(n), most)}[where]
+    new = lambda: "x" + rng.choice(WORDS)
+    out = []
+    for i, w in enumerate(words):
+        out += [w] if i not in at else {"replaced": [new()], "missing": [], "inserted": [new(), w]}[how]
+    return out
+
+
+@pytest.mark.parametrize("n", [5, 10, 15, 30, 60, 100])
+def test_every_leak_within_the_limit_is_found(n):
+    import pyarrow as pa
+
+    items = [text(n) for _ in range(24)]
+    index = decontaminate.Index(list(range(24)), items)
+    docs = []
+    for i, item in enumerate(items):
+        inside = spoiled(item.split(), ["front", "middle", "end", "spread"][i % 4], ["replaced", "missing", "inserted"][i // 4 % 3])
+        # also at the very start and end of a document
+        docs.append(" ".join([text(30 * (i % 3 > 0)), *inside, text(30 * (i % 3 < 2))]))
+    got = {(doc, item): d for doc, item, d, *_ in index.search(pa.array(docs))}
+    want = {(a, b): k for a, t in enumerate(docs) for b, x in enumerate(items) if (k := least_distance(t.split(), x.split())) <= int(decontaminate.EDITS * n)}
+    assert got == want and {(i, i) for i in range(24)} <= set(want)
