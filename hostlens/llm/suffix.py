@@ -405,7 +405,8 @@ def _compact(docs: DataFrame, length: int, split: int, pruned: bool = False) ->
             break
         spots = scanned.filter("spread and not common").select("doc_id", "pos", "h", around.alias("around"))
         out.append(_trees(_contexts(spots, docs, k, length), k, length, n_parts, pruned))
-        spots = scanned.filter("spread and common").select("doc_id", "pos", "h", around.alias("around"))
+        # removal needs no copies, which are known already; repeats need them in the groups of the longer anchors, too
+        spots = scanned.filter("spread and common" if pruned else "common").select("doc_id", "pos", "h", around.alias("around"))
         if spots.isEmpty():
             break
         rows = _longer(spots, docs, k, ANCHORS[level + 1], length).withColumn("again", F.lit(False))
@@ -420,8 +421,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     Each repeat is a group of equal passages around one anchor; `first` marks the earliest by (doc_id, start). A passage that is
     longer than an anchor's surroundings comes as several repeats that overlap, one for each anchor. For each string of `length` bytes
-    that occurs twice there is a repeat with all of its occurrences; only for anchors that are hot or have more than `split`
-    surroundings, copies of equal surroundings are listed in the repeat of those surroundings and not again in the others.
+    that occurs twice there is a repeat with all of its occurrences.
 
     * Passages never cross documents and may overlap within one. Null text is the empty text.
     * Rows with one id count as one document, with the least of their texts; null ids are one document, the last.

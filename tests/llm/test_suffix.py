@@ -77,6 +77,32 @@ def test_repeats_are_equal_passages_with_all_occurrences(spark, monkeypatch):
     assert complete == {w for w, p in places.items() if len(p) > 1}
 
 
+@pytest.mark.parametrize("split,hot", [(3, 0.02), (3, 0.001), (8_000, 0.001)])
+def test_repeats_of_common_anchors_list_all_copies(spark, monkeypatch, split, hot):
+    if hot < 0.01:
+        monkeypatch.setattr(suffix, "HOT", hot)
+        monkeypatch.setattr(suffix, "SAMPLE", 40)
+    passage = text(40)
+    docs = documents() + [(5000 + i, f"{text(30)} {passage} {text(30)}") for i in range(12)]
+    docs += [(6000 + i, docs[-1 - i % 4][1]) for i in range(12)]
+    texts = {d: (t or "").encode() for d, t in docs}
+    groups, places = defaultdict(set), defaultdict(set)
+    for r in suffix.repeats(spark.createDataFrame(docs, "doc_id long, text string"), split=split).collect():
+        groups[r.repeat].add((r.doc_id, r.start, r.length))
+    for d, t in texts.items():
+        for i in range(len(t) - 99):
+            places[t[i : i + 100]].add((d, i))
+    complete = set()
+    for rows in groups.values():
+        assert len({texts[d][a : a + n] for d, a, n in rows}) == 1
+        d, a, n = next(iter(rows))
+        for i in range(n - 99):
+            window = texts[d][a + i : a + i + 100]
+            if {(x, p - i) for x, p in places[window]} == {(x, p) for x, p, _ in rows}:
+                complete.add(window)
+    assert len(complete) == sum(len(p) > 1 for p in places.values())
+
+
 def test_edges(spark):
     schema = "doc_id long, text string"
     assert suffix.remove_repeats(spark.createDataFrame([], schema)).count() == 0
