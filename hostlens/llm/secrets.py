@@ -20,11 +20,15 @@ from pyspark.sql import functions as F
 
 from .words import plain_texts, slices
 
+#: Names of secrets; other parts of a name may stand before them, or after them up to the next such part.
+_NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)(?![A-Za-z0-9])"
 #: What proposes a candidate: (kind, pattern); the group `s`, or else the whole match, is the candidate. Each search is linear in the text.
 PATTERNS = {
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
-    "assigned": r"(?i)\b(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth)\b[\"']?[ \t]{0,4}(?:=>|:=|=|:)[ \t]{0,4}[\"']?(?P<s>[^\s\"'<>,;]{8,})",
-    "token": r"(?<![A-Za-z0-9+/_=.@-])(?P<s>[A-Za-z0-9+/_-]{16,}={0,2})(?![A-Za-z0-9+/_=@-])",
+    "url_password": r"://[^\s/:@\"'<>]*+:(?P<s>[^\s/@\"'<>]{3,}+)@",
+    "jwt": r"(?<![A-Za-z0-9_.-])(?P<s>eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*+)",
+    "assigned": rf"(?i)(?<![A-Za-z0-9]){_NAMES}(?:[_-](?!{_NAMES})[A-Za-z0-9]++)*+[\"']?[ \t]{{0,4}}(?:=>|:=|=|:)[ \t]{{0,4}}[\"']?(?P<s>[^\s\"'<>,;]{{8,}})",
+    "token": r"(?<![A-Za-z0-9+/_@-])(?P<s>[A-Za-z0-9+/_-]{16,}+={0,2}+)(?![A-Za-z0-9+/_=@-])",
 }
 REACH = 48
 THRESHOLD = 0.5
@@ -144,6 +148,22 @@ def labelled_findings(n: int = 6000, seed: int = SEED) -> list[tuple[str, str, s
             else:
                 before += " "
         out.append((kind, value, before[-REACH:], after[:REACH], path, int(secret)))
+    # names with other parts, URL user-info and dotted tokens, each with false ones
+    for i in range(n // 3):
+        secret, sort = i % 2 == 0, i // 2 % 3
+        before, after, path = words(rng.randint(0, 4)) + " ", " " + words(rng.randint(1, 6)), rng.choice(paths)
+        value = draw(symbols, rng.randint(9, 40)) if secret else rng.choice(["${%s}" % rng.choice(DICTIONARY).upper(), "your_%s_here" % rng.choice(DICTIONARY), "xxxxxxxxxxxx", "changeme_example", rng.choice(DICTIONARY) + rng.choice(DICTIONARY)])
+        if sort == 0:
+            kind, word = "assigned", rng.choice(["%s_password", "%s_SECRET_ACCESS_KEY", "client_secret_%s", "%s_token", "%s-api-key"])
+            if secret and rng.random() < 0.4:
+                value = rng.choice(DICTIONARY) + draw("0123456789", rng.randint(1, 5)) + rng.choice([draw(letters, rng.randint(3, 6)), rng.choice(DICTIONARY)])
+            before += word % rng.choice(DICTIONARY) + rng.choice(["=", ": ", " = "])
+        elif sort == 1:
+            kind, before, after = "url_password", before + rng.choice(["postgres", "https", "amqp", "mysql"]) + "://" + rng.choice(DICTIONARY) + ":", "@" + rng.choice(DICTIONARY) + after
+        else:
+            kind, before = "jwt" if secret else "token", before + rng.choice(["Bearer ", "session=", ""])
+            value = "eyJ" + ".".join(draw(symbols + "-_", rng.randint(16, 60)) for _ in range(3)) if secret else "_".join(rng.choice(DICTIONARY) for _ in range(3)) + str(rng.randint(1, 9))
+        out.append((kind, value, before[-REACH:], after[:REACH], path, int(secret)))
     return out
 
 

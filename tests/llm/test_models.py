@@ -69,6 +69,19 @@ def test_proposals_do_not_overlap():
     assert secrets.dictionary_coverage("tokenfilename") == pytest.approx(13 / 13) and secrets.dictionary_coverage("") == 0
 
 
+def test_usual_secrets_are_proposed_and_kept(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NSJ9.dBjftJeZ4CVP-mBJ92K27uhbUJU1p1r"
+    rows = [
+        ("AWS_SECRET_ACCESS_KEY=", "q8ZrXUtnFEMI/K7MDENG/bPxRfiCYq3TbWn5Lz0H"), ("DB_PASSWORD=", "Tr0ub4dor3xyzzy"), ("client_secret=", "0f3b" * 8), ("DB_PASSWORD: ", "hunter2hunt"),
+        ("MY-API-KEY-2: ", "k39Zq0vLw81x"), ("postgres://u:", "s3cr9tPw7x"), ("Bearer ", jwt), ("x=", "0123456789abcdef0123"), ("host.", "0123456789abcdef0123"),
+    ]
+    for before, value in rows:
+        text = f"see {before}{value}{'@host/db' if '://' in before else ' here'}"
+        assert [text[a:b] for a, b, _ in secrets.propose(text)] == [value]
+    docs = spark.createDataFrame([(i, f"see {b}{v}{'@host/db' if '://' in b else ' here'}", "src") for i, (b, v) in enumerate(rows)], "doc_id long, text string, source string")
+    assert {r.doc_id for r in secrets.scan(docs, secrets.train(spark)).filter("kept").collect()} >= set(range(7))
+
+
 @pytest.fixture(scope="module")
 def archive(spark):
     rng = random.Random(3)
