@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 import hostlens
 from pyspark import cloudpickle
@@ -17,13 +18,16 @@ cloudpickle.register_pickle_by_value(hostlens)
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (single-machine tests) a temporary folder is used.
+    Where neither that setting nor setCheckpointDir() names one, a single-machine session (tests) gets a temporary folder; a cluster is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = base.get() if base.isDefined() else None
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="hostlens-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/hostlens-{uuid.uuid4().hex}"
@@ -33,11 +37,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the shared folder: it survives lost executors."""
-    path = shared_dir(df.sparkSession)
+_scope: ContextVar[Scope | None] = ContextVar("hostlens-scope", default=None)
+
+
+class Scope:
+    """Tables that written() makes inside are deleted at the end: what leaves the scope must not read them.
+
+    keep() writes a table that outlives the scope; it belongs to the scope around it, if any.
+    """
+
+    def __init__(self):
+        self.folders: list[tuple[SparkSession, str]] = []
+
+    def __enter__(self) -> Scope:
+        self.outer, self._token = _scope.get(), _scope.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scope.reset(self._token)
+        for spark, folder in self.folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return _write(df, self.outer)
+
+
+def _write(df: DataFrame, scope: Scope | None) -> DataFrame:
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    if scope is not None:
+        scope.folders.append((spark, path))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder: it survives lost executors. It lives as long as the Scope around it; without one, until somebody clears the folder."""
+    return _write(df, _scope.get())
 
 
 def partitions(spark: SparkSession) -> int:

@@ -19,9 +19,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def plain_texts(column) -> pa.Array:
-    """One array of texts; null is the empty text."""
+    """One array of texts with 32-bit offsets, whatever Arrow type the session sends; null is the empty text."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return pc.fill_null(column, "")
+    return pc.fill_null(column if column.type == pa.string() else column.cast(pa.string()), "")
 
 
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:
