@@ -1,14 +1,17 @@
 """Exact deduplication by a distributed content sort.
 
-Rows are range-partitioned by sampled splitters on the key (first bytes, digest, doc_id) of
-the normalised text and sorted externally inside each range, so equal texts lie next to each
-other; each row is then compared in full with its predecessor. The key ends in doc_id, so a
-group of copies of any size is cut over as many ranges as it needs. Only the two outer rows of
-each range meet in one place, to join groups that a range border cuts.
+Rows are range-partitioned by sampled splitters on the normalised text (its first characters, a digest of all its bytes, then
+the id) and sorted externally inside each range, so equal texts lie next to each other; each row is then compared in
+full with its predecessor. Among texts that begin alike any fixed order will do: the digest keeps splitters short however long
+the texts and their common beginnings are. The key ends in the id, so a group of copies of any size is cut over as many ranges as
+it needs. Groups that a range border cuts are joined by a few numbers for each range; whole texts of
+two border rows are compared only where their digests and lengths agree, pair by pair.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ OVERSAMPLE = 30
 #: Ranges for each shuffle partition: hashing ranges to partitions evens out.
 RANGES = 4
 PREFIX = 48
+LAST = (1 << 63) - 1
 
 
 def normalised(text: Column) -> Column:
@@ -26,29 +30,27 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _ranges(keys: DataFrame, n_rows: int, ranges: int) -> list:
-    """Borders of equally filled ranges, from a bounded sample: at most about 2 x ranges x OVERSAMPLE keys of under 300 bytes."""
-    if ranges < 2 or n_rows == 0:
-        return []
-    share = min(1.0, ranges * OVERSAMPLE / n_rows)
-    # the digest of the id decides, so that a rerun draws the same sample
-    got = sorted(tuple(r[0]) for r in keys.filter(F.abs(F.xxhash64(F.lit(7), "_id")) % 1_000_000 < int(share * 1_000_000) + 1).select("_key").collect())
-    if not got:
-        return []
-    return sorted({got[i * len(got) // ranges] for i in range(1, ranges)})
-
-
-def _range_of(key: Column, borders: list) -> Column:
-    """The number of borders <= key, by binary search over a constant array."""
-    if not borders:
-        return F.lit(0)
-    literal = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in borders])
-    n = len(borders)
+def _borders(keys: DataFrame, n_rows: int, ranges: int) -> Column:
+    """Borders of equally filled ranges as a constant array of keys (a, b, c).
+
+    From a bounded sample: about ranges x OVERSAMPLE keys of under 300 bytes are sorted by Spark, and one for each range comes to the
+    driver. The array is one literal of the plan, however many ranges there are.
+    """
+    share = min(1.0, ranges * OVERSAMPLE / max(n_rows, 1))
+    # the digest decides, so that a rerun draws the same sample
+    drawn = keys.filter(F.pmod(F.xxhash64(F.lit(7), "_key"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    tiles = drawn.select("_key", F.ntile(max(ranges, 1)).over(Window.orderBy("_key")).alias("_tile"))
+    got = sorted({tuple(r[0]) for r in tiles.groupBy("_tile").agg(F.min("_key")).filter("_tile > 1").select("min(_key)").collect()})
+    return F.from_json(F.lit(json.dumps([dict(zip("abc", k)) for k in got])), "array<struct<a:string,b:string,c:bigint>>")
+
+
+def _range_of(key: Column, borders: Column, ranges: int) -> Column:
+    """The number of borders <= key, by binary search."""
+    middle = lambda s: ((s.lo + s.hi) / 2).cast("int")
     step = lambda s, _: F.when(s.lo >= s.hi, s).otherwise(
-        F.when(F.element_at(literal, ((s.lo + s.hi) / 2).cast("int") + 1) <= key, F.struct((((s.lo + s.hi) / 2).cast("int") + 1).alias("lo"), s.hi.alias("hi")))
-        .otherwise(F.struct(s.lo.alias("lo"), ((s.lo + s.hi) / 2).cast("int").alias("hi")))
+        F.when(F.get(borders, middle(s)) <= key, F.struct((middle(s) + 1).alias("lo"), s.hi.alias("hi"))).otherwise(F.struct(s.lo.alias("lo"), middle(s).alias("hi")))
     )
-    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length() + 1)), F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), step).lo
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ranges.bit_length() + 1)), F.struct(F.lit(0).alias("lo"), F.size(borders).alias("hi")), step).lo
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,33 +62,36 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     * A null id sorts last: it stays only if the whole group has null ids.
     * Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     text = normalised(F.col(f"`{text_col}`"))
-    ids = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), text.alias("_norm"))
-    rows = ids.withColumn("_sha", F.sha2("_norm", 256))
-    order_id = F.coalesce("_id", F.lit((1 << 63) - 1))
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), text.alias("_norm")).withColumn("_sha", F.sha2("_norm", 256))
+    order_id = F.coalesce("_id", F.lit(LAST))
     key = F.struct(F.substring("_norm", 1, PREFIX).alias("a"), F.col("_sha").alias("b"), order_id.alias("c"))
-    borders = _ranges(rows.withColumn("_key", key), docs.count(), partitions(spark) * RANGES)
-    rows = rows.withColumn("_bucket", _range_of(key, borders))
+    ranges = partitions(docs.sparkSession) * RANGES
+    borders = _borders(rows.select(key.alias("_key")), docs.count(), ranges)
+    rows = rows.withColumn("_bucket", _range_of(key, borders, ranges))
 
     # inside a range: sort, compare each row in full with the one before it
     order = Window.partitionBy("_bucket").orderBy(F.substring("_norm", 1, PREFIX), "_sha", "_norm", order_id)
     rows = rows.select("*", F.lag("_norm").over(order).alias("_before"), F.lead("_norm").over(order).alias("_after"), F.row_number().over(order).alias("_at"))
     # the text itself is needed further only at the borders of a range
     border = F.when(F.col("_before").isNull() | F.col("_after").isNull(), F.col("_norm"))
-    rows = rows.select("_id", "_sha", "_bucket", "_at", (~F.col("_norm").eqNullSafe(F.col("_before"))).alias("_new"), F.col("_before").isNull().alias("_first"), F.col("_after").isNull().alias("_last"), border.alias("_norm"))
+    rows = rows.select("_id", "_sha", F.length("_norm").alias("_chars"), "_bucket", "_at", (~F.col("_norm").eqNullSafe(F.col("_before"))).alias("_new"), F.col("_before").isNull().alias("_first"), F.col("_after").isNull().alias("_last"), border.alias("_norm"))
     rows = written(rows.withColumn("_run", F.sum(F.col("_new").cast("int")).over(Window.partitionBy("_bucket").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))))
 
     runs = rows.groupBy("_bucket", "_run").agg(
-        F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"), F.max("_first").alias("_opens"), F.max("_last").alias("_closes"), F.max("_norm").alias("_norm")
+        F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"), F.max("_first").alias("_opens"), F.max("_last").alias("_closes"), F.max("_sha").alias("_sha"), F.max("_chars").alias("_chars")
     )
-    # at most two runs of each range can go on in a neighbouring range: one row for each border
-    # run, and the number of ranges bounds them
+    # at most two runs of each range can go on in a neighbouring range: a digest and some numbers for each of them
     line = Window.orderBy("_bucket", "_run")
-    outer = runs.filter("_opens or _closes").withColumn("_cut", ~F.col("_norm").eqNullSafe(F.lag("_norm").over(line)) | F.lag("_bucket").over(line).isNull())
-    outer = outer.withColumn("_chain", F.sum(F.col("_cut").cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    outer = runs.filter("_opens or _closes").select("_bucket", "_run", "_keep", "_size", F.lag(F.struct("_bucket", "_sha", "_chars")).over(line).alias("_p"), "_sha", "_chars")
+    alike = outer.filter((F.col("_p._bucket") != F.col("_bucket")) & (F.col("_p._sha") == F.col("_sha")) & (F.col("_p._chars") == F.col("_chars"))).select("_bucket", F.col("_p._bucket").alias("_other"))
+    opening, closing = rows.filter("_first").select("_bucket", F.col("_norm").alias("_a")), rows.filter("_last").select(F.col("_bucket").alias("_other"), F.col("_norm").alias("_b"))
+    met = alike.join(opening, "_bucket").join(closing, "_other").filter("_a = _b").select("_bucket", F.lit(True).alias("_met"))
+    # only the opening run of a range goes on from the range before
+    outer = outer.join(met, "_bucket", "left").withColumn("_goes_on", F.coalesce(F.col("_met") & (F.col("_p._bucket") != F.col("_bucket")), F.lit(False)))
+    outer = outer.withColumn("_chain", F.sum((~F.col("_goes_on")).cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
     chain = Window.partitionBy("_chain")
-    outer = outer.select("_bucket", "_run", F.min("_keep").over(chain).alias("_chain_keep"), F.sum("_size").over(chain).alias("_chain_size"), (~F.col("_cut")).alias("_goes_on"))
+    outer = outer.select("_bucket", "_run", F.min("_keep").over(chain).alias("_chain_keep"), F.sum("_size").over(chain).alias("_chain_size"), "_goes_on")
     runs = runs.select("_bucket", "_run", "_keep", "_size").join(outer, ["_bucket", "_run"], "left")
     runs = runs.select("_bucket", "_run", F.coalesce("_chain_keep", "_keep").alias("_keep"), F.coalesce("_chain_size", "_size").alias("_size"), F.coalesce("_goes_on", F.lit(False)).alias("_goes_on"))
     return rows.join(runs, ["_bucket", "_run"]).select(
@@ -95,11 +100,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_groups() keeps, with the columns they came with; of rows that repeat id and text, one."""
-    of_id = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit((1 << 63) - 1))
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(of_id(f"`{id_col}`").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    rows = docs.withColumns({"_kept_id": of_id(f"`{id_col}`"), "_kept_sha": F.sha2(normalised(F.col(f"`{text_col}`")), 256)})
-    out = rows.join(kept.distinct(), ["_kept_id", "_kept_sha"], "left_semi")
+    """The rows of docs that exact_groups() keeps, with the columns they came with, whatever their names; of rows that repeat id and text, one."""
+    id_of = lambda c: F.coalesce(c.cast("bigint"), F.lit(LAST)).alias("_id")
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select(id_of(F.col(f"`{id_col}`")), F.col("text_sha256").alias("_sha")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(row, id_of(F.col(f"`{id_col}`")), F.sha2(normalised(F.col(f"`{text_col}`")), 256).alias("_sha"))
+    out = rows.join(kept, ["_id", "_sha"], "left_semi")
     if not docs.groupBy(F.col(f"`{id_col}`")).count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["_kept_id", "_kept_sha"])
-    return out.select(docs.columns)
+        out = out.dropDuplicates(["_id", "_sha"])
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
