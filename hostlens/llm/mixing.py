@@ -18,15 +18,17 @@ PART = 30.0
 TERMS = 120
 #: Rates of at most so many sources are broadcast; of more, a source's rows are dealt to SALTS parts.
 BROADCAST_SOURCES, SALTS = 100_000, 64
+#: Weights to twelve decimals: smaller ones count as none in the sum only.
+WEIGHT = "decimal(38,12)"
 
 
 def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, epochs: float = 1.0, group_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(source, mass, rate): the size of each source in characters and its mean repetition rate.
+    """(_source, _mass, _rate): the size of each source in characters and its mean repetition rate.
 
     weights: source -> target weight (absent sources: 0, their documents go); None: the
     weight of a source is its size to the given power, which lifts small sources. The result holds about
-    epochs x total characters. Rates are rounded to six digits. A null source is a source of its
-    own (named ""). A source without characters has rate 0.
+    epochs x total characters. Weights are summed as decimals, so that their order doesn't matter. A null source is a
+    source of its own (named ""). A source without characters has rate 0.
     """
     name = F.coalesce(F.col(f"`{group_col}`").cast("string"), F.lit("")).alias("_source")
     sizes = docs.select(name, F.coalesce(F.length(F.col(f"`{text_col}`")), F.lit(0)).cast("bigint").alias("n")).groupBy("_source").agg(F.sum("n").alias("_mass"))
@@ -38,8 +40,8 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, p
             share = F.when(F.col("_source") == k, float(w)).otherwise(share)
         share = F.when(F.col("_mass") > 0, share).otherwise(0.0)
     sizes = sizes.withColumn("_w", share)
-    total = sizes.agg(F.sum("_mass").alias("_total"), F.sum("_w").alias("_weight"))  # one row
-    rate = F.when((F.col("_mass") > 0) & (F.col("_weight") > 0), F.round(F.col("_w") / F.col("_weight") * F.col("_total") * epochs / F.col("_mass"), 6)).otherwise(0.0)
+    total = sizes.agg(F.sum("_mass").alias("_total"), F.sum(F.col("_w").cast(WEIGHT)).cast("double").alias("_weight"))  # one row
+    rate = F.when((F.col("_mass") > 0) & (F.col("_weight") > 0), F.col("_w") / F.col("_weight") * F.col("_total") * epochs / F.col("_mass")).otherwise(0.0)
     return sizes.crossJoin(F.broadcast(total)).select("_source", "_mass", rate.alias("_rate"))
 
 
@@ -74,20 +76,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     first digits and sorted by it inside each partition, so the copies of a hot source spread evenly.
     A count depends on seed and doc_id alone: repeated rows get equal counts; a null id draws as an
     id of its own. Null or empty texts belong to their source and are drawn at its rate. An empty
-    table gives an empty result. Columns named copy or shuffle_key are replaced.
+    table gives an empty result. Columns named copy or shuffle_key are replaced; all others pass, whatever their names.
     """
-    rates = repetition_rates(docs, weights, power, epochs, group_col, text_col).select("_source", "_rate")
+    rates = written(repetition_rates(docs, weights, power, epochs, group_col, text_col).select("_source", "_rate"))
     source = F.coalesce(F.col(f"`{group_col}`").cast("string"), F.lit(""))
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
-    kept = docs.drop("copy", "shuffle_key")
-    rates, named = written(rates), kept.withColumn("_source", source)
+    kept = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
+    # the row is one column, so that no name of it can clash
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), source.alias("_source"), key.alias("_key"))
     if rates.count() <= BROADCAST_SOURCES:
         joined = named.join(F.broadcast(rates), "_source")  # a name and a number for each source, their count checked
     else:
         # texts of a hot source meet its rate in many tasks
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        joined = named.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(rates.withColumn("_salt", salts), ["_source", "_salt"])
-    drawn = joined.withColumn("_n", poisson_count(F.col("_rate"), seed, key))
-    copies = drawn.filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), key, F.col("copy").cast("string"))))
-    out = copies.select(*[F.col(f"`{c}`") for c in kept.columns], F.col("copy").cast("bigint").alias("copy"), "shuffle_key")
-    return out.repartition(partitions(docs.sparkSession), F.substring("shuffle_key", 1, 8)).sortWithinPartitions("shuffle_key")
+        joined = named.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int")).join(rates.withColumn("_salt", salts), ["_source", "_salt"])
+    drawn = joined.withColumn("_n", poisson_count(F.col("_rate"), seed, F.col("_key")))
+    copies = drawn.filter("_n > 0").select("_row", "_key", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
+    copies = copies.withColumn("_at", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), "_key", F.col("_copy").cast("string"))))
+    dealt = copies.repartition(partitions(docs.sparkSession), F.substring("_at", 1, 8)).sortWithinPartitions("_at")
+    return dealt.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], F.col("_copy").cast("bigint").alias("copy"), F.col("_at").alias("shuffle_key"))
