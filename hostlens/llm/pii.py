@@ -22,9 +22,21 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO EG GT HU LB PL SV", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """Of each country just so many characters, so that words that follow are no part of the number."""
+    return "|".join(rf"(?:{'|'.join(names.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items())
+
+
 #: Added kinds; each needs its checksum, or a context word nearby.
 ADDED = {
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_iban_pattern()})(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local_phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
 }
@@ -103,14 +115,15 @@ def find_pii(docs: DataFrame, text_col: str = "text", threshold: float = THRESHO
     * Other columns pass unchanged (a column named `pii` is replaced). Repeated rows are each searched.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    # one column a kind, so that no pattern runs twice
-    out = docs.withColumns({f"_pii_{k}": _spans(text, k, p, reach) for k, p in (BASE | ADDED).items()})
-    base = F.concat(*[F.col(f"_pii_{k}") for k in BASE])
-    clear = lambda s: (s.score >= threshold) & ~F.exists(F.col("_pii_base"), lambda b: (b.start < s.end) & (s.start < b.end))
-    out = out.withColumn("_pii_base", base).withColumn("_pii_added", F.filter(F.concat(*[F.col(f"_pii_{k}") for k in ADDED]), clear))
+    # one column a kind, so that no pattern runs twice; the row is one column, so that no name of it can clash
+    kept = [c for c in docs.columns if c.lower() != "pii"]
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), *[_spans(text, k, p, reach).alias(f"_{k}") for k, p in (BASE | ADDED).items()])
+    base = F.concat(*[F.col(f"_{k}") for k in BASE])
+    clear = lambda s: (s.score >= threshold) & ~F.exists(F.col("_base"), lambda b: (b.start < s.end) & (s.start < b.end))
+    out = out.withColumn("_base", base).withColumn("_added", F.filter(F.concat(*[F.col(f"_{k}") for k in ADDED]), clear))
     rank = F.array(*[F.lit(k) for k in KINDS])
-    keyed = F.transform(F.concat("_pii_base", "_pii_added"), lambda s: F.struct(s.start.alias("a"), F.array_position(rank, s.kind).alias("b"), s.alias("s")))
-    return out.withColumn("pii", F.transform(F.sort_array(keyed), lambda k: k.s)).drop("_pii_base", "_pii_added", *[f"_pii_{k}" for k in KINDS])
+    keyed = F.transform(F.concat("_base", "_added"), lambda s: F.struct(s.start.alias("a"), F.array_position(rank, s.kind).alias("b"), s.alias("s")))
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], F.transform(F.sort_array(keyed), lambda k: k.s).alias("pii"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -119,7 +132,10 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The input with each span of `pii` replaced by [KIND]; of overlapping spans the first counts."""
+    """The input of find_pii() with each of its spans replaced by [KIND]; of overlapping spans the first counts.
+
+    Null text becomes the empty text; a text without spans stays as it is. Repeated rows, null ids and other columns pass unchanged.
+    """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda a, s: F.when(s.start < a.at, a).otherwise(F.struct(s.end.alias("at"), F.concat(a.out, F.substring(text, a.at + 1, s.start - a.at), F.lit("["), F.upper(s.kind), F.lit("]")).alias("out")))
