@@ -116,12 +116,12 @@ def _statistics_frame(docs: DataFrame, keep: str, schema: str, text_col: str) ->
     return docs.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits P(quality = 1) on labelled rows outside the held-out fold (crc32(doc_id) mod 5 = 0).
 
     Folds 1 to 3 fit the ridge, fold 4 calibrates it. Only the text is seen. Of more than
     max_train labelled rows, a hash of the id draws about that many. Null labels are ignored,
-    repeated ones averaged. Without usable labels every document scores 0.5.
+    repeated ones averaged; labels have the columns doc_id and quality. Without usable labels every document scores 0.5.
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     known = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("q"))
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
         known = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_train / n))
     known = known.groupBy("doc_id").agg(F.avg("q").alias("q"))
     # at most about max_train rows of 16 bytes: broadcast by that bound
-    drawn = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select(fold.cast("int").alias("fold"), "q", "text")
+    drawn = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(known), "doc_id").select(fold.cast("int").alias("fold"), "q", "text")
     sample = written(_statistics_frame(drawn, "fold q", "fold int, q double, x array<double>", "text"))
 
     fit = sample.filter("fold < 4")
@@ -188,15 +188,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id bigint, score double, predicted int")
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train: int = MAX_TRAIN) -> DataFrame:
-    """(doc_id, held_out, score, predicted): trains on the labelled documents, scores all."""
-    out = score(docs, train(docs, labels, max_train), threshold=threshold)
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, score, predicted): trains on the labelled documents, scores all. Edge cases as in train() and score()."""
+    out = score(docs, train(docs, labels, max_train, id_col, text_col), id_col, text_col, threshold)
     return out.select("doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0).alias("held_out"), "score", "predicted")
 
 
-def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train: int = MAX_TRAIN, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not rejected, with the columns they came with. Local to a row: no join on ids."""
-    model = train(docs, labels, max_train)
+def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not rejected, with the columns they came with, whatever their names. Local to a row: no join on ids.
+
+    Null text is scored as the empty text. Null ids and repeated rows are judged like any other; equal texts are judged alike.
+    Without usable labels all rows stay. An empty table gives an empty result.
+    """
+    model = train(docs, labels, max_train, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
