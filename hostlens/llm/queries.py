@@ -17,8 +17,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats all conversations and the probe -7, and reads the digests back from the output."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = "</s>[INST] ok [/INST]"
-    turns = turns.unionByName(spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string"))
+    turns = turns.unionByName(spark.sql("SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS probe(turn, role)"))
     out = chat.format_chat(turns).withColumn("_read", chat.parse_chat(F.col("formatted")))
     # the loss mask is the segments' own flag, not the role
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s.loss), lambda s: chat.unescape(s.text)), "")
@@ -115,7 +114,7 @@ FROM marked GROUP BY conv_id
 """,
     "op4_mix": """
 WITH sizes AS (SELECT coalesce(source, '') AS s, cast(sum(coalesce(length(text), 0)) AS BIGINT) AS mass FROM documents GROUP BY 1),
-rates AS (SELECT s, round(CASE WHEN mass > 0 THEN pow(mass, 0.5) / (SELECT sum(pow(mass, 0.5)) FROM sizes) * (SELECT sum(mass) FROM sizes) / mass ELSE 0 END, 6) AS rate FROM sizes),
+rates AS (SELECT s, CASE WHEN mass > 0 THEN pow(mass, 0.5) / (SELECT cast(sum(cast(pow(mass, 0.5) AS DECIMAL(38,12))) AS DOUBLE) FROM sizes) * (SELECT sum(mass) FROM sizes) / mass ELSE 0 END AS rate FROM sizes),
 means AS (SELECT s, rate, greatest(ceil(rate / 30), 1) AS parts, rate / greatest(ceil(rate / 30), 1) AS mean FROM rates WHERE rate > 0),
 terms AS (SELECT s, sum(exp(-mean + k * ln(mean) - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) AS cdf FROM means, range(120) r(k)),
 draws AS (SELECT doc_id, d.s, cast('0x' || substr(md5('42:' || doc_id || ':' || j), 1, 13) AS BIGINT) / 4503599627370496.0 AS u

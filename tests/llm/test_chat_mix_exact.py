@@ -121,3 +121,27 @@ def test_mix_is_the_same_in_every_run(spark, seed):
     df = spark.createDataFrame([(i, "word", "s", None) for i in range(300)], DOCS)
     a, b = (sorted((r.doc_id, r.copy, r.shuffle_key) for r in mixing.mix(df.repartition(n), seed=seed).collect()) for n in (1, 7))
     assert a == b
+
+
+def test_clashing_columns_pass(spark):
+    names = "_source _rate _n _salt _key _row _at _id _sha _kept_id _kept_sha _bucket _norm".split()
+    df = spark.createDataFrame([(1, "a", "s", *names), (2, "a ", "s", *names), (3, "a b", "t", *names)], "doc_id bigint, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for out, n in ((exact.drop_copies(df), 3), (mixing.mix(df, power=1.0), None)):
+        rows = out.collect()
+        assert out.columns[: len(df.columns)] == df.columns and rows and n in (None, len(rows))
+        assert all([r[x] for x in names] == names for r in rows)
+
+
+def test_mix_keeps_sources_of_very_small_rates(spark):
+    df = spark.createDataFrame([(1, "x" * 50_000, "big", None), (2, "y", "small", None)], DOCS)
+    rates = {r._source: r._rate for r in mixing.repetition_rates(df, weights={"big": 1e-9, "small": 1.0}).collect()}
+    assert 0 < rates["big"] < 1e-8 and rates["small"] > 1e4
+
+
+def test_long_texts(spark):
+    long = "word </s> \\ " * 60_000
+    got = formatted(spark, [(1, 0, "user", long), (1, 1, "assistant", long)]).first()
+    assert [x.text for x in got.read] == [long, long]
+    df = spark.createDataFrame([(1, long, "s", None), (2, long, "s", None), (3, long + "x", "s", None)], DOCS)
+    assert sorted(x.doc_id for x in exact.drop_copies(df).collect()) == [1, 3]
+    assert {r.text for r in mixing.mix(df, epochs=3.0).collect()} <= {long, long + "x"}

@@ -33,6 +33,14 @@ def test_no_labels_and_odd_texts(spark):
     assert quality.classify(docs, some).filter("score is null or isnan(score)").count() == 0
 
 
+def test_own_column_names(spark):
+    rows = [(i, "Plain words make a fine sentence here." if i % 2 else "$$ || buy!!! $$ ||", "k") for i in range(60)]
+    docs = spark.createDataFrame(rows, "key long, body string, doc_id string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    kept = quality.filter_quality(docs, labels, id_col="key", text_col="body")
+    assert kept.columns == docs.columns and {r.key for r in kept.collect()} == set(range(1, 60, 2))
+
+
 def test_statistics_do_not_depend_on_neighbours():
     texts = ["", "One two, two.\n", "Été || \U0001f600", "x" * 1000]
     whole = quality.statistics(pa.array(texts))

@@ -53,9 +53,11 @@ def test_base_spans(spark, texts):
 
 def test_added_kinds_context_and_redaction(spark):
     texts = ["IBAN DE89370400440532013000 ok", "DE89370400440532013001", "my ssn 123-45-6789", "part 123-45-6789", "call (555) 123-4567 now", "555-123-4567", None, ""]
-    out = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    texts += ["DE89370400440532013000 BIC COBADEFFXXX", "pay GB82 WEST 1234 5698 7654 32 AND MORE", "DE8937040044053201300 X"]
+    out = pii.find_pii(spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, _email string"))
+    assert out.filter("_email = 'k'").count() == len(texts)
     got = {r.doc_id: [s.kind for s in r.pii] for r in out.collect()}
-    assert got == {0: ["iban"], 1: [], 2: ["ssn"], 3: [], 4: ["local_phone"], 5: [], 6: [], 7: []}
+    assert got == {0: ["iban"], 1: [], 2: ["ssn"], 3: [], 4: ["local_phone"], 5: [], 6: [], 7: [], 8: ["iban"], 9: ["iban"], 10: []}
     assert {r.doc_id: r.text for r in pii.redact(out).collect()}[2] == "my ssn [SSN]"
 
 
