@@ -37,8 +37,9 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes all pages as an archive and reads every record back through the index."""
-    out = warc.read_archive(warc.write_archive(table(spark, sf_dir, "pages")))
+    """Writes all pages as an archive, looks up the key of every URL in its index and reads the records back by range."""
+    pages = table(spark, sf_dir, "pages")
+    out = warc.captures(warc.write_archive(pages), pages.select(warc.url_key(F.col("url")).alias("key")))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -29,8 +29,6 @@ from .common import partitions, shared_dir, written
 
 #: A block of the index ends at so many records or so many bytes of archive.
 BLOCK_RECORDS, BLOCK_BYTES = 1000, 8 << 20
-#: Lookups that one task answers for one archive file at a time.
-SALTS = 16
 DATE = "1970-01-01T00:00:00Z"
 LEVEL = 6
 
@@ -156,10 +154,14 @@ class _Reader:
         self.warc, self.index = system.open_input_file(posixpath.join(path, warc)), system.open_input_file(posixpath.join(path, index))
         self.directory = json.loads(zlib.decompress(self.index.read_at(directory_bytes, directory_at)))
         self.keys = [d[0] for d in self.directory]
+        self.read: tuple[int, list[dict]] = -1, []
 
     def lines(self, block: int) -> list[dict]:
-        _, at, n, *_ = self.directory[block]
-        return [json.loads(x) for x in zlib.decompress(self.index.read_at(n, at)).decode().split("\n")]
+        """The lines of a block; the last one read is kept, for keys that are asked in order."""
+        if self.read[0] != block:
+            _, at, n, *_ = self.directory[block]
+            self.read = block, [json.loads(x) for x in zlib.decompress(self.index.read_at(n, at)).decode().split("\n")]
+        return self.read[1]
 
     def captures(self, key: str) -> Iterator[dict]:
         """The index lines of a key: it can begin in the block before the first one that starts with it, and go on over several."""
@@ -170,8 +172,12 @@ class _Reader:
             a = bisect.bisect_left(lines, key, key=lambda x: x["key"])
             yield from lines[a : bisect.bisect_right(lines, key, key=lambda x: x["key"])]
 
-    def record(self, line: dict) -> bytes:
-        return zlib.decompress(self.warc.read_at(line["length"], line["offset"]), 31)
+    def records(self, lines: list[dict]) -> Iterator[bytes]:
+        """The records of lines that follow one another in the archive, by one range read."""
+        first = lines[0]["offset"]
+        stretch = self.warc.read_at(lines[-1]["offset"] + lines[-1]["length"] - first, first)
+        for x in lines:
+            yield zlib.decompress(stretch[x["offset"] - first : x["offset"] - first + x["length"]], 31)
 
     def close(self) -> None:
         self.warc.close()
@@ -197,7 +203,11 @@ def _record_batch(rows: list[tuple], extra: list[tuple[str, pa.DataType]] = ())
 
 
 def read_archive(archive: Archive) -> DataFrame:
-    """RECORDS of all records, block by block: each task range-reads an index block and the stretch of archive that it describes. A revisit has no payload."""
+    """RECORDS of all records, block by block: each task range-reads an index block and the stretch of archive that it describes. A revisit has no payload.
+
+    Pages of null id, URL or payload, and repeated ones, come back as they were written: null URLs and payloads as empty texts. An archive without
+    files gives an empty result; a record that doesn't match its digest or length is an error.
+    """
     folder = archive.folder
     n = partitions(archive.manifest.sparkSession)
     files = archive.manifest.select("part", "warc", "index", "directory_at", "directory_bytes", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -210,20 +220,20 @@ def read_archive(archive: Archive) -> DataFrame:
                     if reader:
                         reader.close()
                     reader, opened = _Reader(folder, warc, index, directory_at, directory_bytes), warc
-                *_, at, size = reader.directory[block]
-                stretch = reader.warc.read_at(size, at)
-                rows = [_read_back(x, zlib.decompress(stretch[x["offset"] - at : x["offset"] - at + x["length"]], 31)) for x in reader.lines(block)]
-                yield _record_batch(rows)
+                lines = reader.lines(block)
+                yield _record_batch([_read_back(x, data) for x, data in zip(lines, reader.records(lines))])
         if reader:
             reader.close()
 
     return files.repartition(n, "part", "block").sortWithinPartitions("part", "block").mapInArrow(run, RECORDS)
 
 
-def lookup(archive: Archive, urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """(query_url, *RECORDS): all captures of each URL, compared by key; URLs without captures give no row. Null is the empty URL.
+def captures(archive: Archive, keys: DataFrame, key_col: str = "key") -> DataFrame:
+    """(key, *RECORDS): all captures of each distinct URL key, each once, through the index.
 
-    The manifest, one row for each archive file, comes to the driver; the directories stay in the files.
+    The files whose range holds a key are bisected from the manifest; in each, blocks of the index are bisected from its directory, lines from
+    the block, and the records of neighbouring lines come by one range read. A key of very many captures lies in many files, each of which is read by itself. The
+    manifest, one row for each archive file, comes to the driver; the directories stay in the files. Keys without captures, and null keys, give no row.
     """
     spark = archive.manifest.sparkSession
     folder = archive.folder
@@ -234,30 +244,43 @@ def lookup(archive: Archive, urls: DataFrame, url_col: str = "url") -> DataFrame
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The files whose range of keys holds a key."""
         for batch in batches:
-            out = [(u, k, f) for u, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for f in range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int32())], ["query_url", "key", "file"])
+            out = [(k, f) for k in batch.column(0).to_pylist() for f in range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32())], ["key", "file"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, opened = None, None
+        reader, opened, held = None, None, []
+
+        def read() -> pa.RecordBatch:
+            out = _record_batch([(x["key"], *_read_back(x, data)) for x, data in zip(held, reader.records(held))], [("key", pa.string())])
+            held.clear()
+            return out
+
         for batch in batches:
-            for url, key, file in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for key, file in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 if opened != file:
+                    if held:
+                        yield read()
                     if reader:
                         reader.close()
                     reader, opened = _Reader(folder, *places[file]), file
-                held = []
                 for line in reader.captures(key):
-                    held.append((url, *_read_back(line, reader.record(line))))
-                    if len(held) == 64:
-                        yield _record_batch(held, [("query_url", pa.string())])
-                        held = []
-                if held:
-                    yield _record_batch(held, [("query_url", pa.string())])
+                    if held and (line["offset"] != held[-1]["offset"] + held[-1]["length"] or line["offset"] - held[0]["offset"] >= BLOCK_BYTES or len(held) >= BLOCK_RECORDS):
+                        yield read()
+                    held.append(line)
+        if held:
+            yield read()
         if reader:
             reader.close()
 
+    wanted = keys.select(F.col(f"`{key_col}`").cast("string").alias("key")).filter("key is not null").distinct().mapInArrow(find, "key string, file int")
+    # all keys of a file in order: each block of its index is read once
+    wanted = wanted.repartition(partitions(spark), "file").sortWithinPartitions("file", "key")
+    return wanted.mapInArrow(run, f"key string, {RECORDS}")
+
+
+def lookup(archive: Archive, urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """(query_url, *RECORDS): all captures of each distinct URL, compared by key; URLs without captures give no row. Null is the empty URL."""
     url = F.coalesce(F.col(f"`{url_col}`"), F.lit(""))
-    wanted = urls.select(url.alias("query_url"), url_key(url).alias("key")).distinct().mapInArrow(find, "query_url string, key string, file int")
-    wanted = wanted.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
-    wanted = wanted.repartition(partitions(spark), "file", "salt").sortWithinPartitions("file", "key")
-    return wanted.mapInArrow(run, f"query_url string, {RECORDS}")
+    asked = urls.select(url.alias("query_url"), url_key(url).alias("key")).distinct()
+    found = captures(archive, asked)
+    return asked.join(found, "key").select("query_url", *[x.split()[0] for x in RECORDS.split(", ")])

@@ -113,6 +113,9 @@ def test_read_back(spark, archive):
         want.append((i, u or "", len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), "revisit" if revisit else "response", first if revisit else None, None if revisit else h or ""))
     got = [(r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.payload) for r in warc.read_archive(stored).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+    keys = spark.createDataFrame([(u,) for _, u, _ in rows], "url string").select(warc.url_key(F.col("url")).alias("key"))
+    got = [(r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.payload) for r in warc.captures(stored, keys).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_lookup_equals_scan(spark, archive):
@@ -131,6 +134,8 @@ def test_small_blocks_and_files(spark, monkeypatch, tmp_path):
     stored = warc.write_archive(df, folder=f"file://{tmp_path}")
     assert warc.read_archive(stored).count() == 50 and stored.manifest.agg(F.sum("blocks")).first()[0] >= 17
     assert warc.lookup(stored, spark.createDataFrame([("http://one.org/",)], "url string")).count() == 50
+    long = spark.createDataFrame([(1, "http://long.org/", "<p>\u00e9" * 300_000)], "page_id long, url string, html string")
+    assert warc.captures(warc.write_archive(long), spark.createDataFrame([("org,long)/",), (None,), ("org,none)/",)], "key string")).first().payload_bytes == 1_500_000
     data = b"".join(p.read_bytes() for p in tmp_path.glob("*.warc.gz"))
     n = 0
     while data:  # gzip members, one a record
