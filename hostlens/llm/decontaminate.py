@@ -6,7 +6,7 @@ outputs are at a small Hamming distance. Here the symbols are words. A walk star
 each document, and each hash table samples a few of its steps; so do the walks of the items, from
 starts spread over the whole item. Runs of words complete them: of n words with e edits, (n - e) / (e + 1)
 neighbours stay unedited somewhere, so each run of that length of an item has an entry, too, and
-no item within the limit is missed. Windows that meet an item in a table are verified by their exact
+the share that the walks may miss is found. Windows that meet an item in a table are verified by their exact
 word edit distance.
 """
 
@@ -16,22 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import plain_texts, slices
+from .words import plain_texts, slices, split_words
 
 #: An item is found where at most this share of its words is edited.
 EDITS = 0.2
-#: Independent walks; tables of each walk, by the number of first steps that they sample from; samples a table.
-#: Walks that fit no longer table use the shortest ones. An item's walks start at every STRIDE-th of its words.
-WALKS, REACHES, SAMPLES = 3, (10, 10, 20, 20, 20, 40, 40, 40), 4
-SHORT = 10
-STRIDE = 10
-#: Shorter items match by chance and are not searched.
-MIN_WORDS = 5
+#: Independent walks; tables of each walk, by the number of first steps that they sample from; samples a table. Walks that fit no
+#: longer table use the shortest ones. An item's walks start at every STRIDE-th of its words, those of an item of under SHORT_ITEM words at
+#: each of them. Chosen so that the walks alone find 0.95 of the items at the limit (a test measures it); the runs find the rest.
+WALKS, REACHES, SAMPLES = 3, (5, 5, 10, 10, 20, 20, 20, 40, 40, 40), 4
+SHORT, FEW_SAMPLES = 10, 3
+STRIDE, SHORT_ITEM = 10, 20
 #: Items held by each task at once: a block is at most this many texts.
 BLOCK = 20_000
 CHUNK = 1 << 15
@@ -42,39 +40,43 @@ _table[:128] = [ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(1
 LETTERS = _table
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(32-bit hash of each word, words in each text). ASCII marks separate words; case is ignored."""
+def tokens(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(number of each word in the list of distinct words, that list, words in each text). ASCII marks separate words; case is ignored."""
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int32)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     plain = pa.StringArray.from_buffers(n, pa.py_buffer((offsets - offsets[0]).astype(np.int32).tobytes()), pa.py_buffer(LETTERS[data].tobytes()))
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(plain))
-    flat, ends = lists.flatten(), np.asarray(lists.offsets)
-    full = np.asarray(pc.not_equal(flat, ""))
-    counts = np.diff(np.concatenate([[0], np.cumsum(full)])[ends - ends[0]])
-    coded = flat.filter(pa.array(full)).dictionary_encode()
-    hashed = np.fromiter((xxhash.xxh32_intdigest(w) | 1 for w in coded.dictionary.to_pylist()), np.uint32, len(coded.dictionary))
-    return (hashed[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.uint32)), counts
+    codes, words, counts = split_words(plain)
+    return codes, words.to_pylist(), counts
+
+
+def symbols(codes: np.ndarray, words: list[str]) -> np.ndarray:
+    """A 32-bit hash of each word: what walks and runs see. Candidates only; matches are verified on the words."""
+    hashed = np.fromiter((xxhash.xxh32_intdigest(w) | 1 for w in words), np.uint32, len(words))
+    return hashed[codes] if len(codes) else np.zeros(0, np.uint32)
 
 
 class Index:
     """The hash tables of a block of items. Bounded: for each item one entry a word in the runs, and WALKS x len(REACHES) a start in the walks."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        flat, counts = tokens(pa.array(texts, pa.string()))
-        cuts = np.cumsum(counts) - counts
-        self.items = [flat[a : a + n] for a, n in zip(cuts, counts)]
+    def __init__(self, ids: list[int], texts: list[str], min_words: int = 1):
+        codes, words, counts = tokens(pa.array(texts, pa.string()))
+        flat, cuts = symbols(codes, words), np.cumsum(counts) - counts
+        hashed = [flat[a : a + n] for a, n in zip(cuts, counts)]
+        #: numbers of the items' words from 1; 0 is any other word
+        self.numbers = {w: i for i, w in enumerate(words, 1)}
+        self.items = [codes[a : a + n] + 1 for a, n in zip(cuts, counts)]
         self.ids = np.array(ids, np.int64)
         rng = np.random.default_rng(SEED)
         self.steps = max(REACHES)
         self.odd = rng.integers(0, 1 << 32, (WALKS, self.steps), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-        self.samples = [[np.sort(rng.choice(r, SAMPLES, replace=False)) for r in REACHES] for _ in range(WALKS)]
-        searched = [i for i, x in enumerate(self.items) if len(x) >= MIN_WORDS]
+        self.samples = [[np.sort(rng.choice(r, SAMPLES if r >= SHORT else FEW_SAMPLES, replace=False)) for r in REACHES] for _ in range(WALKS)]
+        searched = [i for i, x in enumerate(self.items) if len(x) >= min_words]
         gap = np.zeros(self.steps + 1, np.uint32)
-        padded = np.concatenate([gap, *(part for i in searched for part in (self.items[i], gap))])
+        padded = np.concatenate([gap, *(part for i in searched for part in (hashed[i], gap))])
         sizes = np.array([len(self.items[i]) for i in searched], np.int64)
         heads = np.cumsum(sizes + len(gap)) - sizes
-        starts = [np.arange(0, n, STRIDE) for n in sizes]
+        starts = [np.arange(0, n, STRIDE if n >= SHORT_ITEM else 1) for n in sizes]
         shift, item, head = self._spread(starts, searched, heads)
         end = head + counts[item]
         long = np.array([r > SHORT for r in REACHES])[:, None]
@@ -83,7 +85,7 @@ class Index:
             hashes, at = self.walk(padded, head + shift, w, True)
             # a table counts if its samples lie inside the item
             fits = np.array([at[s[-1]] < end for s in self.samples[w]])
-            used = np.where((fits & long).any(axis=0), fits & long, fits)
+            used = np.where((fits & long).any(axis=0) & (counts[item] >= SHORT_ITEM), fits & long, fits)
             self.tables.append([self._table(h[u], item[u], shift[u]) for h, u in zip(hashes, used)])
         lengths = np.array([self.run_length(n) for n in sizes], np.int64)
         self.runs = {}
@@ -211,10 +213,13 @@ class Index:
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(text number, item id, distance, words of the item, word at which the window starts), the best window of each text and item."""
-        text, counts = tokens(texts)
+        codes, words, counts = tokens(texts)
         ends = np.cumsum(counts)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for start, item, doc in self.likely(text, self.candidates(text, ends)).tolist():
+        found = self.candidates(symbols(codes, words), ends)
+        numbers = np.fromiter((self.numbers.get(w, 0) for w in words), np.int64, len(words))
+        text = numbers[codes] if len(codes) else codes
+        for start, item, doc in self.likely(text, found).tolist():
             n = len(self.items[item])
             most = int(EDITS * n)
             if best.get((doc, item), (n,))[0] == 0:
@@ -229,24 +234,25 @@ class Index:
         return [(doc, int(self.ids[i]), d, len(self.items[i]), at) for (doc, i), (d, at) in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, block: int) -> Iterator[Index]:
+def _blocks(benchmark: DataFrame, block: int, min_words: int) -> Iterator[Index]:
     """The items, a block of at most about `block` at a time in the driver."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id is not null")
     n = -(-items.count() // block)
     for b in range(n):
         rows = items.filter(F.pmod(F.xxhash64(F.lit(9), "item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").collect()
         if rows:
-            yield Index([r.item_id for r in rows], [r.text for r in rows])
+            yield Index([r.item_id for r in rows], [r.text for r in rows], min_words)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, min_words: int = 1) -> DataFrame:
     """(doc_id, item_id, distance, item_words, similarity, first_word) of every document and item that occurs in it.
 
     An item occurs where a part of the document is at a word edit distance of at most EDITS of the item's words; all that occur are
     found, with their least distance. first_word is at most so many words beside the best part's first one.
     Work is local to a row; items are held block by block, and each block is one pass over the documents.
 
-    * Null and empty texts contain nothing. Items of fewer than MIN_WORDS words, and of null id, are not searched.
+    * Null and empty texts contain nothing, and items without words occur nowhere. Items of under five words occur only unedited; a caller to whom
+      they say little leaves them out by min_words. Items of null id are not searched.
     * Repeated documents are each reported; of repeated items with one id, each text that occurs is.
     * Other columns are ignored. An empty table on either side gives an empty result.
     """
@@ -267,13 +273,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         return docs.mapInArrow(run, schema)
 
     out = None
-    for index in _blocks(benchmark, block):
+    for index in _blocks(benchmark, block, min_words):
         out = searched(index) if out is None else out.union(searched(index))
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """The rows of docs in which no item occurs, with the columns they came with."""
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block: int = BLOCK, min_words: int = 1) -> DataFrame:
+    """The rows of docs in which no item occurs, with the columns they came with, whatever their names.
+
+    Null and empty texts stay; null ids and repeated rows are judged like any other. Items as in find_leaks(). An empty table on either side changes nothing.
+    """
 
     def clean(frame: DataFrame, index: Index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,6 +293,6 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         return frame.mapInArrow(run, frame.schema)
 
-    for index in _blocks(benchmark, block):
+    for index in _blocks(benchmark, block, min_words):
         docs = clean(docs, index)
     return docs

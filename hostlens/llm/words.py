@@ -24,17 +24,26 @@ def plain_texts(column) -> pa.Array:
     return pc.fill_null(column if column.type == pa.string() else column.cast(pa.string()), "")
 
 
-def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Words at white space: (code of each word, the distinct words, words in each text)."""
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts) if lower else texts)
+def at_white_space(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts, words in each text).
+
+    Each text gets a last word of its own, which is left out again: Arrow's split looks one byte past the end of a text that ends in white
+    space, and so at whatever the next one begins with.
+    """
+    lists = pc.utf8_split_whitespace(pc.binary_join_element_wise(texts, "x", " "))
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    flat = lists.flatten()
-    ends = np.asarray(lists.offsets)
+    flat, ends = lists.flatten(), np.asarray(lists.offsets)
     ends = ends - ends[0]
-    full = np.asarray(pc.not_equal(flat, ""))
-    before = np.concatenate([[0], np.cumsum(full)])[ends]
-    coded = flat.filter(pa.array(full)).dictionary_encode()
-    return np.asarray(coded.indices).astype(np.int64), coded.dictionary, np.diff(before)
+    full = np.array(pc.not_equal(flat, ""))
+    full[ends[1:] - 1] = False
+    return flat.filter(pa.array(full)), np.diff(np.concatenate([[0], np.cumsum(full)])[ends])
+
+
+def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words at white space: (code of each word, the distinct words, words in each text)."""
+    flat, counts = at_white_space(pc.utf8_lower(texts) if lower else texts)
+    coded = flat.dictionary_encode()
+    return np.asarray(coded.indices).astype(np.int64), coded.dictionary, counts
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -130,7 +130,7 @@ def leaks():
         # edits up to a tenth of the words are found but for rare misses; unrelated documents hold nothing
         inside = [item, edited(item, n // 10), text(20)][kind]
         docs.append((i, f"{text(rng.randint(0, 100))} {inside.upper() if i % 2 else inside + '.'} {text(rng.randint(0, 100))}"))
-    return docs + [(100, None), (101, ""), (102, items[0][1].replace(" ", "; "))], items
+    return docs + [(150, "This is too short, really."), (100, None), (101, ""), (102, items[0][1].replace(" ", "; "))], items
 
 
 def test_leaks(spark, leaks):
@@ -141,10 +141,9 @@ def test_leaks(spark, leaks):
     for d, t in docs:
         for i, x in items:
             item = plain(x)
-            if len(item) >= decontaminate.MIN_WORDS and (k := least_distance(plain(t), item)) <= int(decontaminate.EDITS * len(item)):
+            if item and (k := least_distance(plain(t), item)) <= int(decontaminate.EDITS * len(item)):
                 want[d, i] = k
-    assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
-    assert all(got[k] == v for k, v in want.items() if v == 0) and np.mean([got[k] == want[k] for k in got]) > 0.95
+    assert got == want and (150, 90) in got
     clean = decontaminate.remove_leaks(df, bench, block=7)
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in got}
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0 and decontaminate.find_leaks(df.limit(0), bench).count() == 0
@@ -161,17 +160,46 @@ def spoiled(words, where, how):
     return out
 
 
-@pytest.mark.parametrize("n", [5, 10, 15, 30, 60, 100])
+@pytest.mark.parametrize("n", [1, 3, 5, 10, 15, 30, 60, 100])
 def test_every_leak_within_the_limit_is_found(n):
     import pyarrow as pa
 
     items = [text(n) for _ in range(24)]
     index = decontaminate.Index(list(range(24)), items)
-    docs = []
+    docs = ["w " * 200_000] * (n == 30)
     for i, item in enumerate(items):
         inside = spoiled(item.split(), ["front", "middle", "end", "spread"][i % 4], ["replaced", "missing", "inserted"][i // 4 % 3])
         # also at the very start and end of a document
         docs.append(" ".join([text(30 * (i % 3 > 0)), *inside, text(30 * (i % 3 < 2))]))
     got = {(doc, item): d for doc, item, d, *_ in index.search(pa.array(docs))}
     want = {(a, b): k for a, t in enumerate(docs) for b, x in enumerate(items) if (k := least_distance(t.split(), x.split())) <= int(decontaminate.EDITS * n)}
-    assert got == want and {(i, i) for i in range(24)} <= set(want)
+    assert got == want and {(i + (n == 30), i) for i in range(24)} <= set(want)
+
+
+def test_walks_alone_reach_the_target():
+    """Without the runs that complete them, the walks' tables find 0.95 of the items at the limit, whatever the edits and wherever they are."""
+    import pyarrow as pa
+
+    low = {}
+    for n in (10, 20, 40, 100, 200):
+        items = [text(n) for _ in range(60)]
+        index = decontaminate.Index(list(range(60)), items)
+        index.runs = {}
+        for how in ("replaced", "missing", "inserted"):
+            for where in ("front", "middle", "end", "spread"):
+                docs = [" ".join([text(20), *spoiled(x.split(), where, how), text(20)]) for x in items]
+                got = {(d, i) for d, i, *_ in index.search(pa.array(docs))}
+                low[n, how, where] = sum((i, i) in got for i in range(60)) / 60
+    print({k: round(v, 2) for k, v in low.items() if v < 1})
+    assert min(low.values()) >= 0.95
+
+
+def test_words_do_not_depend_on_neighbours():
+    import pyarrow as pa
+
+    from hostlens.llm.words import split_words
+
+    for texts in (["ab cd ", "\u00e9a b"], ["ab\u00a0", "\U0001f600 b \n", "", " ", "x"], ["\u00e9 "] * 40, [" x", "x  x "]):
+        codes, words, counts = split_words(pa.array(texts))
+        words = words.to_pylist()
+        assert [words[c] for c in codes] == " ".join(texts).split() and counts.tolist() == [len(t.split()) for t in texts]
