@@ -8,7 +8,8 @@ longest common prefixes finds the intervals of rows that agree to the right; in
 scan over the bytes to the left finds the groups that agree that far and differ before and after it.
 
 Anchors whose group would not fit in one task are exchanged for longer anchors in a few steps, the
-last of which are the whole windows; those need no sorting, only a minimum for each key.
+last of which are the whole windows; those need no sorting, only a minimum for each key. Bytes that are not compared one by one
+(equal surroundings, whole windows) are compared by two independent 64-bit digests.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
-from .words import mixed, ranges, slices
+from .common import Scope, partitions, written
+from .words import mixed, plain_texts, ranges, slices
 
 #: Bytes of the shortest passage that counts.
 LENGTH = 100
@@ -32,9 +33,11 @@ ANCHORS = (20, 80, 100)
 #: Anchors with more different surroundings than this go to the next level.
 SPLIT = 8_000
 #: Documents that a hash of the id draws to find anchors in more than HOT of all documents. This decides only how rows are dealt.
-SAMPLE, HOT = 4000, 0.02
-#: Tasks over which such an anchor's rows are dealt.
-SALTS = 64
+SAMPLE, HOT = 4000, 0.005
+#: Tasks over which such an anchor's rows are dealt; a longer anchor's rows are dealt HEAVY or so to a task.
+SALTS, HEAVY = 64, 40_000
+#: Heavy longer anchors are broadcast up to this number of 16 bytes each, and joined beyond it.
+BROADCAST_ANCHORS = 1_000_000
 #: Rows that one scan holds at once, besides a group.
 CHUNK = 8_000
 #: Bytes of text at once in a task, or one longer text: about twenty numbers for each byte are held.
@@ -42,35 +45,38 @@ SLICE = 1 << 18
 
 _rng = np.random.default_rng(3)
 _SYMBOLS = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = int(_rng.integers(1 << 40, 1 << 62)) | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+_BASES = [int(x) | 1 for x in _rng.integers(1 << 40, 1 << 62, 2)]
+#: The digests' own numbers for each byte.
+_SYMBOLS = _SYMBOLS, _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+_powers = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
+def _power_tables(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    if which not in _powers or len(_powers[which][0]) < n:
         size = max(n, SLICE)
         step = lambda b: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64))])
-        _powers = step(_BASE), step(_INVERSE)
-    return _powers
+        _powers[which] = step(_BASES[which]), step(pow(_BASES[which], -1, 1 << 64))
+    return _powers[which]
 
 
 class Bytes:
-    """The texts of a batch, one after the other, with hashes of any part in constant time."""
+    """The texts of a batch, one after the other, with two independent hashes of any part in constant time."""
 
     def __init__(self, texts: pa.Array):
         n = len(texts)
-        texts = pc.fill_null(texts, "")
+        texts = plain_texts(texts)
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
         self.data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
         self.starts, self.ends = (offsets - offsets[0])[:-1], (offsets - offsets[0])[1:]
-        powers, self.inverse = _power_tables(len(self.data) + 1)
-        self.sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_SYMBOLS[self.data] * powers[: len(self.data)], out=self.sums[1:])
+        self.sums: dict[int, np.ndarray] = {}
 
-    def hashes(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[hi] - self.sums[lo]) * self.inverse[lo])
+    def hashes(self, lo: np.ndarray, hi: np.ndarray, which: int = 0) -> np.ndarray:
+        powers, inverse = _power_tables(len(self.data) + 1, which)
+        if which not in self.sums:
+            self.sums[which] = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum(_SYMBOLS[which][self.data] * powers[: len(self.data)], out=self.sums[which][1:])
+        sums = self.sums[which]
+        return mixed((sums[hi] - sums[lo]) * inverse[lo])
 
     def anchors(self, k: int, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(document number, position in the batch) of the anchors of all windows, in order."""
@@ -111,15 +117,15 @@ def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
         part, size = longer, 2 * size
 
 
-ROWS = "h bigint, c bigint, doc_id bigint, pos bigint, reach int, salt int, hot boolean"
+ROWS = "h bigint, c bigint, d bigint, doc_id bigint, pos bigint, reach int, salt int, hot boolean"
 
 
 def _rows(b: Bytes, ids: np.ndarray, doc: np.ndarray, position: np.ndarray, k: int, length: int, hot: dict | None = None) -> pa.RecordBatch:
-    """Anchor, digest of its surroundings, place; reach holds the bytes to the left and to the right that belong to them."""
+    """Anchor, two digests of its surroundings, place; reach holds the bytes to the left and to the right that belong to them."""
     start, end = b.starts[doc], b.ends[doc]
     left, right = np.minimum(position - start, length - k), np.minimum(end - position, length)
     h = b.hashes(position, position + k)
-    c = mixed(b.hashes(position - left, position + right) + (left * 4096 + right).astype(np.uint64))
+    c, d = (mixed(b.hashes(position - left, position + right, i) + (left * 4096 + right).astype(np.uint64)) for i in (0, 1))
     salt, same = np.zeros(len(h), np.int32), np.zeros(len(h), bool)
     if hot and len(hot["anchors"]):
         inside = hot["anchors"][np.minimum(np.searchsorted(hot["anchors"], h), len(hot["anchors"]) - 1)] == h
@@ -127,7 +133,7 @@ def _rows(b: Bytes, ids: np.ndarray, doc: np.ndarray, position: np.ndarray, k: i
         if len(hot["contexts"]):
             both = mixed(h) + c
             same = hot["contexts"][np.minimum(np.searchsorted(hot["contexts"], both), len(hot["contexts"]) - 1)] == both
-    columns = [h.view(np.int64), c.view(np.int64), ids[doc], position - start, (left * 4096 + right).astype(np.int32), salt, same]
+    columns = [h.view(np.int64), c.view(np.int64), d.view(np.int64), ids[doc], position - start, (left * 4096 + right).astype(np.int32), salt, same]
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [x.split()[0] for x in ROWS.split(", ")])
 
 
@@ -137,7 +143,7 @@ def _anchor_rows(docs: DataFrame, length: int, hot: dict | None) -> DataFrame:
             b = Bytes(batch.column(1))
             yield _rows(b, np.asarray(batch.column(0)), *b.anchors(ANCHORS[0], length), ANCHORS[0], length, hot)
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.select("doc_id", "text").mapInArrow(run, ROWS)
 
 
 def _hot(docs: DataFrame, length: int) -> dict:
@@ -157,19 +163,41 @@ def _hot(docs: DataFrame, length: int) -> dict:
     return {"anchors": anchors, "contexts": np.sort(mixed(h) + c)}
 
 
+SCANNED = "h c d doc_id pos reach first repeated spread common".split()
+
+
 def _scanned(rows: DataFrame, split: int) -> DataFrame:
     """The rows that matter, with: first (of its surroundings), repeated (they occur more than once), spread (the anchor has several surroundings), common (too many for one task).
 
     Rows of hot surroundings are known beforehand: `hot` is set on all, `again` on all but the first.
     """
-    order = Window.partitionBy("h", "salt").orderBy("c", "doc_id", "pos")
-    whole = Window.partitionBy("h", "salt").orderBy("c", "doc_id", "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("_before", F.lag("c").over(order)).withColumn("_after", F.lead("c").over(order))
-    rows = rows.withColumn("first", ~F.col("again") & (F.col("_before").isNull() | (F.col("_before") != F.col("c"))))
+    order = Window.partitionBy("h", "salt").orderBy("c", "d", "doc_id", "pos")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    both = F.struct("c", "d")
+    rows = rows.withColumn("_before", F.lag(both).over(order)).withColumn("_after", F.lead(both).over(order))
+    rows = rows.withColumn("first", ~F.col("again") & (F.col("_before").isNull() | (F.col("_before") != both)))
     rows = rows.withColumn("_n", F.sum(F.col("first").cast("int")).over(whole))
-    rows = rows.withColumn("repeated", F.col("hot") | ~F.col("first") | F.coalesce(F.col("_after") == F.col("c"), F.lit(False))).withColumn("common", (F.col("salt") > 0) | (F.col("_n") > split))
+    rows = rows.withColumn("repeated", F.col("hot") | ~F.col("first") | F.coalesce(F.col("_after") == both, F.lit(False))).withColumn("common", (F.col("salt") > 0) | (F.col("_n") > split))
     rows = rows.withColumn("spread", F.col("first") & ((F.col("_n") > 1) | F.col("common")))
-    return rows.filter("repeated or spread").select("h", "c", "doc_id", "pos", "reach", "first", "repeated", "spread", "common")
+    return rows.filter("repeated or spread").select(*SCANNED)
+
+
+def _windows(rows: DataFrame) -> DataFrame:
+    """_scanned() of the last level: a minimum for each whole window, combined before the shuffle, and a join that Spark can split."""
+    firsts = rows.groupBy("h", "d").agg(F.min(F.struct("doc_id", "pos")).alias("_f"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    found = rows.join(firsts, ["h", "d"]).withColumns({"first": F.struct("doc_id", "pos") == F.col("_f"), "repeated": F.lit(True), "spread": F.lit(False), "common": F.lit(False)})
+    return found.select(*SCANNED)
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    """Rows of a longer anchor that is still very common are dealt by their surroundings, about HEAVY to a task."""
+    rows = written(rows)
+    heavy = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HEAVY))
+    n = heavy.count()
+    if not n:
+        return rows
+    found = rows.join(F.broadcast(heavy) if n <= BROADCAST_ANCHORS else heavy, "h", "left")
+    return found.withColumn("salt", F.when(F.col("_n").isNull(), F.col("salt")).otherwise(1 + F.pmod("c", F.ceil(F.col("_n") / HEAVY))).cast("int")).drop("_n")
 
 
 def _marked(rows: DataFrame) -> DataFrame:
@@ -177,11 +205,11 @@ def _marked(rows: DataFrame) -> DataFrame:
 
     The first ones are a minimum combined before the shuffle; there are few, and they are broadcast.
     """
-    firsts = rows.filter("hot").groupBy("h", "c").agg(F.min(F.struct("doc_id", "pos")).alias("_f"))
-    firsts = written(firsts).withColumnsRenamed({"h": "_h", "c": "_c"})
-    found = rows.join(F.broadcast(firsts), F.col("hot") & (rows.h == firsts._h) & (rows.c == firsts._c), "left").withColumn("again", F.coalesce(F.struct("doc_id", "pos") != F.col("_f"), F.lit(False)))
+    firsts = rows.filter("hot").groupBy("h", "c", "d").agg(F.min(F.struct("doc_id", "pos")).alias("_f"))
+    firsts = written(firsts).withColumnsRenamed({"h": "_h", "c": "_c", "d": "_d"})
+    found = rows.join(F.broadcast(firsts), F.col("hot") & (rows.h == firsts._h) & (rows.c == firsts._c) & (rows.d == firsts._d), "left").withColumn("again", F.coalesce(F.struct("doc_id", "pos") != F.col("_f"), F.lit(False)))
     dealt = F.when(F.col("again"), SALTS + 1 + F.pmod(F.xxhash64("doc_id", "pos"), F.lit(1 << 20))).otherwise(F.col("salt")).cast("int")
-    return found.withColumn("salt", dealt).drop("_h", "_c", "_f")
+    return found.withColumn("salt", dealt).drop("_h", "_c", "_d", "_f")
 
 
 CONTEXTS = "h bigint, doc_id bigint, pos bigint, right binary, left binary, around bigint"
@@ -190,7 +218,7 @@ CONTEXTS = "h bigint, doc_id bigint, pos bigint, right binary, left binary, arou
 def _with_texts(spots: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, text, at): the places of each document, beside its text."""
     at = spots.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h", "around")).alias("at"))
-    return docs.join(at, "doc_id").select("doc_id", "text", F.col("at.pos").alias("pos"), F.col("at.h").alias("h"), F.col("at.around").alias("around"))
+    return docs.select("doc_id", "text").join(at, "doc_id").select("doc_id", "text", F.col("at.pos").alias("pos"), F.col("at.h").alias("h"), F.col("at.around").alias("around"))
 
 
 def _places(batch: pa.RecordBatch) -> tuple[Bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -375,11 +403,18 @@ def _trees(contexts: DataFrame, k: int, length: int, n_parts: int, pruned: bool)
     return contexts.repartition(n_parts, "h").sortWithinPartitions("h", "right").mapInArrow(run, REPEATS)
 
 
-def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    docs = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    repeated = docs.groupBy("doc_id").count().filter("count > 1")
-    # ids are unique in nearly all tables; only where they are not, texts of one id meet
-    return docs if repeated.isEmpty() else docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+LAST = (1 << 63) - 1
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """((doc_id, id, text), whether doc_id is the id): each row is a document; where ids repeat, doc_id is a number in the order of id and text."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    own = F.coalesce("id", F.lit(LAST)).alias("doc_id")
+    if rows.groupBy(own).count().filter("count > 1").isEmpty():
+        return rows.select(own, "id", "text"), True
+    order = [F.col("id").asc_nulls_last(), F.xxhash64("text"), F.sha2("text", 256)]
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return written(rows.select(F.monotonically_increasing_id().alias("doc_id"), "id", "text")), False
 
 
 def _compact(docs: DataFrame, length: int, split: int, pruned: bool = False) -> DataFrame:
@@ -394,10 +429,10 @@ def _compact(docs: DataFrame, length: int, split: int, pruned: bool = False) ->
     rows = _anchor_rows(docs, length, hot)
     rows = _marked(rows) if len(hot["contexts"]) else rows.withColumn("again", F.lit(False))
     out = []
-    around = F.xxhash64("h", "c")
+    around = F.xxhash64("h", "c", "d")
     left, right = F.floor(F.col("reach") / 4096), F.col("reach") % 4096
     for level, k in enumerate(ANCHORS):
-        scanned = written(_scanned(rows, split))
+        scanned = written(_windows(rows) if k == length else _scanned(rows, split))
         # surroundings are shorter than a window only at the ends of a text, where no window has this anchor
         same = scanned.filter("repeated").filter(left + right >= length)
         out.append(same.select(around.alias("repeat"), "doc_id", (F.col("pos") - left).cast("bigint").alias("start"), (left + right).cast("int").alias("length"), "first", F.lit(None).cast("bigint").alias("around"), F.lit(0).alias("shift")))
@@ -409,32 +444,53 @@ def _compact(docs: DataFrame, length: int, split: int, pruned: bool = False) ->
         spots = scanned.filter("spread and common" if pruned else "common").select("doc_id", "pos", "h", around.alias("around"))
         if spots.isEmpty():
             break
-        rows = _longer(spots, docs, k, ANCHORS[level + 1], length).withColumn("again", F.lit(False))
+        longer = ANCHORS[level + 1]
+        rows = _longer(spots, docs, k, longer, length)
+        rows = (rows if longer == length else _salted(rows)).withColumn("again", F.lit(False))
     result = out[0]
     for x in out[1:]:
         result = result.unionByName(x)
     return result
 
 
+def _joined(found: DataFrame) -> DataFrame:
+    """Repeats whose occurrences are the same places a few bytes on, and that overlap or touch, as one repeat."""
+    heads = found.groupBy("repeat").agg(F.min(F.struct("doc_id", "start")).alias("_h"), F.count(F.lit(1)).alias("_n"), F.max("length").alias("_length"))
+    places = F.sum(F.xxhash64("doc_id", F.col("start") - F.col("_h.start")).cast("decimal(38,0)")).alias("_places")
+    shapes = found.join(heads, "repeat").groupBy("repeat", "_h", "_n", "_length").agg(places)
+    same = Window.partitionBy("_h.doc_id", "_n", "_places").orderBy("_h.start", F.desc("_length"), "repeat")
+    end = F.col("_h.start") + F.col("_length")
+    before = F.max(end).over(same.rowsBetween(Window.unboundedPreceding, -1))
+    chained = shapes.withColumn("_opens", F.coalesce(F.col("_h.start") > before, F.lit(True)).cast("int")).withColumn("_chain", F.sum("_opens").over(same.rowsBetween(Window.unboundedPreceding, 0)))
+    of_chain = chained.groupBy(F.col("_h.doc_id").alias("_doc"), "_n", "_places", "_chain").agg(F.min_by("repeat", F.struct(F.col("_h.start"), -F.col("_length"), "repeat")).alias("repeat"), (F.max(end) - F.min("_h.start")).cast("int").alias("length"))
+    return found.drop("length").join(of_chain.select("repeat", "length"), "repeat").select("repeat", "doc_id", "start", "length", "first")
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, split: int = SPLIT) -> DataFrame:
     """(repeat, doc_id, start, length, first): the repeated passages of at least `length` bytes with their occurrences, start in bytes of UTF-8.
 
-    Each repeat is a group of equal passages around one anchor; `first` marks the earliest by (doc_id, start). A passage that is
-    longer than an anchor's surroundings comes as several repeats that overlap, one for each anchor. For each string of `length` bytes
-    that occurs twice there is a repeat with all of its occurrences.
+    Each repeat is a group of equal passages; `first` marks the earliest by (doc_id, start). For each string of `length` bytes that occurs twice there is
+    a repeat with all of its occurrences. A passage of any length is one repeat if all of it occurs at the same places; where an inner part of
+    over `length` bytes occurs elsewhere, too, that part is a repeat of its own and the passage around it comes in parts.
 
     * Passages never cross documents and may overlap within one. Null text is the empty text.
-    * Rows with one id count as one document, with the least of their texts; null ids are one document, the last.
+    * Each row is a document. Rows with one id count in the order of their texts' hashes, equal texts in any order; null ids come last.
     * Other columns are ignored. An empty table gives an empty result.
     """
-    found = written(_compact(_documents(docs, id_col, text_col), length, split))
-    same, trees = found.filter("around is null"), found.filter("around is not null")
-    copies = same.filter("not first").select(F.col("repeat").alias("around"), F.col("doc_id").alias("_doc"), F.col("start").alias("_start"))
-    more = trees.join(copies, "around").select("repeat", F.col("_doc").alias("doc_id"), (F.col("_start") + F.col("shift")).alias("start"), "length", F.lit(False).alias("first"))
-    columns = ["repeat", "doc_id", "start", "length", "first"]
-    # a passage found at two of its anchors has one name, and its rows meet
-    out = same.select(columns).unionByName(trees.select(columns)).unionByName(more).distinct()
-    return out.withColumn("doc_id", F.when(F.col("doc_id") < F.lit((1 << 63) - 1), F.col("doc_id")))
+    with Scope() as scope:
+        docs, unique = _documents(docs, id_col, text_col)
+        found = written(_compact(docs, length, split))
+        same, trees = found.filter("around is null"), found.filter("around is not null")
+        copies = same.filter("not first").select(F.col("repeat").alias("around"), F.col("doc_id").alias("_doc"), F.col("start").alias("_start"))
+        more = trees.join(copies, "around").select("repeat", F.col("_doc").alias("doc_id"), (F.col("_start") + F.col("shift")).alias("start"), "length", F.lit(False).alias("first"))
+        columns = ["repeat", "doc_id", "start", "length", "first"]
+        # a passage found at two of its anchors has one name, and its rows meet
+        out = _joined(written(same.select(columns).unionByName(trees.select(columns)).unionByName(more).distinct()))
+        if unique:
+            out = out.withColumn("doc_id", F.when(F.col("doc_id") < F.lit(LAST), F.col("doc_id")))
+        else:
+            out = out.join(docs.select("doc_id", "id"), "doc_id").select("repeat", F.col("id").alias("doc_id"), "start", "length", "first")
+        return scope.keep(out)
 
 
 REMOVED = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
@@ -444,17 +500,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_bytes, n_removed, n_spans, kept): each document without the bytes of repeats that are not their first occurrence.
 
     kept is the remaining bytes (a cut may fall inside a character), or with keep_text = False their SHA-256 in lowercase hex. The first
-    occurrence of every passage stays. Edge cases as in repeats(); every document has a row, also empty ones.
+    occurrence of every passage stays. Edge cases as in repeats(); every input row has a row, also empty ones.
     """
-    docs = _documents(docs, id_col, text_col)
-    again = _compact(docs, length, split, pruned=True).filter("not first")
-    # a row holds the spans of one document: no more than its length allows
-    spans = again.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.col("start") + F.col("length"))).alias("at"))
-    joined = docs.join(spans, "doc_id", "left").select("doc_id", "text", F.col("at.start").alias("lo"), F.col("at.col2").alias("hi"))
+    with Scope() as scope:
+        rows, unique = _documents(docs, id_col, text_col)
+        again = _compact(rows, length, split, pruned=True).filter("not first")
+        # a row holds the spans of one document: no more than its length allows
+        spans = scope.keep(again.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.col("start") + F.col("length"))).alias("at")))
+        rows = rows if unique else scope.keep(rows)
+    joined = rows.join(spans, "doc_id", "left").select("id", "text", F.col("at.start").alias("lo"), F.col("at.col2").alias("hi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 * SLICE):
-            texts = batch.column(1)
+            texts = plain_texts(batch.column(1))
             offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
             data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
             start, end = (offsets - offsets[0])[:-1], (offsets - offsets[0])[1:]
@@ -472,5 +530,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kept = parts if keep_text else [hashlib.sha256(p).hexdigest().encode() for p in parts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(end - start), pa.array(total(gone)), pa.array(total(opens)), pa.array(kept, pa.binary())], [x.split()[0] for x in REMOVED.split(", ")])
 
-    out = joined.mapInArrow(run, REMOVED)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") < F.lit((1 << 63) - 1), F.col("doc_id")))
+    return joined.mapInArrow(run, REMOVED)

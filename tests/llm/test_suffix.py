@@ -47,14 +47,14 @@ def test_removal(spark, monkeypatch, split, hot):
     if hot < 0.01:  # nearly every repeated anchor counts as hot
         monkeypatch.setattr(suffix, "HOT", hot)
         monkeypatch.setattr(suffix, "SAMPLE", 40)
+        monkeypatch.setattr(suffix, "HEAVY", 5)
     docs = documents()
     df = spark.createDataFrame([(d, t, "clash") for d, t in docs], "doc_id long, text string, start string")
     got = {r[0]: (r[1], r[2], r[3], bytes(r[4]).decode()) for r in suffix.remove_repeats(df, keep_text=False, split=split).collect()}
     assert got == brute(docs)
 
 
-def test_repeats_are_equal_passages_with_all_occurrences(spark, monkeypatch):
-    monkeypatch.setattr(suffix, "HOT", 1e9)
+def test_repeats_are_equal_passages_with_all_occurrences(spark):
     docs = documents()
     texts = {d: (t or "").encode() for d, t in docs}
     groups = defaultdict(list)
@@ -82,6 +82,7 @@ def test_repeats_of_common_anchors_list_all_copies(spark, monkeypatch, split, ho
     if hot < 0.01:
         monkeypatch.setattr(suffix, "HOT", hot)
         monkeypatch.setattr(suffix, "SAMPLE", 40)
+        monkeypatch.setattr(suffix, "HEAVY", 5)
     passage = text(40)
     docs = documents() + [(5000 + i, f"{text(30)} {passage} {text(30)}") for i in range(12)]
     docs += [(6000 + i, docs[-1 - i % 4][1]) for i in range(12)]
@@ -108,8 +109,33 @@ def test_edges(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], schema)).count() == 0
     rows = spark.createDataFrame([(1, "b" * 120), (1, "a" * 120), (None, "a" * 120), (2, None)], schema)
     got = {r.doc_id: (r.n_bytes, bytes(r.kept)) for r in suffix.remove_repeats(rows).collect()}
-    # of one id the least text counts; the null id comes last; of a run of one letter only the first window is new
-    assert got == {1: (120, b"a" * (120 - brute([(1, "a" * 120)])[1][1])), 2: (0, b""), None: (120, b"")}
+    assert got[2] == (0, b"") and got[None] == (120, b"")
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    same = text(60)
+    rows = [(1, "b" * 120), (1, "a" * 120), (None, "a" * 120), (None, same), (2, None), (3, same), (3, same), (3, text(60)), (9, same)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_bytes, len(r.kept)) for r in suffix.remove_repeats(df).collect())
+    n, one = len(same.encode()), brute([(1, "a" * 120)])[1]
+    whole = lambda i: (str(i), n, n)
+    want = [("1", 120, 120 - one[1])] * 2 + [("2", 0, 0), whole(3), ("3", n, 0), ("3", len(rows[7][1].encode()), len(rows[7][1].encode())), ("9", n, 0), ("None", 120, 0), ("None", n, 0)]
+    assert got == sorted(want)
+    found = suffix.repeats(df).filter(f"length = {n}").collect()
+    assert sorted(str(r.doc_id) for r in found) == ["3", "3", "9", "None"] and [r.doc_id for r in found if r.first] == [3]
+
+
+def test_long_repeats_are_one(spark):
+    passage, other = text(900), text(2000)
+    docs = [(1, f"{text(30)} {passage} {text(30)}"), (2, f"{text(10)} {passage} {text(30)}"), (3, f"{passage} {text(40)}"), (4, other), (5, "x" + other), (6, text(200))]
+    groups = defaultdict(set)
+    for r in suffix.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        groups[r.repeat].add((r.doc_id, r.start, r.length))
+    n = len(other.encode())
+    assert {(4, 0, n), (5, 1, n)} in groups.values() and len(groups) <= 4
+    (long,) = [g for g in groups.values() if {d for d, *_ in g} == {1, 2, 3}]
+    texts = {d: t.encode() for d, t in docs}
+    assert len({texts[d][a : a + k] for d, a, k in long}) == 1 and passage.encode() in texts[1][min(long)[1] :][: min(long)[2]]
 
 
 def test_interval_tree():
