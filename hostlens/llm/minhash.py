@@ -10,29 +10,29 @@ work is the number of shingles plus about m log m points, not their product.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import Scope, partitions, written
 from .components import components
-from .words import MASK, bags, mixed, plain_texts, slices
+from .words import MASK, bags, mixed, plain_texts, ranges, slices
 
-#: 26 bands of 5: a pair at 0.8 meets in some band with probability 1 - (1 - 0.8^5)^26 = 0.99997.
-BANDS, ROWS = 26, 5
-PLACES = BANDS * ROWS
+#: A pair at exactly the similarity asked for meets in no band with at most this probability.
+MISS = 4e-5
+#: Places of a signature at most; bands and rows follow from the similarity. At 0.8: 26 bands of 5.
+PLACES = 130
 SIMILARITY = 0.8
-#: A pair that no round linked is compared in the last round if its signatures agree in this share of
-#: places: at similarity 0.8 the share is below it with a probability under 1e-4.
-LEAST_AGREEMENT = 0.65
-#: Rows of one bucket that one task compares.
-BLOCK = 1000
-#: Pairs of the last round must also agree in this share of the places of a longer signature: at similarity 0.8, 4 deviations below it.
-SHARP, LEAST_SHARP = 1024, 0.75
+#: Pairs of the second round must agree in their signatures, and in longer ones of SHARP places, at most so many standard deviations below the
+#: similarity: the share of pairs at exactly the similarity that either drops is under 5e-5, and falls quickly above it.
+DEVIATIONS, SHARP = 4.0, 1024
+#: Rows of one bucket that one task compares. Buckets whose classes beside the largest have more rows than BLOCKS such blocks are searched by rare shingles.
+BLOCK, BLOCKS = 1000, 8
 _SCALE = np.float64(2.0**-53)
 
 
@@ -40,6 +40,20 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * _SCALE
 
 
+def layout(similarity: float) -> tuple[int, int]:
+    """(bands, rows of a band): as many rows as PLACES allow at a probability of MISS."""
+    for rows in range(12, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-(similarity**rows))) if similarity < 1 else 1
+        if bands * rows <= PLACES:
+            return bands, rows
+    raise ValueError(f"a similarity of {similarity} needs more than {PLACES} places")
+
+
+def least_share(similarity: float, places: int) -> float:
+    """The share of equal places that a pair at the similarity has but for a negligible probability."""
+    return similarity - DEVIATIONS * math.sqrt(similarity * (1 - similarity) / places)
+
+
 def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int, places: int = PLACES) -> np.ndarray:
     """n x places earliest times; infinity where a document has no shingle. doc: sorted text number of each shingle."""
     out = np.full((n, places), np.inf)
@@ -77,24 +91,24 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int,
     return out
 
 
-def _signed(docs: DataFrame) -> DataFrame:
+def _signed(docs: DataFrame, bands: int, height: int) -> DataFrame:
     """(doc_id, bag, n_shingles, sig, bands): a digest of the multiset, one byte a place, one key a band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             n = batch.num_rows
             doc, shingle, count = bags(plain_texts(batch.column(1)))
-            times = signatures(doc, shingle, count, n)
+            times = signatures(doc, shingle, count, n, bands * height)
             bits = mixed(np.ascontiguousarray(times).view(np.uint64))
-            keys = np.zeros((n, BANDS), np.uint64)
-            for j in range(ROWS):
-                keys = mixed(keys + bits[:, j::ROWS][:, :BANDS] * np.uint64(2 * j + 1))
+            keys = np.zeros((n, bands), np.uint64)
+            for j in range(height):
+                keys = mixed(keys + bits[:, j::height] * np.uint64(2 * j + 1))
             cut = np.searchsorted(doc, np.arange(n + 1))
             digest = [xxhash.xxh3_128_digest(shingle[a:b].tobytes() + count[a:b].astype(np.int32).tobytes()) for a, b in zip(cut, cut[1:])]
             sig = np.ascontiguousarray((bits & np.uint64(255)).astype(np.uint8))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(digest, pa.binary()), pa.array(np.diff(cut), pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel())),
+                pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel())),
             ], ["doc_id", "bag", "n_shingles", "sig", "bands"])
 
     return docs.mapInArrow(run, "doc_id bigint, bag binary, n_shingles bigint, sig binary, bands array<bigint>")
@@ -126,9 +140,34 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def _mixed(rooted: DataFrame) -> DataFrame:
-    """(band, key, n) of the buckets whose documents are of several classes; n: of documents."""
+    """(band, key, n, largest, others) of the buckets whose documents are of several classes: rows, the largest class, and the rows beside it."""
     parts = rooted.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("m"))
-    return parts.groupBy("band", "key").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("band", "key", "n")
+    buckets = parts.groupBy("band", "key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("_most")).filter("n > _most.m")
+    return buckets.select("band", "key", "n", F.col("_most.root").alias("largest"), (F.col("n") - F.col("_most.m")).alias("others"))
+
+
+def _by_rare_shingles(rooted: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(band, key, doc_id, root) with one bucket for each rare shingle: two documents that reach the similarity share one of their rarest ones. Exact.
+
+    Of n shingles (copies counted apart) a document shares at least similarity x n with any other that reaches it, so that in one order of all shingles,
+    here by their number of documents, one of its first n - similarity x n + 1 is among the other's first ones, too. What very many documents share,
+    such as boilerplate, comes last in that order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            doc, shingle, count = bags(plain_texts(batch.column(1)))
+            copy = np.repeat(shingle, count) + np.uint64(0x9E3779B97F4A7C15) * ranges(count).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(doc, count))), pa.array(mixed(copy).view(np.int64))], ["doc_id", "key"])
+
+    roots = rooted.select("doc_id", "root").distinct()
+    rows = written(texts.select("doc_id", "text").join(roots.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, key bigint"))
+    frequency = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("doc_id").orderBy("n", "key")
+    whole = Window.partitionBy("doc_id")
+    rows = rows.join(frequency, "key").withColumns({"at": F.row_number().over(order), "size": F.count(F.lit(1)).over(whole)})
+    rare = rows.filter((F.col("n") > 1) & (F.col("at") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1))
+    return rare.join(roots, "doc_id").select(F.lit(0).alias("band"), "key", "doc_id", "root")
 
 
 def _sharp(docs: DataFrame) -> DataFrame:
@@ -145,41 +184,41 @@ def _sharp(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, sharp binary")
 
 
-def _across(rooted: DataFrame, mixed_buckets: DataFrame, signed: DataFrame, sharp: DataFrame) -> DataFrame:
+def _across(rooted: DataFrame, mixed_buckets: DataFrame, signed: DataFrame, sharp: DataFrame, similarity: float, places: int) -> DataFrame:
     """Distinct pairs (a, b) of documents of one bucket, of different classes and with similar signatures.
 
-    Large buckets go to tasks block by block. A pair that meets in several bands comes from the first of them.
+    Rows of a bucket's largest class go to one block of it, the others to all blocks, so that rows of one class cost their number.
+    A pair that meets in several bands comes from the first of them.
     """
     spark = rooted.sparkSession
-    rows = rooted.join(mixed_buckets.select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), ["band", "key"])
+    least, least_sharp = least_share(similarity, places), least_share(similarity, SHARP)
+    rows = rooted.join(mixed_buckets.select("band", "key", "largest", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), ["band", "key"])
     rows = rows.join(signed.select("doc_id", "sig", "bands"), "doc_id").join(sharp, "doc_id")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "doc_id"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "root", "sig", "bands", "sharp")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(3), "doc_id"), "blocks").cast("int"))
+    to = F.when(F.col("root") == F.col("largest"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.select("band", "key", F.explode(to).alias("block"), "own", "doc_id", "root", "sig", "bands", "sharp", (F.col("root") != F.col("largest")).alias("other"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, group = [], None
 
         def pairs() -> Iterator[pa.RecordBatch]:
-            band, _, x, y = group
-            block = np.array([r[0] for r in left])
-            ids, roots = np.array([r[1] for r in left]), np.array([r[2] for r in left])
-            sigs = np.frombuffer(b"".join(r[3] for r in left), np.uint8).reshape(len(left), -1)
-            sharps = np.frombuffer(b"".join(r[5] for r in left), np.uint8).reshape(len(left), -1)
+            band, _, block = group
+            own, ids, roots, other = (np.array([r[k] for r in left]) for k in (0, 1, 2, 6))
+            sigs, sharps = (np.frombuffer(b"".join(r[k] for r in left), np.uint8).reshape(len(left), -1) for k in (3, 5))
             earlier = np.array([r[4][:band] for r in left], np.int64).reshape(len(left), band)
-            for i in range(len(left)):
-                if x != y and block[i] != x:
-                    continue
-                js = np.flatnonzero(((block == y) if x != y else (np.arange(len(left)) > i)) & (roots != roots[i]))
-                js = js[(sigs[js] == sigs[i]).mean(axis=1) >= LEAST_AGREEMENT] if len(js) else js
+            inside = np.flatnonzero(own == block)
+            for i in np.flatnonzero(other):
+                # two rows of other classes meet in the blocks of both: one of them counts
+                js = inside[(roots[inside] != roots[i]) & (~other[inside] | (ids[inside] > ids[i]))]
+                js = js[(sigs[js] == sigs[i]).mean(axis=1) >= least] if len(js) else js
                 js = js[~(earlier[js] == earlier[i]).any(axis=1)] if len(js) else js
-                js = js[(sharps[js] == sharps[i]).mean(axis=1) >= LEAST_SHARP] if len(js) else js
+                js = js[(sharps[js] == sharps[i]).mean(axis=1) >= least_sharp] if len(js) else js
                 if len(js):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[js], ids[i])), pa.array(np.maximum(ids[js], ids[i]))], ["a", "b"])
 
         for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
-            for key, row in zip(keys, zip(*(batch.column(k).to_pylist() for k in range(4, 10)))):
+            columns = [c.to_pylist() for c in batch.columns]
+            for key, row in zip(zip(*columns[:3]), zip(*columns[3:])):
                 if key != group:
                     if len(left) > 1:
                         yield from pairs()
@@ -188,50 +227,70 @@ def _across(rooted: DataFrame, mixed_buckets: DataFrame, signed: DataFrame, shar
         if len(left) > 1:
             yield from pairs()
 
-    dealt = rows.repartition(partitions(spark), "band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y")
+    dealt = rows.repartition(partitions(spark), "band", "key", "block").sortWithinPartitions("band", "key", "block")
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, rep), (a, b, similarity)): the smallest document of equal multiset of each document, and verified links between such representatives.
+
+    The links connect all that the similarity connects: of a bucket's documents, those that links have connected already are not compared again.
+    Edge cases as in near_duplicates().
+    """
+    bands, height = layout(similarity)
+    docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id is not null")
+    with Scope() as scope:
+        signed = written(_signed(docs, bands, height))
+        # equal multisets: one representative each, counted before the shuffle
+        reps = signed.groupBy("bag").agg(F.min("doc_id").alias("rep"))
+        members = scope.keep(signed.select("doc_id", "bag").join(reps, "bag").select("doc_id", "rep"))
+        alone = signed.join(reps, (signed.bag == reps.bag) & (signed.doc_id == reps.rep), "left_semi").filter("n_shingles > 0")
+        buckets = alone.select("doc_id", F.posexplode("bands").alias("band", "key"))
+        met = buckets.groupBy("band", "key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).filter("center <> last").select("band", "key", "center")
+        buckets = written(buckets.join(met, ["band", "key"]))
+
+        # only the texts of documents that met another one are needed from here on
+        involved = buckets.select("doc_id").distinct()
+        texts = written(docs.join(involved, "doc_id", "left_semi"))
+        star = written(buckets.filter("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct())
+        links = written(_verified(star, texts, similarity))
+
+        found = components(links)
+        rooted = written(buckets.join(found, buckets.doc_id == found.id, "left").select("band", "key", "doc_id", F.coalesce("root", "doc_id").alias("root")))
+        among = written(_mixed(rooted))
+        if not among.isEmpty():
+            large = among.filter(F.col("others") > BLOCK * BLOCKS)
+            if not large.isEmpty():
+                rare = written(_by_rare_shingles(rooted.join(large, ["band", "key"], "left_semi"), texts, similarity))
+                rooted = rooted.join(large, ["band", "key"], "left_anti").unionByName(rare)
+                among = written(among.filter(F.col("others") <= BLOCK * BLOCKS).unionByName(_mixed(rare)))
+            sharp = written(_sharp(texts.join(rooted.join(among, ["band", "key"]).select("doc_id").distinct(), "doc_id", "left_semi")))
+            more = _across(rooted, among, signed, sharp, similarity, bands * height).join(star, ["a", "b"], "left_anti")
+            links = links.unionByName(_verified(written(more), texts, similarity))
+        return members, scope.keep(links)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, class_size): class_id is the smallest id of the documents that links of at least `similarity` connect.
+    """(doc_id, class_id, class_size, n_links): class_id is the smallest id of the documents that links of at least `similarity` connect.
 
     Documents with equal multisets are one node from the start, so groups of copies of any size
     cost one row. In each band's bucket every document is compared with the bucket's smallest id; a second
     round compares the documents of a bucket that the first left in different classes, block by
-    block. Each candidate is verified on the whole texts.
+    block, or where these are very many by the rare shingles that they share. Each candidate is verified on the whole texts.
+    n_links is the number of verified links (near_links()) of the document's text with other texts.
 
     * Words are split at white space and lower-cased. A text of under five words is one shingle;
       null, empty and blank texts have none and are copies of each other.
     * A null id takes no part and is left out. Repeated ids with different texts are joined under
       that id: any of their links count. Other columns are ignored. An empty table gives an empty result.
+    * Bands, rows and thresholds follow from `similarity`; below about 0.08 it raises ValueError.
     """
-    docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id is not null")
-    signed = written(_signed(docs))
-    # equal multisets: one representative each, counted before the shuffle
-    reps = signed.groupBy("bag").agg(F.min("doc_id").alias("rep"))
-    members = signed.select("doc_id", "bag").join(reps, "bag").select("doc_id", "rep")
-    alone = signed.join(reps, (signed.bag == reps.bag) & (signed.doc_id == reps.rep), "left_semi").filter("n_shingles > 0")
-    buckets = alone.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    met = buckets.groupBy("band", "key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).filter("center <> last").select("band", "key", "center")
-    buckets = written(buckets.join(met, ["band", "key"]))
-
-    # only the texts of documents that met another one are needed from here on
-    involved = buckets.select("doc_id").distinct()
-    texts = written(docs.join(involved, "doc_id", "left_semi"))
-    star = written(buckets.filter("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = written(_verified(star, texts, similarity))
-
-    found = components(links)
-    rooted = written(buckets.join(found, buckets.doc_id == found.id, "left").select("band", "key", "doc_id", F.coalesce("root", "doc_id").alias("root")))
-    among = written(_mixed(rooted))
-    if not among.isEmpty():
-        sharp = written(_sharp(texts.join(rooted.join(among, ["band", "key"]).select("doc_id").distinct(), "doc_id", "left_semi")))
-        more = _across(rooted, among, signed, sharp).join(star, ["a", "b"], "left_anti")
-        more = written(_verified(written(more), texts, similarity))
-        if not more.isEmpty():
-            found = components(links.select("a", "b").union(more.select("a", "b")))
-    # a representative without links is its own class
-    classes = members.join(found, members.rep == found.id, "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
-    classes = written(classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id")))
+    members, links = near_links(docs, id_col, text_col, similarity)
+    with Scope() as scope:
+        found = components(links)
+        ends = links.select(F.col("a").alias("rep")).unionAll(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+        # a representative without links is its own class
+        classes = members.join(found, members.rep == found.id, "left").join(ends, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        classes = scope.keep(classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links")))
     sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return classes.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
+    return classes.join(sizes, "class_id").select("doc_id", "class_id", "class_size", "n_links")

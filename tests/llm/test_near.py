@@ -33,7 +33,7 @@ def similar(a, b):
     return sum((a & b).values()) / union if union else 1.0
 
 
-def classes(docs):
+def classes(docs, least=0.8):
     root = {d: d for d, _ in docs}
 
     def find(x):
@@ -44,17 +44,17 @@ def classes(docs):
     bags = [(d, bag(t)) for d, t in docs]
     for i, (d, x) in enumerate(bags):
         for e, y in bags[:i]:
-            if similar(x, y) >= 0.8:
+            if similar(x, y) >= least:
                 a, b = sorted((find(d), find(e)))
                 root[b] = a
     return {d: find(d) for d, _ in docs}
 
 
-def far_from_threshold(docs):
+def far_from_threshold(docs, least=0.8):
     """Drops documents so that no pair's similarity is within 0.02 of the threshold, where signatures may miss it."""
     kept = []
     for d, t in docs:
-        if all(abs(similar(bag(t), bag(u)) - 0.8) > 0.02 for _, u in kept):
+        if all(abs(similar(bag(t), bag(u)) - least) > 0.02 for _, u in kept):
             kept.append((d, t))
     return kept
 
@@ -78,12 +78,59 @@ def test_classes(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_blocks_of_large_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [8, 0])
+def test_blocks_of_large_buckets(spark, monkeypatch, blocks):
+    """With blocks = 0 every mixed bucket is searched by its rare shingles."""
     monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "BLOCKS", blocks)
     hub = text(150)
-    docs = far_from_threshold([(i, edited(hub, 2 + i % 7)) for i in range(60)])
-    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.class_id for r in got} == classes(docs)
+    # near copies of one text, and texts that share half of their words as boilerplate
+    docs = [(i, edited(hub, 2 + i % 7)) for i in range(60)] + [(100 + i, f"{hub} {text(60)}") for i in range(12)] + [(200 + i, f"{hub} {text(60)}") for i in range(6) for _ in range(2)]
+    docs = far_from_threshold([(i, t) for i, (_, t) in enumerate(docs)])
+    rows = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in rows} == classes(docs)
+    members, links = minhash.near_links(spark.createDataFrame(docs, "doc_id long, text string"))
+    links, texts = links.collect(), dict(docs)
+    assert all(abs(similar(bag(texts[x.a]), bag(texts[x.b])) - x.similarity) < 1e-9 and x.a < x.b for x in links)
+    ends = Counter(y for x in links for y in (x.a, x.b))
+    rep = {r.doc_id: r.rep for r in members.collect()}
+    assert all(r.n_links == ends[rep[r.doc_id]] for r in rows) and len({(x.a, x.b) for x in links}) == len(links)
+
+
+@pytest.mark.parametrize("least", [0.6, 0.9])
+def test_other_similarities(spark, least):
+    docs, n = [], 0
+    for _ in range(12):
+        base = text(rng.randint(60, 120))
+        for k in range(4):
+            docs.append((n, edited(base, 2 * k + 1)))
+            n += 1
+    docs = far_from_threshold(docs, least)
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), similarity=least).collect()
+    assert {r.doc_id: r.class_id for r in got} == classes(docs, least)
+
+
+def test_layout_and_loss_of_the_sketches():
+    """Bands miss a pair at the similarity with at most MISS; of pairs just above it hardly any fails the sketch thresholds."""
+    import pyarrow as pa
+
+    from hostlens.llm.words import bags
+
+    for s in (0.1, 0.5, 0.6, 0.8, 0.95):
+        bands, rows = minhash.layout(s)
+        assert bands * rows <= minhash.PLACES and (1 - s**rows) ** bands <= minhash.MISS
+    assert minhash.layout(0.8) == (26, 5)
+    with pytest.raises(ValueError):
+        minhash.layout(0.01)
+    pairs = []
+    while len(pairs) < 400:
+        base = text(130)
+        other = edited(base, 3)
+        if 0.8 <= similar(bag(base), bag(other)) <= 0.84:
+            pairs += [base, other]
+    for places in (130, minhash.SHARP):
+        sig = minhash.signatures(*bags(pa.array(pairs)), len(pairs), places)
+        assert ((sig[::2] == sig[1::2]).mean(axis=1) >= minhash.least_share(0.8, places)).all()
 
 
 def test_signatures_estimate_weighted_similarity():
