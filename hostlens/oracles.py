@@ -32,7 +32,7 @@ def _date(x: str, minutes: int = 0) -> str:
 
 
 def _classify(x: str) -> str:
-    return f"CASE WHEN {x} = 0 THEN 'Ok' WHEN {x} IN {d.DISABLED} THEN 'Disabled' WHEN {x} IN {d.NOT_CONNECTED} THEN 'NotConnected' WHEN {x} IN {d.NEEDS_DRIVER} THEN 'NeedsDriver' ELSE 'Error' END"
+    return f"CASE WHEN {x} = 0 THEN 'Ok' WHEN {x} IN (22, 32, 44, 48) THEN 'Disabled' WHEN {x} IN (24, 45) THEN 'NotConnected' WHEN {x} IN (1, 18, 28, 31, 37, 39, 52) THEN 'NeedsDriver' ELSE 'Error' END"
 
 
 def _describe(x: str) -> str:
@@ -82,7 +82,7 @@ _DISK = "cast(round_even(size_bytes / 1e9::DOUBLE, 0) AS BIGINT) || ' ГБ'"
 _CPU = "cores || ' ядер / ' || threads || ' потоков · ' || ((max_mhz + 50) // 100) // 10 || '.' || ((max_mhz + 50) // 100) % 10 || ' ГГц'"
 _GIB = "regexp_replace(format('{:.1f}', round_even(capacity / 1073741824.0::DOUBLE, 1)), '\\.0$', '')"
 _CLOCK = "CASE WHEN configured_clock > 0 THEN configured_clock ELSE speed END"
-_MEMORY = f"{_GIB} || ' ГБ ' || {_case('smbios_type', d.MEMORY_TYPES, _q('RAM'))} || CASE WHEN {_CLOCK} > 0 THEN ' · ' || {_CLOCK} || ' МГц' ELSE '' END"
+_MEMORY = f"{_GIB} || ' ГБ ' || {_case('smbios_type', {20: 'DDR', 21: 'DDR2', 24: 'DDR3', 26: 'DDR4', 34: 'DDR5'}, _q('RAM'))} || CASE WHEN {_CLOCK} > 0 THEN ' · ' || {_CLOCK} || ' МГц' ELSE '' END"
 _CONNECTION = _case("coalesce(conn_status, -1)", d.CONNECTION, "''")
 _BASIC = "(contains(upper(name), 'BASIC DISPLAY') OR contains(upper(name), 'STANDARD VGA') OR contains(upper(name), 'БАЗОВ'))"
 _FIXED = f"-1 AS error_code, 'Ok' AS health, '{d.WORKS}' AS health_text, {_NO_DRIVER}"
@@ -163,6 +163,7 @@ SQL = {
     "overview_tiles": _with(DEVICE_TABLES + COMPONENT_TABLES, *_ALL, COMPONENTS) + f"""SELECT *, problems = 0 AND missing_components = 0 AS all_good FROM (
       SELECT i.*, coalesce(m.n, 0) AS missing_components FROM (SELECT host_id, {_TILES} FROM inventory GROUP BY host_id) i LEFT JOIN (SELECT host_id, count(*) AS n FROM states WHERE state = 'Missing' GROUP BY host_id) m USING (host_id)) x""",
     "problem_page": _with(DEVICE_TABLES, *_ALL) + "SELECT host_id, src_ord, seq, name, health_text, error_code FROM inventory WHERE health IN ('NeedsDriver', 'Error')",
+    "problem_count": _with(DEVICE_TABLES, *_ALL) + "SELECT host_id, count(*) FILTER (health IN ('NeedsDriver', 'Error')) AS shown FROM inventory GROUP BY host_id",
     "attention_only": _with(DEVICE_TABLES, *_ALL) + f"SELECT host_id, src_ord, seq, {_TITLED}, name, health_text, {_SUMMARY} AS driver FROM inventory WHERE {_ATTENTION}",
     "grid_state": _with(DEVICE_TABLES, *_ALL) + f"SELECT host_id, shown, CASE WHEN shown > 0 THEN '' ELSE 'no_problems' END AS message FROM (SELECT host_id, count(*) FILTER ({_ATTENTION}) AS shown FROM inventory GROUP BY host_id) x",
     "driver_summary": _with(("signed_driver",), DRIVERS) + f"SELECT *, {_SUMMARY} AS summary FROM drivers",
@@ -196,6 +197,8 @@ SQL = {
       UNION ALL SELECT host_id, 10, catalog_pos, 0, 0, '   [' || {_PAD('state', 9)} || '] ' || display_name FROM states) x""".replace(' COLLATE "C"', ""),
     "component_state": _with(COMPONENT_TABLES, COMPONENTS) + "SELECT host_id, component_key, state, version FROM states",
     "component_default_tick": _with(COMPONENT_TABLES, COMPONENTS) + f"SELECT host_id, component_key, {_case('state', STATE_TITLES, 'NULL')} AS state_title, recommended AND state <> 'Installed' AS ticked FROM states",
+    "selected_components": _with((*COMPONENT_TABLES, "install_attempt"), COMPONENTS) + f"""SELECT host_id, component_key, display_name, {_case('state', STATE_TITLES, 'NULL')} AS state_title, recommended AND state <> 'Installed' AS ticked
+      FROM states WHERE (host_id, component_key) IN (SELECT (host_id, component_key) FROM fx_install_attempt)""",
     "runtime_max_version": _with(("runtime_dir",)) + "SELECT host_id, max(dir_name) AS version FROM fx_runtime_dir WHERE dir_name LIKE '8.%' GROUP BY host_id",
     "framework_version": "SELECT o_orderkey, release, CASE WHEN release >= 533320 THEN '4.8.1' WHEN release >= 528040 THEN '4.8' END AS version FROM (SELECT o_orderkey, cast(o_orderkey * 7 + 515000 AS INT) AS release FROM orders) x",
     "install_tally": _with(("install_attempt",)) + """SELECT *, cast(done * 100 // count(*) OVER (PARTITION BY host_id) AS INT) AS percent FROM (

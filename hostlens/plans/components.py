@@ -82,6 +82,11 @@ def component_rows(states: DataFrame) -> DataFrame:
     return states.withColumns({"state_title": F.try_element_at(title, F.col("state")), "ticked": F.col("recommended") & (F.col("state") != "Installed")})
 
 
+def selected(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of the components that their host has chosen, each once. keys: (host_id, component_key); unknown keys choose nothing."""
+    return rows.join(keys.select("host_id", "component_key"), ["host_id", "component_key"], "left_semi")
+
+
 def install_tally(attempts: DataFrame, components: DataFrame) -> DataFrame:
     """Each attempt with its success and the running counts of its host: done, ok and whole percent."""
     known = components.select("component_key", "success_exit_codes")

@@ -120,15 +120,19 @@ def usb(t: Tables) -> DataFrame:
     return _plain(t["usb_controller"], 9, 9, True)
 
 
-def typed_inventory(t: Tables, codes: DataFrame | None = None, drivers: DataFrame | None = None, strict_vendor: bool = False, zone_minutes: int = 0) -> DataFrame:
-    """All typed scans, duplicates kept."""
-    codes = pnp_codes(t["pnp_entity"]) if codes is None else codes
-    drivers = driver_records(t["signed_driver"], zone_minutes) if drivers is None else drivers
+def _scans(t: Tables, strict_vendor: bool, zone_minutes: int) -> DataFrame:
     scans = [processors(t), graphics(t, strict_vendor, zone_minutes), memory(t), storage(t), network(t), audio(t), boards(t), firmware(t, zone_minutes), monitors(t), usb(t)]
     out = scans[0]
     for s in scans[1:]:
         out = out.unionByName(s)
-    return resolve(out, codes, drivers)
+    return out
+
+
+def typed_inventory(t: Tables, codes: DataFrame | None = None, drivers: DataFrame | None = None, strict_vendor: bool = False, zone_minutes: int = 0) -> DataFrame:
+    """All typed scans, duplicates kept."""
+    codes = pnp_codes(t["pnp_entity"]) if codes is None else codes
+    drivers = driver_records(t["signed_driver"], zone_minutes) if drivers is None else drivers
+    return resolve(_scans(t, strict_vendor, zone_minutes), codes, drivers)
 
 
 def reported_keys(t: Tables) -> DataFrame:
@@ -159,9 +163,31 @@ def problem_devices(t: Tables, drivers: DataFrame | None = None, zone_minutes: i
 
 
 def full_inventory(t: Tables, strict_vendor: bool = False, zone_minutes: int = 0) -> DataFrame:
-    """Typed scans, then problem devices. A host's order is (src_ord, seq)."""
-    codes, drivers = pnp_codes(t["pnp_entity"]), driver_records(t["signed_driver"], zone_minutes)
-    return typed_inventory(t, codes, drivers, strict_vendor, zone_minutes).unionByName(problem_devices(t, drivers, zone_minutes))
+    """Typed scans and problem devices. A host's order is (src_ord, seq).
+
+    Each source is read once: devices and the aggregated device codes meet in one full join, whose rows without a device
+    are those that no scan has reported.
+    """
+    code = integer(F.col("error_code"))
+    failed = F.col("error_code") > 0
+    pnp = t["pnp_entity"].select("host_id", key(text(F.col("pnp_device_id"))).alias("key"), "seq", code.alias("code"), F.when(failed, F.col("seq")).alias("failed"), F.struct("seq", "pnp_device_id", "name", "pnp_class", "error_code", "manufacturer").alias("r"))
+    pnp = pnp.filter("key <> ''").groupBy("host_id", "key").agg(F.max_by("code", "seq").alias("_code"), F.min_by("r", "failed").alias("_r"), F.min("failed").alias("_failed"))
+    found = _scans(t, strict_vendor, zone_minutes).join(pnp, ["host_id", "key"], "full").filter("src_ord is not null or _failed is not null")
+    found = found.join(driver_records(t["signed_driver"], zone_minutes).withColumnsRenamed({c: f"_{c}" for c in DRIVER}), ["host_id", "key"], "left")
+
+    keyed, known = F.col("key").isNotNull(), F.coalesce("_code", F.lit(0))
+    basic = keyed & (F.col("health") == "NeedsDriver")  # an adapter on a basic driver: its own state and text stand
+    device = {c: F.col(c) for c in DEVICE} | {
+        "error_code": F.when(keyed, known).otherwise(F.col("error_code")), "health": F.when(keyed & ~basic, d.device_health(known)).otherwise(F.col("health")),
+        "health_text": F.when(keyed & ~basic, d.device_health_text(known)).otherwise(F.col("health_text")),
+    } | {c: F.when(F.col("driven"), F.coalesce(f"_{c}", F.lit(""))).otherwise(F.col(c)) for c in DRIVER}
+    raw = {c: text(F.col(f"_r.{c}")) for c in ("name", "pnp_class", "manufacturer", "pnp_device_id")}
+    failed_code = F.col("_r.error_code")
+    problem = {c: F.lit("") for c in DEVICE} | {
+        "host_id": F.col("host_id"), "src_ord": F.lit(10), "seq": F.col("_r.seq"), "category": d.pnp_category(raw["pnp_class"]), "name": F.when(raw["name"] == "", d.NO_NAME).otherwise(raw["name"]),
+        "manufacturer": raw["manufacturer"], "pnp_device_id": raw["pnp_device_id"], "error_code": failed_code, "health": d.classify(failed_code), "health_text": d.describe(failed_code),
+    } | {c: F.coalesce(f"_{c}", F.lit("")) for c in DRIVER}
+    return found.select(*[F.when(F.col("src_ord").isNotNull(), device[c]).otherwise(problem[c]).alias(c) for c in DEVICE])
 
 
 def system_summary(t: Tables) -> DataFrame:

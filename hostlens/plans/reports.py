@@ -55,6 +55,11 @@ def problem_page(inventory: DataFrame) -> DataFrame:
     return inventory.filter(d.on_driver_page(F.col("health"))).select("host_id", "src_ord", "seq", "name", "health_text", "error_code")
 
 
+def problem_count(inventory: DataFrame) -> DataFrame:
+    """(host_id, shown): rows of the driver page for each host of the inventory."""
+    return inventory.groupBy("host_id").agg(F.count_if(d.on_driver_page(F.col("health"))).alias("shown"))
+
+
 def gpu_list(gpus: DataFrame) -> DataFrame:
     shown = d.driver_summary(F.col("driver_version"), F.col("driver_date"), F.lit(""))
     return gpus.select("host_id", "seq", "name", "vendor_name", "vendor_url", shown.alias("driver"), F.col("vendor_url").isNotNull().alias("has_link"))
@@ -71,29 +76,36 @@ def text_report(inventory: DataFrame, system_rows: DataFrame, gpus: DataFrame, c
         as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
         return rows.select("host_id", F.lit(section).alias("section"), *[as_column(x).cast("bigint").alias(n) for n, x in (("a", a), ("b", b), ("c", c))], line.alias("line"))
 
-    health = F.col("health")
-    totals = inventory.groupBy("host_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(d.needs_attention(health)).alias("problems"))
+    health, host = F.col("health"), Window.partitionBy("host_id")
+    in_order = ("category", "src_ord", "seq", "pnp_device_id")
     heading = lambda k, n: F.concat(F.lit(HEADINGS[k].split("{}")[0]), F.col(n).cast("string"), F.lit(HEADINGS[k].split("{}")[1]))
     device = F.concat(
         F.lit("   ["), d.health_mark(health), F.lit("] "), "name", F.lit("  ("), d.health_title(health), F.lit(")"), F.when(F.col("detail") == "", "").otherwise(F.concat(F.lit("  — "), "detail"))
     )
-    groups = inventory.select("host_id", "category").distinct()
+    problem = F.concat(F.lit("   ! "), "name", F.lit(": "), "health_text", F.lit(" (код "), F.col("error_code").cast("string"), F.lit(")"))
+    # the inventory is read once: a host's first row brings the headings, a category's first row its title
+    rows = inventory.withColumns({
+        "_first": F.row_number().over(host.orderBy(*in_order)) == 1, "_opens": F.row_number().over(Window.partitionBy("host_id", "category").orderBy(*in_order[1:])) == 1,
+        "n": F.count(F.lit(1)).over(host), "problems": F.count_if(d.needs_attention(health)).over(host),
+    })
+
+    def place(when: Column, section: int, line: Column, a: Column | int = 0, b: Column | int = 0, c: Column | int = 0) -> Column:
+        at = [x.cast("bigint").alias(n) if isinstance(x, Column) else F.lit(x).cast("bigint").alias(n) for n, x in (("a", a), ("b", b), ("c", c))]
+        return F.when(when, F.struct(F.lit(section).alias("section"), *at, line.alias("line")))
+
+    placed = F.array(
+        *[place(F.col("_first"), k, heading(k, n) if n else F.lit(HEADINGS[k])) for k, n in ((1, ""), (3, "n"), (5, "problems"), (7, ""), (9, ""))],
+        place(F.col("_opens"), 4, F.concat(F.lit("["), d.category_title(F.col("category")), F.lit("]")), F.col("category"), -1),
+        place(F.lit(True), 4, device, F.col("category"), F.col("src_ord"), F.col("seq")),
+        place(d.needs_attention(health), 6, problem, F.col("src_ord"), F.col("seq")),
+    )
     version = F.when(F.col("driver_version") == "", "?").otherwise(F.col("driver_version"))
-    parts_of = [
-        lines(totals, 1, F.lit(HEADINGS[1])),
+    out = rows.select("host_id", F.explode(F.array_compact(placed)).alias("_l")).select("host_id", "_l.*")
+    for p in (
         lines(system_rows, 2, F.concat(F.lit("  "), justified(F.col("title"), 12), F.lit(": "), "value"), F.col("pos")),
-        lines(totals, 3, heading(3, "n")),
-        lines(groups, 4, F.concat(F.lit("["), d.category_title(F.col("category")), F.lit("]")), F.col("category"), -1),
-        lines(inventory, 4, device, F.col("category"), F.col("src_ord"), F.col("seq")),
-        lines(totals, 5, heading(5, "problems")),
-        lines(inventory.filter(d.needs_attention(health)), 6, F.concat(F.lit("   ! "), "name", F.lit(": "), "health_text", F.lit(" (код "), F.col("error_code").cast("string"), F.lit(")")), F.col("src_ord"), F.col("seq")),
-        lines(totals, 7, F.lit(HEADINGS[7])),
         lines(gpus, 8, F.concat(F.lit("   "), "name", F.lit(" — "), "vendor_name", F.lit(", драйвер "), version, F.lit(" "), "driver_date"), F.col("seq")),
-        lines(totals, 9, F.lit(HEADINGS[9])),
         lines(components, 10, F.concat(F.lit("   ["), justified(F.col("state"), 9), F.lit("] "), "display_name"), F.col("catalog_pos")),
-    ]
-    out = parts_of[0]
-    for p in parts_of[1:]:
+    ):
         out = out.unionByName(p)
     order = Window.partitionBy("host_id").orderBy("section", "a", "b", "c", "line")
     return out.select("host_id", F.row_number().over(order).cast("bigint").alias("line_no"), "line")

@@ -89,6 +89,11 @@ def problem_page(t):
     return r.problem_page(inv.full_inventory(t))
 
 
+@query
+def problem_count(t):
+    return r.problem_count(inv.full_inventory(t))
+
+
 @query
 def attention_only(t):
     return r.grid(inv.full_inventory(t), only_problems=True)
@@ -199,6 +204,13 @@ def component_default_tick(t):
     return c.component_rows(c.component_states(_hosts(t), t)).select("host_id", "component_key", "state_title", "ticked")
 
 
+@query
+def selected_components(t):
+    """Components that a host's attempts chose: their rows as listed."""
+    rows = c.component_rows(c.component_states(_hosts(t), t)).select("host_id", "component_key", "display_name", "state_title", "ticked")
+    return c.selected(rows, t["install_attempt"])
+
+
 @query
 def runtime_max_version(t):
     return c.dotnet_desktop(t["runtime_dir"]).select("host_id", "version")

@@ -29,3 +29,13 @@ def test_entry_module(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_entry_without_the_training_part(monkeypatch):
+    """Where it, or a package that it needs, can't be imported, the other queries stay."""
+    import sys
+
+    import __spark_entry__ as e
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(SQL)
