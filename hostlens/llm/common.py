@@ -56,8 +56,7 @@ class Scope:
     def __exit__(self, *_) -> None:
         _scope.reset(self._token)
         for spark, folder in self.folders:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
 
     def keep(self, df: DataFrame) -> DataFrame:
         return _write(df, self.outer)
@@ -69,7 +68,20 @@ def _write(df: DataFrame, scope: Scope | None) -> DataFrame:
     if scope is not None:
         scope.folders.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    vars(out)["_folder"] = path
+    return out
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the table that written() or keep() returned; another DataFrame stays."""
+    if folder := vars(df).get("_folder"):
+        _delete(df.sparkSession, folder)
 
 
 def written(df: DataFrame) -> DataFrame:

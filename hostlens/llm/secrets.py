@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 from .words import plain_texts, slices
 
-#: Names of secrets; other parts of a name may stand before them, or after them up to the next such part.
-_NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)(?![A-Za-z0-9])"
+#: Names of secrets; other parts of a name may stand before them (also as in dbPassword), or after them up to the next such part.
+_NAMES = r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|account[_-]?key|private[_-]?key|credential|auth)s?(?![A-Za-z0-9])"
 #: What proposes a candidate: (kind, pattern); the group `s`, or else the whole match, is the candidate. Each search is linear in the text.
 PATTERNS = {
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
     "url_password": r"://[^\s/:@\"'<>]*+:(?P<s>[^\s/@\"'<>]{3,}+)@",
     "jwt": r"(?<![A-Za-z0-9_.-])(?P<s>eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*+)",
-    "assigned": rf"(?i)(?<![A-Za-z0-9]){_NAMES}(?:[_-](?!{_NAMES})[A-Za-z0-9]++)*+[\"']?[ \t]{{0,4}}(?:=>|:=|=|:)[ \t]{{0,4}}[\"']?(?P<s>[^\s\"'<>,;]{{8,}})",
+    "assigned": rf"(?i)(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z]))){_NAMES}(?:[_-](?!{_NAMES})[A-Za-z0-9]++)*+[\"']?[ \t]{{0,4}}(?:=>|:=|=|:)[ \t]{{0,4}}[\"']?(?P<s>[^\s\"'<>,;]{{8,}})",
     "token": r"(?<![A-Za-z0-9+/_@-])(?P<s>[A-Za-z0-9+/_-]{16,}+={0,2}+)(?![A-Za-z0-9+/_=@-])",
 }
 REACH = 48
