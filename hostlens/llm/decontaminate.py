@@ -25,11 +25,11 @@ from .words import plain_texts, slices, split_words
 #: An item is found where at most this share of its words is edited.
 EDITS = 0.2
 #: Independent walks; tables of each walk, by the number of first steps that they sample from; samples a table. Walks that fit no
-#: longer table use the shortest ones. An item's walks start at every STRIDE-th of its words, those of an item of under SHORT_ITEM words at
-#: each of them. Chosen so that the walks alone find 0.95 of the items at the limit (a test measures it); the runs find the rest.
+#: longer table use the shortest ones. An item's walks start at every STRIDE-th of its words, in items of under
+#: 2 x SHORT_ITEM words at every NEAR_STRIDE-th, under SHORT_ITEM at each; only items of under SHORTEST_ITEM words are in tables of under SHORT steps. Chosen so that the walks alone find 0.95 of the items at the limit (a test measures it); the runs find the rest.
 WALKS, REACHES, SAMPLES = 3, (5, 5, 10, 10, 20, 20, 20, 40, 40, 40), 4
 SHORT, FEW_SAMPLES = 10, 3
-STRIDE, SHORT_ITEM = 10, 20
+STRIDE, NEAR_STRIDE, SHORT_ITEM, SHORTEST_ITEM = 10, 3, 16, 12
 #: Items held by each task at once: a block is at most this many texts.
 BLOCK = 20_000
 CHUNK = 1 << 15
@@ -76,17 +76,17 @@ class Index:
         padded = np.concatenate([gap, *(part for i in searched for part in (hashed[i], gap))])
         sizes = np.array([len(self.items[i]) for i in searched], np.int64)
         heads = np.cumsum(sizes + len(gap)) - sizes
-        starts = [np.arange(0, n, STRIDE if n >= SHORT_ITEM else 1) for n in sizes]
+        starts = [np.arange(0, n, STRIDE if n >= 2 * SHORT_ITEM else NEAR_STRIDE if n >= SHORT_ITEM else 1) for n in sizes]
         shift, item, head = self._spread(starts, searched, heads)
         end = head + counts[item]
-        long = np.array([r > SHORT for r in REACHES])[:, None]
+        long, few = (np.array(x)[:, None] for x in ([r > SHORT for r in REACHES], [r < SHORT for r in REACHES]))
         self.tables = []
         for w in range(WALKS):
             hashes, at = self.walk(padded, head + shift, w, True)
             # a table counts if its samples lie inside the item
             fits = np.array([at[s[-1]] < end for s in self.samples[w]])
-            used = np.where((fits & long).any(axis=0) & (counts[item] >= SHORT_ITEM), fits & long, fits)
-            self.tables.append([self._table(h[u], item[u], shift[u]) for h, u in zip(hashes, used)])
+            used = np.where((fits & long).any(axis=0) & (counts[item] >= SHORT_ITEM), fits & long, fits & ((counts[item] < SHORTEST_ITEM) | ~few))
+            self.tables.append([self._table(h[u], item[u], shift[u]) if u.any() else None for h, u in zip(hashes, used)])
         lengths = np.array([self.run_length(n) for n in sizes], np.int64)
         self.runs = {}
         for q in sorted(set(lengths.tolist())):
@@ -140,7 +140,7 @@ class Index:
                 stands.append(at.copy())
             symbol = text[at]
             for t, s in enumerate(self.samples[w]):
-                if j in s:
+                if j in s and (stand or self.tables[w][t] is not None):
                     hashes[t] *= np.uint32(0x85EBCA6B)
                     hashes[t] += symbol
             symbol *= self.odd[w, j]
@@ -169,7 +169,8 @@ class Index:
 
             for w in range(WALKS):
                 for h, table in zip(self.walk(padded, start, w)[0], self.tables[w]):
-                    meet(h, table)
+                    if table is not None:
+                        meet(h, table)
             for q, table in self.runs.items():
                 meet(self.run(padded, start, q), table)
             if met:
