@@ -30,15 +30,15 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _borders(keys: DataFrame, n_rows: int, ranges: int) -> Column:
+def _borders(keys: DataFrame, draw: Column, n_rows: int, ranges: int) -> Column:
     """Borders of equally filled ranges as a constant array of keys (a, b, c).
 
     From a bounded sample: about ranges x OVERSAMPLE keys of under 300 bytes are sorted by Spark, and one for each range comes to the
     driver. The array is one literal of the plan, however many ranges there are.
     """
     share = min(1.0, ranges * OVERSAMPLE / max(n_rows, 1))
-    # the digest decides, so that a rerun draws the same sample
-    drawn = keys.filter(F.pmod(F.xxhash64(F.lit(7), "_key"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    # a hash of id and raw text decides, so that a rerun draws the same sample, and only what is drawn is normalised
+    drawn = keys.filter(F.pmod(draw, F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     tiles = drawn.select("_key", F.ntile(max(ranges, 1)).over(Window.orderBy("_key")).alias("_tile"))
     got = sorted({tuple(r[0]) for r in tiles.groupBy("_tile").agg(F.min("_key")).filter("_tile > 1").select("min(_key)").collect()})
     return F.from_json(F.lit(json.dumps([dict(zip("abc", k)) for k in got])), "array<struct<a:string,b:string,c:bigint>>")
@@ -62,13 +62,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     * A null id sorts last: it stays only if the whole group has null ids.
     * Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
-    text = normalised(F.col(f"`{text_col}`"))
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), text.alias("_norm")).withColumn("_sha", F.sha2("_norm", 256))
+    raw = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    rows = raw.select("_id", "_text", normalised(F.col("_text")).alias("_norm")).withColumn("_sha", F.sha2("_norm", 256))
     order_id = F.coalesce("_id", F.lit(LAST))
     key = F.struct(F.substring("_norm", 1, PREFIX).alias("a"), F.col("_sha").alias("b"), order_id.alias("c"))
     ranges = partitions(docs.sparkSession) * RANGES
-    borders = _borders(rows.select(key.alias("_key")), docs.count(), ranges)
-    rows = rows.withColumn("_bucket", _range_of(key, borders, ranges))
+    borders = _borders(rows.select("_id", "_text", key.alias("_key")), F.xxhash64(F.lit(7), "_id", "_text"), docs.count(), ranges)
+    rows = rows.select("_id", "_norm", "_sha", _range_of(key, borders, ranges).alias("_bucket"))
 
     # inside a range: sort, compare each row in full with the one before it
     order = Window.partitionBy("_bucket").orderBy(F.substring("_norm", 1, PREFIX), "_sha", "_norm", order_id)
