@@ -47,6 +47,16 @@ def cim_date(value: Column, zone_minutes: int = 0) -> Column:
     return F.coalesce(F.when(valid, F.date_format(local, "dd.MM.yyyy")), F.lit(""))
 
 
+def cim_date_in(value: Column, zone: Column) -> Column:
+    """dd.MM.yyyy where the machine is: `zone` names a time zone (null: UTC) whose rules hold at that instant, daylight saving included. Unreadable: empty; an unknown zone is an error."""
+    well_formed = value.rlike(r"^[0-9]{14}\.[0-9]{6}[+-][0-9]{3}$")
+    part = lambda at, n: F.substring(value, at, n)
+    clock = F.concat(F.concat_ws("-", part(1, 4), part(5, 2), part(7, 2)), F.lit(" "), F.concat_ws(":", part(9, 2), part(11, 2), part(13, 2))).try_cast("timestamp_ntz")
+    utc = F.timestamp_add("MINUTE", -F.coalesce(part(22, 4).try_cast("int"), F.lit(0)), clock)
+    local = F.convert_timezone(F.lit("UTC"), F.coalesce(zone, F.lit("UTC")), utc)
+    return F.coalesce(F.when(well_formed, F.date_format(local, "dd.MM.yyyy")), F.lit(""))
+
+
 def key(device_id: Column) -> Column:
     """What device ids are compared by: case does not count."""
     return F.upper(device_id)

@@ -150,6 +150,15 @@ _MARKED = _case("health", d.HEALTH_MARKS, "'ERR'")
 _HEALTH_TITLE = _case("health", d.HEALTH_TITLES, "''")
 _DOWNLOADS = "CASE WHEN total_bytes > 0 THEN done_bytes * 100 // total_bytes ELSE -1 END"
 
+
+
+def _zoned(x: str) -> str:
+    """The date in the host's zone, by the zone rules of the other engine."""
+    zone = "CASE host_id % 4 WHEN 0 THEN 'America/New_York' WHEN 1 THEN 'Europe/Berlin' WHEN 2 THEN 'Asia/Kolkata' ELSE 'UTC' END"
+    return f"""coalesce(strftime(timezone({zone}, timezone('UTC', CASE WHEN regexp_full_match({x}, '[0-9]{{14}}\\.[0-9]{{6}}[+-][0-9]{{3}}')
+      THEN try_strptime(substr({x}, 1, 14), '%Y%m%d%H%M%S') - to_minutes(cast(substr({x}, 22, 4) AS INT)) END)), '%d.%m.%Y'), '')"""
+
+
 SQL = {
     "pnp_last_wins": _with(("pnp_entity",), CODES) + "SELECT * FROM codes",
     "driver_first_wins": _with(("signed_driver",), DRIVERS) + "SELECT * FROM drivers",
@@ -210,4 +219,18 @@ SQL = {
     "progress_changes": _with(("download_progress",)) + f"""SELECT download_id, seq, done_bytes, total_bytes, cast(pct AS INT) AS pct, cast(greatest(0, least(100, pct)) AS INT) AS shown, is_final FROM (
       SELECT *, false AS is_final FROM (SELECT *, lag(pct, 1, -1) OVER (PARTITION BY download_id ORDER BY seq) AS before FROM (SELECT *, {_DOWNLOADS} AS pct FROM fx_download_progress) a) b WHERE pct <> before
       UNION ALL SELECT *, NULL, true FROM (SELECT *, {_DOWNLOADS} AS pct FROM fx_download_progress) c WHERE seq = (SELECT max(seq) FROM fx_download_progress e WHERE e.download_id = c.download_id)) x""",
+    "log_append": _with(("install_attempt",)) + "SELECT host_id, row_number() OVER (PARTITION BY host_id ORDER BY seq) AS line_no, component_key || ': ' || exit_code AS line FROM fx_install_attempt",
+    "bag_values": _with(("bag_line",)) + """SELECT host_id, seq,
+        CASE WHEN bad THEN '' WHEN seq % 7 = 0 THEN 'a b, c' WHEN seq % 7 = 1 THEN '12' WHEN seq % 7 = 2 THEN 'True' WHEN seq % 7 IN (3, 4) THEN '' ELSE trim(json_extract_string(p, '$.Name')) END AS name,
+        cast(CASE WHEN bad THEN -1 WHEN kind IN ('DOUBLE') THEN cast(round_even(cast(json_extract_string(p, '$.Code') AS DOUBLE), 0) AS BIGINT) WHEN kind = 'BOOLEAN' THEN 1
+          WHEN kind = 'VARCHAR' THEN coalesce(try_cast(nullif(regexp_extract(json_extract_string(p, '$.Code'), '^ *(-?[0-9]+) *$', 1), '') AS INT), -1) WHEN kind = 'ARRAY' THEN -1
+          WHEN seq % 11 = 6 THEN -1 ELSE cast(json_extract_string(p, '$.Code') AS BIGINT) END AS INT) AS code,
+        CASE WHEN bad OR kind = 'ARRAY' THEN 0 WHEN kind = 'DOUBLE' THEN greatest(cast(round_even(cast(json_extract_string(p, '$.Code') AS DOUBLE), 0) AS BIGINT), 0) WHEN kind = 'BOOLEAN' THEN 1
+          WHEN kind = 'VARCHAR' THEN coalesce(try_cast(nullif(regexp_extract(json_extract_string(p, '$.Code'), '^ *(-?[0-9]+) *$', 1), '') AS BIGINT), 0) ELSE greatest(cast(json_extract_string(p, '$.Code') AS BIGINT), 0) END AS positive,
+        '' AS absent
+      FROM (SELECT host_id, seq, NOT json_valid(properties) AS bad, CASE WHEN json_valid(properties) THEN properties ELSE '{}' END AS p, json_type(CASE WHEN json_valid(properties) THEN properties ELSE '{}' END, '$.Code') AS kind FROM fx_bag_line) b""",
+    "tolerant_disks": _with(("physical_disk", "disk_line")) + """SELECT CASE WHEN ok THEN host_id END AS host_id, CASE WHEN ok THEN d.seq END AS seq, CASE WHEN ok THEN friendly_name END AS friendly_name, CASE WHEN ok AND d.seq % 7 <> 5 THEN media_type END AS media_type,
+        CASE WHEN ok THEN bus_type END AS bus_type, CASE WHEN NOT ok THEN line END AS reject FROM (SELECT *, seq % 7 <> 3 AS ok FROM fx_physical_disk) d JOIN fx_disk_line l ON l.seq = d.seq""",
+    "cim_date_zones": _with(("signed_driver",)) + f"""SELECT host_id, seq, {_zoned("(substr(driver_date, 1, 8) || '043000.000000+000')")} AS early, {_zoned("(substr(driver_date, 1, 8) || '003000.000000+120')")} AS late, {_zoned('driver_date')} AS plain FROM fx_signed_driver""",
 }
+SQL |= {"progress_streamed": SQL["progress_changes"], "pnp_streamed": SQL["pnp_last_wins"], "driver_streamed": SQL["driver_first_wins"], "bag_inventory": SQL["typed_inventory"], "class_scan": SQL["cpu_text"]}

@@ -7,14 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostlens.functions import bags as b
 from hostlens.functions import devices as d
 from hostlens.functions import values as v
 from hostlens.operators import lookups
 from hostlens.plans import components as c
 from hostlens.plans import inventory as inv
 from hostlens.plans import reports as r
+from hostlens.sources import bags, classes
 from hostlens.sources.derived import Derived
-from hostlens.streaming.progress import progress_changes
+from hostlens.sources.folders import shared_folder
+from hostlens.sources.tables import read_tolerant
+from hostlens.streaming import ledger, replay
+from hostlens.streaming.progress import CHANGE, progress_changes, progress_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -244,3 +249,109 @@ def progress_changes_batch(t):
 
 
 QUERIES["progress_changes"] = QUERIES.pop("progress_changes_batch")
+
+
+@query
+def progress_streamed(t):
+    """The events as a stream of three batches, and a last row without a download, with which the watermark passes the end."""
+    events = t["download_progress"].select("download_id", "seq", "done_bytes", "total_bytes", "at")
+    idle, folder = 400, shared_folder(t.spark)
+    end = events.agg((F.max("at") + F.make_dt_interval(F.lit(idle + 1))).alias("at")).select(
+        *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns[:-1]], "at"
+    )
+
+    def start(stream: DataFrame, checkpoint: str):
+        return progress_stream(stream, f"{idle} days").writeStream.outputMode("append").format("parquet").option("path", folder)
+
+    replay.replay(t.spark, [*replay.by_order(events, "seq", 3), end], start)
+    return t.spark.read.schema(CHANGE + ", shown int").parquet(folder)
+
+
+def _appended(t: Derived, batches: list[DataFrame], made: Callable[[DataFrame], DataFrame], mode: str) -> tuple[str, DataFrame]:
+    """The ledger's folder and its rows after a stream of the batches."""
+    folder, schema = shared_folder(t.spark), made(batches[0]).schema
+    replay.replay(t.spark, batches, lambda stream, checkpoint: made(stream).writeStream.outputMode(mode).foreachBatch(ledger.appender(folder)))
+    return folder, ledger.appended(t.spark, folder, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema))
+
+
+@query
+def pnp_streamed(t):
+    """Device codes kept up by a stream whose batches come in no order: the last row by seq counts, however late another one comes."""
+    rows = t["pnp_entity"].select("host_id", "seq", "pnp_device_id", "error_code")
+    return ledger.latest(_appended(t, replay.by_hash(rows, "seq", 3), lookups.pnp_codes, "update")[1], "host_id", "key")
+
+
+@query
+def driver_streamed(t):
+    """Driver records kept up by such a stream: the first row by seq counts, also if it comes last."""
+    rows = t["signed_driver"].select("host_id", "seq", "device_id", "driver_version", "driver_date", "provider")
+    return ledger.latest(_appended(t, replay.by_hash(rows, "seq", 3), lookups.driver_records, "update")[1], "host_id", "key")
+
+
+@query
+def log_append(t):
+    """Log lines of install attempts, appended batch by batch; the first batch is replayed at the end and adds nothing."""
+    attempts = t["install_attempt"]
+    line = F.format_string("%s: %d", F.col("component_key"), F.col("exit_code"))
+    made = lambda rows: rows.select("host_id", "seq", line.alias("line"))
+    batches = replay.by_order(attempts, "seq", 3)
+    folder, rows = _appended(t, batches, made, "append")
+    ledger.appender(folder)(made(batches[0]), 0)
+    return ledger.log_lines(rows, "seq")
+
+
+@query
+def bag_inventory(t):
+    """All typed scans out of one table of property bags."""
+    names = ("pnp_entity", "signed_driver", "video_controller", "network_adapter", "sound_device", "usb_controller", "desktop_monitor", "physical_memory", "disk_drive", "physical_disk", "processor", "base_board", "bios")
+    folder = shared_folder(t.spark)
+    rows = None
+    for name in names:
+        table = t[name]
+        if name == "processor":  # numbers as fractions and texts
+            table = table.withColumns({"cores": F.col("cores") + 0.25, "threads": F.col("threads").cast("string")})
+        if name == "base_board":  # a text as a list of one
+            table = table.withColumn("manufacturer", F.array("manufacturer"))
+        bag = bags.bag_rows(table, name)
+        rows = bag if rows is None else rows.unionByName(bag)
+    bags.write_bags(rows, folder)
+    return inv.typed_inventory(bags.BagTables(bags.read_bags(t.spark, folder)))
+
+
+@query
+def bag_values(t):
+    """Properties of every type, and bags that are no JSON."""
+    rows = bags.parsed(t.raw("bag_line").withColumn("class", F.lit("")))
+    bag = F.col("properties")
+    return rows.select("host_id", "seq", b.text(bag, "Name").alias("name"), b.integer(bag, "Code", -1).alias("code"), b.unsigned(bag, "Code").alias("positive"), b.text(bag, "Absent").alias("absent"))
+
+
+@query
+def tolerant_disks(t):
+    """A table of JSON lines, some of them damaged: the rows that can be read, and the others as they are."""
+    folder = shared_folder(t.spark)
+    t.raw("disk_line").select("line").write.text(f"{folder}/physical_disk")
+    rows, rejects = read_tolerant(t.spark, folder, "physical_disk")
+    return rows.withColumn("reject", F.lit(None).cast("string")).unionByName(rejects.select(F.col("line").alias("reject")), allowMissingColumns=True)
+
+
+@query
+def class_scan(t):
+    """Processors out of a namespace of several classes, by the data source."""
+    folder = shared_folder(t.spark)
+    rows = bags.bag_rows(t["processor"], "processor").unionByName(bags.bag_rows(t["bios"], "bios")).unionByName(bags.bag_rows(t["physical_memory"], "physical_memory"))
+    rows.write.partitionBy("class").parquet(folder)
+    classes.register(t.spark)
+    tables = bags.BagTables(bags.parsed(t.spark.read.format("host_classes").load(folder)))
+    return inv.processors(tables).select("host_id", "seq", "name", "detail", "error_code")
+
+
+ZONES = ("America/New_York", "Europe/Berlin", "Asia/Kolkata", "UTC")
+
+
+@query
+def cim_date_zones(t):
+    """Dates near midnight where the machine is; two of the zones have daylight saving."""
+    zone = F.element_at(F.array(*map(F.lit, ZONES)), (F.col("host_id") % 4 + 1).cast("int"))
+    at = lambda clock: F.concat(F.substring("driver_date", 1, 8), F.lit(clock))
+    return t["signed_driver"].select("host_id", "seq", v.cim_date_in(at("043000.000000+000"), zone).alias("early"), v.cim_date_in(at("003000.000000+120"), zone).alias("late"), v.cim_date_in(F.col("driver_date"), zone).alias("plain"))

@@ -92,7 +92,17 @@ SELECT o_custkey % 100 AS host_id, o_orderkey AS seq,
   cast(CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 3010 WHEN 2 THEN 1638 WHEN 3 THEN 1641 ELSE 1603 END AS int) AS exit_code FROM orders""",
     "download_progress": """
 SELECT cast(0 AS bigint) AS host_id, user_id AS download_id, event_id AS seq, cast(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS bigint) * 1000 AS done_bytes,
-  cast(CASE WHEN user_id % 10 = 0 THEN -1 ELSE 100000 END AS bigint) AS total_bytes FROM events""",
+  cast(CASE WHEN user_id % 10 = 0 THEN -1 ELSE 100000 END AS bigint) AS total_bytes, ts AS at FROM events""",
+    # raw lines and bags: text as a machine may send it, damaged and of unexpected types
+    "disk_line": """
+SELECT seq, CASE WHEN seq % 7 = 3 THEN substring(line, 1, length(line) - 4) ELSE line END AS line FROM (
+  SELECT seq, concat('{"host_id": ', cast(host_id AS string), ', "seq": ', cast(seq AS string), ', "friendly_name": "', friendly_name, '", "media_type": ',
+    CASE WHEN seq % 7 = 5 THEN '"oops"' ELSE cast(media_type AS string) END, ', "bus_type": ', cast(bus_type AS string), '}') AS line FROM fx_physical_disk) l""",
+    "bag_line": """
+SELECT host_id, seq, concat('{"Name": ', CASE seq % 7 WHEN 0 THEN '["a b", "c"]' WHEN 1 THEN '12' WHEN 2 THEN 'true' WHEN 3 THEN 'null' WHEN 4 THEN '[]' WHEN 5 THEN '"' ELSE concat('"  maker ', cast(seq AS string), ' "') END,
+  ', "Code": ', CASE seq % 11 WHEN 0 THEN concat(cast(seq AS string), '.5') WHEN 1 THEN '2.5e0' WHEN 2 THEN concat('" ', cast(seq AS string), ' "') WHEN 3 THEN '"1.5"' WHEN 4 THEN '-4' WHEN 5 THEN 'true' WHEN 6 THEN '99999999999'
+    WHEN 7 THEN '[1]' WHEN 8 THEN '-0.5' WHEN 9 THEN '3.5' ELSE cast(seq AS string) END, '}') AS properties
+FROM fx_pnp_entity""",
 }
 _BASE = ("supplier", "part", "customer", "orders", "lineitem", "events")
 
@@ -109,7 +119,7 @@ class Derived(dict):
 
     def _raw(self, name: str) -> DataFrame:
         base, derived = _needs(SQL[name])
-        text = SQL[name]
+        text = SQL[name].replace("{", "{{").replace("}", "}}")
         for t in base:
             text = re.sub(rf"\b{t}\b", f"{{{t}}}", text)
         for t in derived:
@@ -117,6 +127,10 @@ class Derived(dict):
         frames = {t: self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet") for t in base} | {f"fx_{t}": self._raw(t) for t in derived}
         return self.spark.sql(text, **frames)
 
+    def raw(self, name: str) -> DataFrame:
+        """A table of lines or bags, as its SQL gives it."""
+        return self._raw(name)
+
     def __missing__(self, name: str) -> DataFrame:
         self[name] = conform(self._raw(name), name) if name in SQL else self.spark.createDataFrame([], f"host_id bigint, seq bigint, {SCHEMAS[name]}")
         return self[name]

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEYS = "host_id bigint, seq bigint, "
 SCHEMAS = {
@@ -30,7 +31,7 @@ SCHEMAS = {
     "runtime_dir": "dir_name string",
     "update": "title string, is_installed boolean, update_type string, is_hidden boolean, is_downloaded boolean",
     "install_attempt": "component_key string, exit_code int",
-    "download_progress": "download_id bigint, done_bytes bigint, total_bytes bigint",
+    "download_progress": "download_id bigint, done_bytes bigint, total_bytes bigint, at timestamp",
 }
 
 
@@ -57,3 +58,21 @@ def read(spark: SparkSession, folder: str, name: str, source: str = "parquet") -
 
 def read_all(spark: SparkSession, folder: str, source: str = "parquet") -> dict[str, DataFrame]:
     return {name: read(spark, folder, name, source) for name in SCHEMAS}
+
+
+def read_tolerant(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of one table of JSON lines, of which some may be damaged; what can be read is kept.
+
+    A field of another type than expected is null, its row stays. A line that is no JSON, or that has no host_id or seq, is a reject: (file, line). A file
+    that breaks off gives the rows before the break. A missing class is an empty table.
+    """
+    try:
+        lines = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").text(f"{folder}/{name}").select("value", "_metadata.file_path")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema(name)), spark.createDataFrame([], "file string, line string")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_damaged"}
+    found = lines.filter(F.trim("value") != "").select("value", "file_path", F.from_json("value", f"{schema(name)}, _damaged string", options).alias("r"))
+    whole = F.coalesce(F.col("r.host_id").isNotNull() & F.col("r.seq").isNotNull(), F.lit(False))
+    return conform(found.filter(whole).select("r.*"), name), found.filter(~whole).select(F.col("file_path").alias("file"), F.col("value").alias("line"))
