@@ -12,7 +12,7 @@ All numbers are integers: a share is 1 + floor(SCALE (count + SMOOTH) / (N + SMO
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from operator import itemgetter
 
 import ahocorasick
@@ -54,26 +54,26 @@ def _columns(docs: DataFrame, text_col: str, lang_col: str, source_col: str) ->
 
 
 class _Held:
-    """Counts by key and term, handed on as Arrow batches once there are many of them."""
+    """Counts of terms by key, handed on as Arrow batches once there are many of them."""
 
     def __init__(self, *names: str):
         self.names, self.counts, self.size = names, {}, 0
 
-    def add(self, key: tuple[str, ...], counts: Counter | dict) -> None:
+    def add(self, key: tuple[str, ...], found: Iterable | dict) -> None:
+        """found: terms to count, or their counts."""
         mine = self.counts.setdefault(key, Counter())
         before = len(mine)
-        mine.update(counts)
+        mine.update(found)
         self.size += len(mine) - before
 
-    def batches(self, least: int = 0) -> Iterator[pa.RecordBatch]:
+    def batches(self, least: int = 0, terms: dict[str, pa.Array] | None = None) -> Iterator[pa.RecordBatch]:
+        """terms: of each first key, the terms that its numbers stand for; else the terms themselves were counted."""
         if self.size > least:
-            keys, sizes = list(self.counts), [len(c) for c in self.counts.values()]
-            columns = [pa.array(np.repeat(np.arange(len(keys)), sizes)) for _ in self.names]
-            columns = [pa.DictionaryArray.from_arrays(at, pa.array([k[i] for k in keys], pa.string())).cast(pa.string()) for i, at in enumerate(columns)]
-            terms = pa.array([t for c in self.counts.values() for t in c], pa.string())
-            n = pa.array([x for c in self.counts.values() for x in c.values()], pa.int64())
+            for key, found in self.counts.items():
+                named = pa.array(found.keys(), pa.string()) if terms is None else terms[key[0]].take(pa.array(found.keys(), pa.int64()))
+                same = [pa.array([k], pa.string()).take(pa.array(np.zeros(len(found), np.int64))) for k in key]
+                yield pa.RecordBatch.from_arrays([*same, named, pa.array(found.values(), pa.int64())], [*self.names, "term", "n"])
             self.counts, self.size = {}, 0
-            yield pa.RecordBatch.from_arrays([*columns, terms, n], [*self.names, "term", "n"])
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
@@ -101,14 +101,15 @@ def document_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "term").agg(F.sum("n").alias("n"))
 
 
-def _automata(terms: dict[str, list[str]]) -> dict[str, tuple[ahocorasick.Automaton, list[str]]]:
+def _automata(terms: dict[str, list[str]]) -> dict[str, ahocorasick.Automaton]:
+    """Of each language, the automaton that finds the numbers of its terms."""
     out = {}
     for lang, names in terms.items():
         found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i, name in enumerate(names):
             found.add_word(f" {name} ", i)
         found.make_automaton()
-        out[lang] = found, names
+        out[lang] = found
     return out
 
 
@@ -123,15 +124,14 @@ def occurrences(docs: DataFrame, kept: DataFrame, block: int = BLOCK) -> DataFra
     def searched(terms) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automata, held = _automata(terms.value), _Held("lang", "source")
+            names = {lang: pa.array(of, pa.string()) for lang, of in terms.value.items()}
             for batch in slices(batches, "text"):
                 texts = plain(plain_texts(batch.column(2)))
                 for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts.to_pylist()):
                     if lang in automata:
-                        automaton, names = automata[lang]
-                        found = Counter(map(itemgetter(1), automaton.iter(f" {text} ")))
-                        held.add((lang, source), {names[i]: n for i, n in found.items()})
-                        yield from held.batches(HELD)
-            yield from held.batches()
+                        held.add((lang, source), map(itemgetter(1), automata[lang].iter(f" {text} ")))
+                        yield from held.batches(HELD, names)
+            yield from held.batches(0, names)
 
         return docs.mapInArrow(run, "lang string, source string, term string, n bigint")
 
