@@ -23,6 +23,8 @@ from .words import plain_texts, slices
 UNKNOWN = "und"
 #: The sample: so many texts of each language, so many characters of each (fewer texts where there are many languages), and languages at most.
 TEXTS, PIECE, ALL_TEXTS, MAX_LANGS = 400, 700, 100_000, 2_000
+#: So many times the sample are drawn by hash, so that enough are there.
+DRAWN = 4
 #: Bytes of a dictionary, and of all dictionaries together; a language's dictionaries, the first of which codes every text.
 DICTIONARY, ALL_BYTES, DICTIONARIES = 32 << 10, 64 << 20, 4
 #: Bytes of a text that are coded at once: a dictionary helps near it. Levels of the first and of the further dictionaries.
@@ -99,11 +101,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not counts:
         return Model((), (), ())
-    # a part of the text from anywhere in it; the window's limit works in each task before anything is exchanged
+    # what a hash leaves of each language is a few times the sample, however many texts there are; then a part of the text from anywhere in it
+    texts = max(1, min(TEXTS, ALL_TEXTS // len(counts)))
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, DRAWN * texts / n))])
+    rows = rows.filter(F.col("draw") / F.lit(2.0**64) + 0.5 <= F.element_at(share, F.col("lang")))
     at = F.lit(1) + F.pmod(F.col("draw"), F.greatest(F.length("text") - PIECE, F.lit(0)) + 1).cast("int")
     rows = rows.select("lang", "draw", F.substring("text", at, F.lit(PIECE)).alias("piece"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "piece"))
-    drawn = rows.withColumn("place", place).filter(F.col("place") <= max(1, min(TEXTS, ALL_TEXTS // len(counts)))).collect()
+    drawn = rows.withColumn("place", place).filter(F.col("place") <= texts).collect()
     pieces: dict[str, list[bytes]] = {lang: [] for lang in sorted(counts)}
     for r in sorted(drawn, key=lambda r: (r.lang, r.place)):
         pieces[r.lang].append(letters(r.piece))
