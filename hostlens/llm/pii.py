@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words move the score.
 
-Only Spark SQL functions: each pattern splits the text, and the lengths of the pieces and of
-the matches give the positions. Work is local to a row: no shuffle.
+Only Spark SQL functions: each pattern splits the text, and running sums over the lengths of the pieces and of
+the matches give the positions. Parts of a text are cut out of its chunks, so that work is linear in the text and in its matches.
+Work is local to a row: no shuffle.
 """
 
 from __future__ import annotations
@@ -85,25 +86,77 @@ def _valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column, kind: str, pattern: str, reach: int) -> Column:
+#: Code points of a chunk of text, as a power of two, and items that a scan folds at once, as a power of two.
+CHUNK_BITS, FOLD_BITS = 10, 8
+
+
+def _empty(kind: str) -> Column:
+    return F.expr(f"cast(array() as array<{kind}>)")
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _scan(items: Column, carry: Column, out: str, step) -> Column:
+    """An output (of SQL type `out`) for each item, from a value that is carried on: step(carry, item) -> (next carry, output).
+
+    Folds copy their arrays as they grow; here they grow in short blocks, and then block by block.
+    """
+
+    def blocks(items: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.shiftright(F.size(items) - 1, FOLD_BITS), F.lit(0))), lambda i: F.slice(items, i * (1 << FOLD_BITS) + 1, F.lit(1 << FOLD_BITS)))
+
+    def one(s: Column, x: Column) -> Column:
+        after, output = step(s.c, x)
+        return F.struct(after.alias("c"), F.array_append(s.o, output).alias("o"))
+
+    def block_of(s: Column, block: Column) -> Column:
+        folded = F.aggregate(block, F.struct(s.c.alias("c"), _empty(out).alias("o")), one)
+        return _bound(folded, lambda r: F.struct(r.c.alias("c"), F.array_append(s.o, r.o).alias("o")))
+
+    return F.flatten(F.aggregate(_bound(items, blocks), F.struct(carry.alias("c"), _empty(f"array<{out}>").alias("o")), block_of, lambda s: s.o))
+
+
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << CHUNK_BITS}}}"), F.lit(0))
+
+
+def _cut(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points start (from 0) to end, exclusive, of the chunks' text."""
+    first, last = F.shiftright(start, CHUNK_BITS), F.shiftright(end, CHUNK_BITS)
+    return F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), start - first * (1 << CHUNK_BITS) + 1, end - start)
+
+
+def _spans(text: Column, chunks: Column, hits: Column, kind: str, pattern: str, reach: int) -> Column:
     """All valid matches of one kind, as SPAN structs in order; positions in code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,hit:string>>)").alias("out"))
-    # a piece of text, then the match that ends it; the last piece has none
-    step = lambda s, p: F.when(p.hit.isNull(), s).otherwise(
-        F.struct((s.at + F.length(p.gap) + F.length(p.hit)).alias("at"), F.when(_valid(kind, p.hit), F.array_append(s.out, F.struct((s.at + F.length(p.gap)).alias("start"), p.hit.alias("hit")))).otherwise(s.out).alias("out"))
-    )
-    placed = F.aggregate(parts, start, step, lambda s: s.out)
+    lengths = F.zip_with(F.split(text, pattern, -1), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
+    starts = _scan(lengths, F.lit(0), "int", lambda at, p: (at + p.gap + F.coalesce(p.hit, F.lit(0)), at + p.gap))
+    found = F.filter(F.zip_with(hits, F.slice(starts, F.lit(1), F.size(hits)), lambda hit, at: F.struct(hit.alias("hit"), at.alias("start"))), lambda s: _valid(kind, s.hit))
 
     def score(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s.start + 1 - reach, F.lit(1)), F.least(s.start, F.lit(reach)))
-        after = F.substring(text, s.start + F.length(s.hit) + 1, F.lit(reach))
-        near = F.lower(F.concat(before, F.lit(" "), after)).rlike(rf"\b(?:{CONTEXT_WORDS[kind]})")
+        end = s.start + F.length(s.hit)
+        near = F.lower(F.concat(_cut(chunks, F.greatest(s.start - reach, F.lit(0)), s.start), F.lit(" "), _cut(chunks, end, end + reach))).rlike(rf"\b(?:{CONTEXT_WORDS[kind]})")
         return F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near, CONTEXT).otherwise(0.0))
 
-    spans = F.transform(placed, lambda s: F.struct(F.lit(kind).alias("kind"), s.start.alias("start"), (s.start + F.length(s.hit)).alias("end"), score(s).alias("score")))
-    return F.when(text.rlike(pattern), spans).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    spans = F.transform(found, lambda s: F.struct(F.lit(kind).alias("kind"), s.start.alias("start"), (s.start + F.length(s.hit)).alias("end"), score(s).alias("score")))
+    return F.when(F.size(hits) > 0, spans).otherwise(_empty(SPAN))
+
+
+def _reaches(base: Column) -> Column:
+    """Of spans in order of their starts, (start, greatest end so far)."""
+    return _scan(base, F.lit(0), "struct<start:int,end:int>", lambda end, s: (F.greatest(end, s.end), F.struct(s.start.alias("start"), F.greatest(end, s.end).alias("end"))))
+
+
+def _overlaps(span: Column, reaches: Column) -> Column:
+    """Whether a span meets one of those behind `reaches`: of those that start before its end, by binary search, the one that ends last."""
+    middle = lambda s: F.shiftright(s.lo + s.hi, 1)
+    step = lambda s, _: F.when(s.lo >= s.hi, s).otherwise(
+        F.when(F.get(reaches, middle(s)).start < span.end, F.struct((middle(s) + 1).alias("lo"), s.hi.alias("hi"))).otherwise(F.struct(s.lo.alias("lo"), middle(s).alias("hi")))
+    )
+    n = F.aggregate(F.sequence(F.lit(1), F.lit(31)), F.struct(F.lit(0).alias("lo"), F.size(reaches).alias("hi")), step, lambda s: s.lo)
+    return F.coalesce(F.get(reaches, n - 1).end > span.start, F.lit(False))
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, reach: int = REACH) -> DataFrame:
@@ -115,15 +168,20 @@ def find_pii(docs: DataFrame, text_col: str = "text", threshold: float = THRESHO
     * Other columns pass unchanged (a column named `pii` is replaced). Repeated rows are each searched.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    # one column a kind, so that no pattern runs twice; the row is one column, so that no name of it can clash
+    patterns = BASE | ADDED
+    # the row is one column, so that no name of it can clash; each pattern's matches are another, so that it runs once where there are none
     kept = [c for c in docs.columns if c.lower() != "pii"]
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), *[_spans(text, k, p, reach).alias(f"_{k}") for k, p in (BASE | ADDED).items()])
-    base = F.concat(*[F.col(f"_{k}") for k in BASE])
-    clear = lambda s: (s.score >= threshold) & ~F.exists(F.col("_base"), lambda b: (b.start < s.end) & (s.start < b.end))
-    out = out.withColumn("_base", base).withColumn("_added", F.filter(F.concat(*[F.col(f"_{k}") for k in ADDED]), clear))
+    hits = {k: F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"_h_{k}") for k, p in patterns.items()}
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), text.alias("_text"), *hits.values())
+    some = F.greatest(*[F.size(f"_h_{k}") for k in patterns]) > 0
+    out = out.withColumn("_chunks", F.when(some, _chunks(F.col("_text"))).otherwise(_empty("string")))
+    out = out.select("_row", *[_spans(F.col("_text"), F.col("_chunks"), F.col(f"_h_{k}"), k, p, reach).alias(f"_{k}") for k, p in patterns.items()])
+    by_start = lambda spans, first: F.transform(F.sort_array(F.transform(spans, lambda s: F.struct(s.start.alias("a"), first(s).alias("b"), s.alias("s")))), lambda k: k.s)
+    out = out.select("_row", F.concat(*[F.col(f"_{k}") for k in BASE]).alias("_base"), F.filter(F.concat(*[F.col(f"_{k}") for k in ADDED]), lambda s: s.score >= threshold).alias("_added"))
+    out = out.withColumn("_reaches", F.when(F.size("_added") > 0, _reaches(by_start(F.col("_base"), lambda s: s.end))).otherwise(_empty("struct<start:int,end:int>")))
     rank = F.array(*[F.lit(k) for k in KINDS])
-    keyed = F.transform(F.concat("_base", "_added"), lambda s: F.struct(s.start.alias("a"), F.array_position(rank, s.kind).alias("b"), s.alias("s")))
-    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], F.transform(F.sort_array(keyed), lambda k: k.s).alias("pii"))
+    spans = F.concat("_base", F.filter("_added", lambda s: ~_overlaps(s, F.col("_reaches"))))
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], by_start(spans, lambda s: F.array_position(rank, s.kind)).alias("pii"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -137,6 +195,12 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null text becomes the empty text; a text without spans stays as it is. Repeated rows, null ids and other columns pass unchanged.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.when(s.start < a.at, a).otherwise(F.struct(s.end.alias("at"), F.concat(a.out, F.substring(text, a.at + 1, s.start - a.at), F.lit("["), F.upper(s.kind), F.lit("]")).alias("out")))
-    return docs.withColumn(text_col, F.aggregate("pii", start, step, lambda a: F.concat(a.out, F.substring(text, a.at + 1, F.length(text)))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("pii").alias("_pii"), text.alias("_text"))
+    rows = rows.withColumn("_chunks", F.when(F.size("_pii") > 0, _chunks(F.col("_text"))).otherwise(_empty("string")))
+    # of overlapping spans the first: where it starts, where the text before it starts, its kind
+    step = lambda at, s: (F.when(s.start < at, at).otherwise(s.end), F.when(s.start >= at, F.struct(at.alias("since"), s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
+    rows = rows.withColumn("_spans", F.array_compact(_scan(F.col("_pii"), F.lit(0), "struct<since:int,start:int,end:int,kind:string>", step)))
+    pieces = F.transform("_spans", lambda s: F.concat(_cut(F.col("_chunks"), s.since, s.start), F.lit("["), F.upper(s.kind), F.lit("]")))
+    rest = _cut(F.col("_chunks"), F.element_at("_spans", -1).end, F.length("_text"))
+    clean = F.when(F.size("_spans") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("_text"))
+    return rows.select(*[(clean.alias(c) if c.lower() == text_col.lower() else F.col(f"_row.`{c}`").alias(c)) for c in docs.columns])

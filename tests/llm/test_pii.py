@@ -1,5 +1,6 @@
 """The base kinds against a plain scan by the contract's own patterns."""
 
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -65,3 +66,43 @@ def test_long_text_and_empty_table(spark):
     long = "a" * 300_000 + " x@y.org " + "1." * 100_000
     assert base(spark, [long]) == {0: plain(long)}
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_matches_and_long_gaps(spark):
+    """Long texts, with characters outside the BMP, by the contract's own patterns; positions on chunk borders."""
+    rng = random.Random(3)
+    many = " ".join(f"u{i}@host{i % 7}.org {i % 300}.0.0.{i % 256} +49 30 {1000000 + i}" for i in range(3_000))
+    spaced = "".join(rng.choice(["\U0001f600", "\u00e9", "w ", "\n"]) * rng.randint(1, 700) + rng.choice(PIECES) for _ in range(200))
+    edge = "".join("x" * ((1 << pii.CHUNK_BITS) - 9 * k) + " a@b.cd " for k in range(40))
+    texts = [many, spaced, edge, "a@b.cd" * 600, "a@b.cd " + "\U0001f600" * 5000 + " a@b.cd"]
+    got = base(spark, texts)
+    assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts]
+
+
+def plain_redaction(text, spans):
+    out, at = [], 0
+    for s in spans:
+        if s.start >= at:
+            out += [text[at : s.start], f"[{s.kind.upper()}]"]
+            at = s.end
+    return "".join([*out, text[at:]])
+
+
+def test_redaction_of_long_texts(spark):
+    texts = ["call (555) 123-4567 \U0001f600 " * 900 + "x@y.org", "10.0.0.1" + "\u00e9" * 5000 + "10.0.0.2", "1@10.0.0.1 +4930123456789@x.yz", "", None, "nothing"]
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, `a.b` string")
+    found = pii.find_pii(df)
+    assert found.columns == ["doc_id", "text", "a.b", "pii"]
+    clean = {r.doc_id: (r.text, r["a.b"]) for r in pii.redact(found).collect()}
+    assert clean == {r.doc_id: (plain_redaction(r.text or "", r.pii), "k") for r in found.collect()}
+
+
+def test_added_spans_beside_base_ones(spark):
+    """An added span stays only where no base span meets it, however many there are."""
+    cases = [f"ssn 123-45-6789 a{i}@b.org" if i % 2 else f"call 555-123-4567 +1 {5551234567 + i} ssn 123-45-6789" for i in range(700)]
+    text = " ; ".join(cases) + " phone 123-456-7890@x.org"
+    rows = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().pii
+    base = [(s.start, s.end) for s in rows if s.kind in pii.BASE]
+    added = [(s.start, s.end, s.kind) for s in rows if s.kind not in pii.BASE]
+    assert sum(k == "ssn" for *_, k in added) == 700 and all(not any(a < f and b < e for b, f in base) for a, e, _ in added)
+    assert [(s.start, s.kind) for s in rows] == sorted(((s.start, s.kind) for s in rows), key=lambda x: (x[0], pii.KINDS.index(x[1])))
