@@ -71,7 +71,7 @@ class Coder:
     def guess(self, text: str) -> tuple[str, float, float]:
         """(language, score, lead): the lead of the shortest code over the next one, as a share of it."""
         data = letters(text)
-        if not data or not self.model.langs:
+        if not any(map(str.isalpha, text)) or not self.model.langs:  # stops at the first letter; signs such as fractions are none
             return UNKNOWN, 0.0, 0.0
         total = [s + c for s, c in zip(self.sizes(data, self.first), self.model.cost)]
         if self._lead(total) < UNSURE:
