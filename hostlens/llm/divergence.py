@@ -86,14 +86,16 @@ def document_counts(docs: DataFrame) -> DataFrame:
             coded, ends = words.flatten().dictionary_encode(), np.asarray(words.offsets).astype(np.int64)
             codes, n = np.asarray(coded.indices).astype(np.int64), len(coded.dictionary)
             doc = np.repeat(np.arange(len(words)), np.diff(ends))
-            pairs = np.unique(doc * n + codes)  # each term of a document once
+            pairs = pd.unique(doc * n + codes)  # each term of a document once
             langs = plain_texts(batch.column(0)).dictionary_encode()
             of, names = np.asarray(langs.indices).astype(np.int64), langs.dictionary.to_pylist()
-            seen = np.unique(of[pairs // max(n, 1)] * n + pairs % max(n, 1), return_counts=True)
-            terms = coded.dictionary.to_pylist()
+            which, seen = pd.factorize(of[pairs // max(n, 1)] * n + pairs % max(n, 1))
+            counts, terms = np.bincount(which, minlength=len(seen)), coded.dictionary
             for i, name in enumerate(names):
-                a, b = np.searchsorted(seen[0], [i * n, (i + 1) * n])
-                held.add((name,), {terms[t]: c for t, c in zip((seen[0][a:b] - i * n).tolist(), seen[1][a:b].tolist()) if terms[t]})
+                mine = np.flatnonzero(seen // max(n, 1) == i)
+                found = dict(zip(terms.take(pa.array(seen[mine] - i * n)).to_pylist(), counts[mine].tolist()))
+                found.pop("", None)
+                held.add((name,), found)
             yield from held.batches(HELD)
         yield from held.batches()
 
@@ -123,8 +125,10 @@ def occurrences(docs: DataFrame, kept: DataFrame, block: int = BLOCK) -> DataFra
 
     def searched(terms) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automata, held = _automata(terms.value), _Held("lang", "source")
-            names = {lang: pa.array(of, pa.string()) for lang, of in terms.value.items()}
+            known = terms.value  # a worker keeps it from task to task, and what is made of it
+            if "automata" not in known:
+                known["automata"], known["names"] = _automata(known["terms"]), {lang: pa.array(of, pa.string()) for lang, of in known["terms"].items()}
+            automata, names, held = known["automata"], known["names"], _Held("lang", "source")
             for batch in slices(batches, "text"):
                 texts = plain(plain_texts(batch.column(2)))
                 for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts.to_pylist()):
@@ -140,15 +144,16 @@ def occurrences(docs: DataFrame, kept: DataFrame, block: int = BLOCK) -> DataFra
         mine: dict[str, list[str]] = {}
         for r in kept.filter(F.pmod(F.xxhash64("lang", "term"), F.lit(blocks)) == b).toLocalIterator():
             mine.setdefault(r.lang, []).append(r.term)
-        found = searched(spark.sparkContext.broadcast(mine))
+        found = searched(spark.sparkContext.broadcast({"terms": mine}))
         out = found if out is None else out.union(found)
     return out.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
-    """1 + floor(SCALE (count + SMOOTH) / (n + SMOOTH v)) in exact decimals."""
-    up = (count + SMOOTH).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)")
-    return F.call_function("div", up, (n + v * SMOOTH).cast("decimal(20,0)")) + 1
+    """1 + floor(SCALE (count + SMOOTH) / (n + SMOOTH v)), exactly: in decimals where 64 bits don't hold the product."""
+    up, down = count + SMOOTH, n + v * SMOOTH
+    wide = F.call_function("div", up.cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)"), down.cast("decimal(20,0)"))
+    return F.when(up < (1 << 63) // SCALE, F.call_function("div", up * SCALE, down)).otherwise(wide) + 1
 
 
 def _common(postings: DataFrame, buckets: int) -> DataFrame:
@@ -203,12 +208,13 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, block: int
     used = counts.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     groups = groups.join(used, ["lang", "source"], "left").join(sizes, "lang", "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"))
     groups = written(groups.withColumn("p0", F.when(F.col("v") > 0, share(F.lit(0).cast("bigint"), F.col("total"), F.col("v"))).otherwise(0).cast("bigint")))
-    postings = counts.join(groups, ["lang", "source"]).select("lang", "source", "term", "n", share(F.col("n"), F.col("total"), F.col("v")).alias("p"), "p0")
+    postings = written(counts.join(groups, ["lang", "source"]).select("lang", "source", "term", "n", share(F.col("n"), F.col("total"), F.col("v")).alias("p"), "p0"))
 
     # pairs: V |a0 - b0|, changed by each source's own terms, and again where both use a term
     own = postings.groupBy("lang", "source", "p", "p0").agg(F.count(F.lit(1)).alias("terms"))
     other = groups.select("lang", F.col("source").alias("other"), F.col("p0").alias("q0"))
     own = own.join(other, "lang").groupBy("lang", "source", "other").agg(F.sum(F.col("terms") * (F.abs(F.col("p") - F.col("q0")) - F.abs(F.col("p0") - F.col("q0")))).alias("own"))
+    own = written(own)
     both = _common(postings, max(partitions(docs.sparkSession), -(-counts.count() // POSTINGS)))
     pairs = groups.join(other, "lang").filter("source <> other").select("lang", "source", "other", (F.col("v") * F.abs(F.col("p0") - F.col("q0"))).alias("base"))
     pairs = pairs.join(own, ["lang", "source", "other"], "left").join(own.select("lang", F.col("source").alias("other"), F.col("other").alias("source"), F.col("own").alias("back")), ["lang", "source", "other"], "left")
