@@ -37,6 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str, of: str = "") -> Column:
+    """A column of exactly this name, whatever characters it has; `of`: the struct that it is a field of."""
+    return F.col((f"{of}." if of else "") + "`" + name.replace("`", "``") + "`")
+
+
+def renamed(df: DataFrame) -> DataFrame:
+    """The columns as _c0, _c1, ...: Arrow functions don't take names with dots."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
 _scope: ContextVar[Scope | None] = ContextVar("hostlens-scope", default=None)
 
 

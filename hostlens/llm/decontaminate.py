@@ -4,9 +4,9 @@ The CGK embedding walks over a string, writes the current symbol at each step an
 that depends on step and symbol; strings at a small edit distance stay, or fall back, in step, so their
 outputs are at a small Hamming distance. Here the symbols are words. A walk starts at each word of
 each document, and each hash table samples a few of its steps; so do the walks of the items, from
-starts spread over the whole item. Runs of words complete them: of n words with e edits, (n - e) / (e + 1)
-neighbours stay unedited somewhere, so each run of that length of an item has an entry, too, and
-the share that the walks may miss is found. Windows that meet an item in a table are verified by their exact
+starts spread over the whole item. Runs of words complete them: of an item's m disjoint runs e edits leave at least m - e as they
+are, so that any e + 1 of the runs find every match; the rarest e + 1 have an entry. What many items share, such as the head of a
+prompt, is no entry then: neither as a run nor as a walk. Windows that meet an item in a table are verified by their exact
 word edit distance.
 """
 
@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import plain_texts, slices, split_words
+from .common import column, renamed
+from .words import plain_texts, ranges, slices, split_words
 
 #: An item is found where at most this share of its words is edited.
 EDITS = 0.2
@@ -30,6 +31,10 @@ EDITS = 0.2
 WALKS, REACHES, SAMPLES = 3, (5, 5, 10, 10, 20, 20, 20, 40, 40, 40), 4
 SHORT, FEW_SAMPLES = 10, 3
 STRIDE, NEAR_STRIDE, SHORT_ITEM, SHORTEST_ITEM = 10, 3, 16, 12
+#: Entries of one hash: walks that more of them share are left to the runs; runs get shorter, down to words, until none is shared by more.
+COMMON = 32
+#: Meetings that are looked at together.
+MEETINGS = 1 << 19
 #: Items held by each task at once: a block is at most this many texts.
 BLOCK = 20_000
 CHUNK = 1 << 15
@@ -57,7 +62,7 @@ def symbols(codes: np.ndarray, words: list[str]) -> np.ndarray:
 
 
 class Index:
-    """The hash tables of a block of items. Bounded: for each item one entry a word in the runs, and WALKS x len(REACHES) a start in the walks."""
+    """The hash tables of a block of items. Bounded: for each item less than one entry a word in the runs, and WALKS x len(REACHES) a start in the walks."""
 
     def __init__(self, ids: list[int], texts: list[str], min_words: int = 1):
         codes, words, counts = tokens(pa.array(texts, pa.string()))
@@ -86,20 +91,45 @@ class Index:
             # a table counts if its samples lie inside the item
             fits = np.array([at[s[-1]] < end for s in self.samples[w]])
             used = np.where((fits & long).any(axis=0) & (counts[item] >= SHORT_ITEM), fits & long, fits & ((counts[item] < SHORTEST_ITEM) | ~few))
-            self.tables.append([self._table(h[u], item[u], shift[u]) if u.any() else None for h, u in zip(hashes, used)])
-        lengths = np.array([self.run_length(n) for n in sizes], np.int64)
-        self.runs = {}
-        for q in sorted(set(lengths.tolist())):
-            of = np.flatnonzero(lengths == q)
-            shift, item, head = self._spread([np.arange(n - q + 1) for n in sizes[of]], [searched[i] for i in of], heads[of])
-            self.runs[q] = self._table(self.run(padded, head + shift, q), item, shift)
+            self.tables.append([self._table(h[u], item[u], shift[u], COMMON) if u.any() else None for h, u in zip(hashes, used)])
+        self.runs = {q: self._table(*found) for q, found in self._runs(padded, sizes, np.array(searched, np.int64), heads).items()}
         self.masks = [self._masks(item) for item in self.items]
 
+    def _runs(self, padded: np.ndarray, sizes: np.ndarray, items: np.ndarray, heads: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By length of the runs: (hash, item, shift) of the runs that have an entry, e + 1 for each item: the longest ones that few items share, else those that fewest share."""
+        edits = (EDITS * sizes).astype(np.int64)
+        lengths = range(int((sizes // (edits + 1)).max(initial=0)), 0, -1)
+        cuts, kept, worst, total = {}, {}, {}, {}
+        for q in lengths:
+            shift, at, head = self._spread([np.arange(0, n - q + 1, q) for n in sizes], list(range(len(sizes))), heads)
+            hashes = self.run(padded, head + shift, q)
+            _, where, shared = np.unique(hashes, return_inverse=True, return_counts=True)
+            shared = shared[where]
+            order = np.lexsort((shift, shared, at))
+            rank = ranges(sizes // q)
+            chosen = order[rank <= edits[at[order]]]
+            cuts[q], kept[q] = (hashes, at, shift), chosen
+            fits = sizes // q > edits
+            worst[q] = np.where(fits, self._most(shared[chosen], at[chosen], len(sizes)), np.iinfo(np.int64).max)
+            total[q] = np.where(fits, np.bincount(at[chosen], shared[chosen], len(sizes)), np.inf)
+        if not len(sizes):
+            return {}
+        by = list(lengths)
+        few = np.array([worst[q] <= COMMON for q in by])
+        best = np.where(few.any(axis=0), few.argmax(axis=0), np.array([total[q] for q in by]).argmin(axis=0))
+        out = {}
+        for i, q in enumerate(by):
+            hashes, at, shift = cuts[q]
+            mine = kept[q][best[at[kept[q]]] == i]
+            if len(mine):
+                out[q] = hashes[mine], items[at[mine]], shift[mine]
+        return out
+
     @staticmethod
-    def run_length(n: int) -> int:
-        """Neighbours that stay unedited in any n words with as many edits as are allowed."""
-        most = int(EDITS * n)
-        return -(-(n - most) // (most + 1))
+    def _most(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n, np.int64)
+        np.maximum.at(out, of, values)
+        return out
 
     @staticmethod
     def _spread(shifts: list[np.ndarray], items: list[int], heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +138,11 @@ class Index:
         return np.concatenate([np.zeros(0, np.int64), *shifts]), np.repeat(np.array(items, np.int64), n), np.repeat(heads, n)
 
     @staticmethod
-    def _table(hashes: np.ndarray, items: np.ndarray, shifts: np.ndarray):
+    def _table(hashes: np.ndarray, items: np.ndarray, shifts: np.ndarray, most: int | None = None):
+        """Entries by hash; with `most`, without those of a hash that more entries have."""
+        if most is not None:
+            _, where, shared = np.unique(hashes, return_inverse=True, return_counts=True)
+            hashes, items, shifts = (x[shared[where] <= most] for x in (hashes, items, shifts))
         by = np.argsort(hashes, kind="stable")
         last = np.uint32((1 << max(16, (8 * len(hashes)).bit_length())) - 1)
         filled = np.zeros(int(last) + 1, bool)
@@ -148,33 +182,47 @@ class Index:
             at += symbol
         return hashes, stands
 
-    def candidates(self, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Distinct (start, item, text number) rows that meet in some table. The start of the item's first word follows from where they meet; it may lie before the text."""
-        padded = np.concatenate([text, np.zeros(self.steps + 1, np.uint32)])
-        found = []
-        for a in range(0, len(text), CHUNK):
-            start = np.arange(a, min(a + CHUNK, len(text)))
-            met = []
-
-            def meet(h: np.ndarray, table, start=start, met=met):
-                filled, hashes, items, shifts = table
-                near = np.flatnonzero(filled[h & np.uint32(len(filled) - 1)])
-                if len(near):
-                    lo, hi = np.searchsorted(hashes, h[near], "left"), np.searchsorted(hashes, h[near], "right")
-                    n = hi - lo
-                    if n.any():
-                        each = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        at = np.repeat(start[near], n)
-                        met.append(np.column_stack([at - shifts[each], items[each], np.searchsorted(ends, at, "right")]))
+    def candidates(self, symbol: np.ndarray, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Distinct likely (start, item, text number) rows that meet in some table, MEETINGS at a time. The start of the item's first word follows from where they meet; it may lie before the text.
+
+        symbol: the words' hashes; text: their numbers as in the items.
+        """
+        padded = np.concatenate([symbol, np.zeros(self.steps + 1, np.uint32)])
+        found, met, n_met = [], [], 0
 
+        def looked_at() -> None:
+            nonlocal met, n_met
+            if met:
+                found.append(self.likely(text, np.unique(np.concatenate(met), axis=0)))
+                met, n_met = [], 0
+
+        def meet(start: np.ndarray, h: np.ndarray, table) -> None:
+            nonlocal n_met
+            filled, hashes, items, shifts = table
+            near = np.flatnonzero(filled[h & np.uint32(len(filled) - 1)])
+            if not len(near):
+                return
+            lo, hi = np.searchsorted(hashes, h[near], "left"), np.searchsorted(hashes, h[near], "right")
+            part = np.cumsum(hi - lo) // MEETINGS
+            for a, b in zip([0, *(np.flatnonzero(np.diff(part)) + 1)], [*(np.flatnonzero(np.diff(part)) + 1), len(near)]):
+                n = hi[a:b] - lo[a:b]
+                if n.any():
+                    each = np.repeat(lo[a:b], n) + ranges(n)
+                    at = np.repeat(start[near[a:b]], n)
+                    met.append(np.column_stack([at - shifts[each], items[each], np.searchsorted(ends, at, "right")]))
+                    n_met += len(each)
+                    if n_met > MEETINGS:
+                        looked_at()
+
+        for a in range(0, len(symbol), CHUNK):
+            start = np.arange(a, min(a + CHUNK, len(symbol)))
             for w in range(WALKS):
                 for h, table in zip(self.walk(padded, start, w)[0], self.tables[w]):
                     if table is not None:
-                        meet(h, table)
+                        meet(start, h, table)
             for q, table in self.runs.items():
-                meet(self.run(padded, start, q), table)
-            if met:
-                found.append(np.unique(np.concatenate(met), axis=0))
+                meet(start, self.run(padded, start, q), table)
+        looked_at()
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
     def likely(self, text: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -217,10 +265,9 @@ class Index:
         codes, words, counts = tokens(texts)
         ends = np.cumsum(counts)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        found = self.candidates(symbols(codes, words), ends)
         numbers = np.fromiter((self.numbers.get(w, 0) for w in words), np.int64, len(words))
         text = numbers[codes] if len(codes) else codes
-        for start, item, doc in self.likely(text, found).tolist():
+        for start, item, doc in self.candidates(symbols(codes, words), text, ends).tolist():
             n = len(self.items[item])
             most = int(EDITS * n)
             if best.get((doc, item), (n,))[0] == 0:
@@ -258,7 +305,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     * Other columns are ignored. An empty table on either side gives an empty result.
     """
     schema = "doc_id bigint, item_id bigint, distance int, item_words int, similarity double, first_word bigint"
-    docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    docs = docs.select(column(id_col).cast("bigint").alias("doc_id"), column(text_col).alias("text"))
 
     def searched(index: Index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,15 +332,18 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     Null and empty texts stay; null ids and repeated rows are judged like any other. Items as in find_leaks(). An empty table on either side changes nothing.
     """
 
+    at = f"_c{docs.columns.index(text_col)}"
+
     def clean(frame: DataFrame, index: Index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, text_col, 2 << 20):
+            for batch in slices(batches, at, 2 << 20):
                 keep = np.ones(batch.num_rows, bool)
-                keep[[doc for doc, *_ in index.search(plain_texts(batch.column(batch.schema.get_field_index(text_col))))]] = False
+                keep[[doc for doc, *_ in index.search(plain_texts(batch.column(batch.schema.get_field_index(at))))]] = False
                 yield batch.filter(pa.array(keep))
 
         return frame.mapInArrow(run, frame.schema)
 
+    out = renamed(docs)
     for index in _blocks(benchmark, block, min_words):
-        docs = clean(docs, index)
-    return docs
+        out = clean(out, index)
+    return out.toDF(*docs.columns)

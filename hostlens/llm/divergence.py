@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import column, partitions, written
 from .words import plain_texts, slices
 
 MIN_DOCS, SCALE, SMOOTH, TOP = 30, 1_000_000_000, 5, 50
@@ -49,7 +49,7 @@ def plain(texts: pa.Array) -> pa.Array:
 
 
 def _columns(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    filled = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    filled = lambda c: F.coalesce(column(c).cast("string"), F.lit(""))
     return docs.select(filled(lang_col).alias("lang"), filled(source_col).alias("source"), filled(text_col).alias("text"))
 
 

@@ -15,7 +15,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import column, partitions, written
 
 #: Sampled keys for each range border.
 OVERSAMPLE = 30
@@ -62,7 +62,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     * A null id sorts last: it stays only if the whole group has null ids.
     * Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
-    raw = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    raw = docs.select(column(id_col).cast("bigint").alias("_id"), column(text_col).alias("_text"))
     rows = raw.select("_id", "_text", normalised(F.col("_text")).alias("_norm")).withColumn("_sha", F.sha2("_norm", 256))
     order_id = F.coalesce("_id", F.lit(LAST))
     key = F.struct(F.substring("_norm", 1, PREFIX).alias("a"), F.col("_sha").alias("b"), order_id.alias("c"))
@@ -102,10 +102,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_groups() keeps, with the columns they came with, whatever their names; of rows that repeat id and text, one."""
     id_of = lambda c: F.coalesce(c.cast("bigint"), F.lit(LAST)).alias("_id")
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(id_of(F.col(f"`{id_col}`")), F.col("text_sha256").alias("_sha")).distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(row, id_of(F.col(f"`{id_col}`")), F.sha2(normalised(F.col(f"`{text_col}`")), 256).alias("_sha"))
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select(id_of(column(id_col)), F.col("text_sha256").alias("_sha")).distinct()
+    row = F.struct(*[column(c) for c in docs.columns]).alias("_row")
+    rows = docs.select(row, id_of(column(id_col)), F.sha2(normalised(column(text_col)), 256).alias("_sha"))
     out = rows.join(kept, ["_id", "_sha"], "left_semi")
-    if not docs.groupBy(F.col(f"`{id_col}`")).count().filter("count > 1").isEmpty():
+    if not docs.groupBy(column(id_col)).count().filter("count > 1").isEmpty():
         out = out.dropDuplicates(["_id", "_sha"])
-    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    return out.select(*[column(c, "_row").alias(c) for c in docs.columns])

@@ -18,6 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import column
 from .words import plain_texts, slices
 
 UNKNOWN = "und"
@@ -94,7 +95,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Rows of null text or language teach nothing; an empty language is a language. Repeated rows count as often as they are there. Without
     labelled rows the model knows no language. The sample has at most ALL_TEXTS pieces and there are at most MAX_LANGS languages (else an error).
     """
-    rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.length(f"`{text_col}`")).alias("draw"))
+    rows = docs.select(column(lang_col).cast("string").alias("lang"), column(text_col).alias("text"), F.xxhash64(F.lit(seed), column(id_col), F.length(column(text_col))).alias("draw"))
     rows = rows.filter("lang is not null and text is not null")
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
     if len(counts) > MAX_LANGS:
@@ -126,8 +127,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     * Equal codes: the language that sorts first. Texts of any length are coded whole, block by block.
     * Repeated rows and null ids are judged like any other; other columns are ignored. An empty table gives an empty result.
     """
-    schema = f"`{id_col}` bigint, lang_pred string, score double, margin double, rejected boolean"
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    schema = "_id bigint, lang_pred string, score double, margin double, rejected boolean"
+    rows = docs.select(column(id_col).cast("bigint").alias("_id"), column(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(model)
@@ -135,7 +136,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             lang, score, margin = zip(*map(coder.guess, plain_texts(batch.column(1)).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array([m < REJECT for m in margin], pa.bool_())],
-                [id_col, "lang_pred", "score", "margin", "rejected"],
+                ["_id", "lang_pred", "score", "margin", "rejected"],
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)

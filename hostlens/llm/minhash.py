@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scope, partitions, written
+from .common import Scope, column, partitions, written
 from .components import components
 from .words import MASK, bags, mixed, plain_texts, ranges, slices
 
@@ -238,7 +238,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Edge cases as in near_duplicates().
     """
     bands, height = layout(similarity)
-    docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id is not null")
+    docs = docs.select(column(id_col).cast("bigint").alias("doc_id"), column(text_col).alias("text")).filter("doc_id is not null")
     with Scope() as scope:
         signed = written(_signed(docs, bands, height))
         # equal multisets: one representative each, counted before the shuffle

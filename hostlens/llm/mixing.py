@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, uniform, written
+from .common import column, partitions, uniform, written
 
 #: Rates above this are drawn as a sum of equal parts, so that exp(-rate) stays exact.
 PART = 30.0
@@ -30,8 +30,8 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, p
     epochs x total characters. Weights are summed as decimals, so that their order doesn't matter. A null source is a
     source of its own (named ""). A source without characters has rate 0.
     """
-    name = F.coalesce(F.col(f"`{group_col}`").cast("string"), F.lit("")).alias("_source")
-    sizes = docs.select(name, F.coalesce(F.length(F.col(f"`{text_col}`")), F.lit(0)).cast("bigint").alias("n")).groupBy("_source").agg(F.sum("n").alias("_mass"))
+    name = F.coalesce(column(group_col).cast("string"), F.lit("")).alias("_source")
+    sizes = docs.select(name, F.coalesce(F.length(column(text_col)), F.lit(0)).cast("bigint").alias("n")).groupBy("_source").agg(F.sum("n").alias("_mass"))
     if weights is None:
         share = F.when(F.col("_mass") > 0, F.pow(F.col("_mass").cast("double"), F.lit(power))).otherwise(0.0)
     else:
@@ -79,11 +79,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     table gives an empty result. Columns named copy or shuffle_key are replaced; all others pass, whatever their names.
     """
     rates = written(repetition_rates(docs, weights, power, epochs, group_col, text_col).select("_source", "_rate"))
-    source = F.coalesce(F.col(f"`{group_col}`").cast("string"), F.lit(""))
-    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
+    source = F.coalesce(column(group_col).cast("string"), F.lit(""))
+    key = F.coalesce(column(id_col).cast("string"), F.lit("null"))
     kept = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
     # the row is one column, so that no name of it can clash
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), source.alias("_source"), key.alias("_key"))
+    named = docs.select(F.struct(*[column(c) for c in kept]).alias("_row"), source.alias("_source"), key.alias("_key"))
     if rates.count() <= BROADCAST_SOURCES:
         joined = named.join(F.broadcast(rates), "_source")  # a name and a number for each source, their count checked
     else:
@@ -94,4 +94,4 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     copies = drawn.filter("_n > 0").select("_row", "_key", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
     copies = copies.withColumn("_at", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), "_key", F.col("_copy").cast("string"))))
     dealt = copies.repartition(partitions(docs.sparkSession), F.substring("_at", 1, 8)).sortWithinPartitions("_at")
-    return dealt.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], F.col("_copy").cast("bigint").alias("copy"), F.col("_at").alias("shuffle_key"))
+    return dealt.select(*[column(c, "_row").alias(c) for c in kept], F.col("_copy").cast("bigint").alias("copy"), F.col("_at").alias("shuffle_key"))

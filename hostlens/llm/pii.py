@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import column
+
 #: Base kinds, in the order in which ties are listed. The patterns are written so that a search
 #: is linear in the text (possessive runs, no start inside a run that already failed); what
 #: they match equals the plain forms
@@ -167,12 +169,12 @@ def find_pii(docs: DataFrame, text_col: str = "text", threshold: float = THRESHO
     * Null text is the empty text: an empty array. Texts are searched whole.
     * Other columns pass unchanged (a column named `pii` is replaced). Repeated rows are each searched.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    text = F.coalesce(column(text_col), F.lit(""))
     patterns = BASE | ADDED
     # the row is one column, so that no name of it can clash; each pattern's matches are another, so that it runs once where there are none
     kept = [c for c in docs.columns if c.lower() != "pii"]
     hits = {k: F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"_h_{k}") for k, p in patterns.items()}
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), text.alias("_text"), *hits.values())
+    out = docs.select(F.struct(*[column(c) for c in kept]).alias("_row"), text.alias("_text"), *hits.values())
     some = F.greatest(*[F.size(f"_h_{k}") for k in patterns]) > 0
     out = out.withColumn("_chunks", F.when(some, _chunks(F.col("_text"))).otherwise(_empty("string")))
     out = out.select("_row", *[_spans(F.col("_text"), F.col("_chunks"), F.col(f"_h_{k}"), k, p, reach).alias(f"_{k}") for k, p in patterns.items()])
@@ -181,7 +183,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", threshold: float = THRESHO
     out = out.withColumn("_reaches", F.when(F.size("_added") > 0, _reaches(by_start(F.col("_base"), lambda s: s.end))).otherwise(_empty("struct<start:int,end:int>")))
     rank = F.array(*[F.lit(k) for k in KINDS])
     spans = F.concat("_base", F.filter("_added", lambda s: ~_overlaps(s, F.col("_reaches"))))
-    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], by_start(spans, lambda s: F.array_position(rank, s.kind)).alias("pii"))
+    return out.select(*[column(c, "_row").alias(c) for c in kept], by_start(spans, lambda s: F.array_position(rank, s.kind)).alias("pii"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -194,8 +196,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Null text becomes the empty text; a text without spans stays as it is. Repeated rows, null ids and other columns pass unchanged.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("pii").alias("_pii"), text.alias("_text"))
+    text = F.coalesce(column(text_col), F.lit(""))
+    rows = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("_row"), F.col("pii").alias("_pii"), text.alias("_text"))
     rows = rows.withColumn("_chunks", F.when(F.size("_pii") > 0, _chunks(F.col("_text"))).otherwise(_empty("string")))
     # of overlapping spans the first: where it starts, where the text before it starts, its kind
     step = lambda at, s: (F.when(s.start < at, at).otherwise(s.end), F.when(s.start >= at, F.struct(at.alias("since"), s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
@@ -203,4 +205,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     pieces = F.transform("_spans", lambda s: F.concat(_cut(F.col("_chunks"), s.since, s.start), F.lit("["), F.upper(s.kind), F.lit("]")))
     rest = _cut(F.col("_chunks"), F.element_at("_spans", -1).end, F.length("_text"))
     clean = F.when(F.size("_spans") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("_text"))
-    return rows.select(*[(clean.alias(c) if c.lower() == text_col.lower() else F.col(f"_row.`{c}`").alias(c)) for c in docs.columns])
+    return rows.select(*[(clean.alias(c) if c.lower() == text_col.lower() else column(c, "_row").alias(c)) for c in docs.columns])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import column, renamed, written
 from .words import plain_texts, slices, split_words
 
 #: Rows that fit the model, expected: a hash of the id draws them from all labelled rows.
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
         known = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_train / n))
     known = known.groupBy("doc_id").agg(F.avg("q").alias("q"))
     # at most about max_train rows of 16 bytes: broadcast by that bound
-    drawn = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(known), "doc_id").select(fold.cast("int").alias("fold"), "q", "text")
+    drawn = docs.select(column(id_col).cast("bigint").alias("doc_id"), column(text_col).alias("text")).join(F.broadcast(known), "doc_id").select(fold.cast("int").alias("fold"), "q", "text")
     sample = written(_statistics_frame(drawn, "fold q", "fold int, q double, x array<double>", "text"))
 
     fit = sample.filter("fold < 4")
@@ -185,7 +185,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             s = model.score(statistics(plain_texts(batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return docs.select(column(id_col).cast("bigint").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id bigint, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,11 +200,11 @@ def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
     Null text is scored as the empty text. Null ids and repeated rows are judged like any other; equal texts are judged alike.
     Without usable labels all rows stay. An empty table gives an empty result.
     """
-    model = train(docs, labels, max_train, id_col, text_col)
+    model, rows, at = train(docs, labels, max_train, id_col, text_col), renamed(docs), f"_c{docs.columns.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            s = model.score(statistics(plain_texts(batch.column(batch.schema.get_field_index(text_col)))))
+        for batch in slices(batches, at):
+            s = model.score(statistics(plain_texts(batch.column(batch.schema.get_field_index(at)))))
             yield batch.filter(pa.array(s >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
