@@ -25,8 +25,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, that with the smallest id. Null ids stay; rows that repeat an id stay or go together."""
-    dropped = minhash.near_duplicates(docs).filter("doc_id <> class_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    copies = minhash.near_duplicates(docs).filter("doc_id <> class_id").select("doc_id")
+    return docs.join(copies, docs["doc_id"] == copies["doc_id"], "left_anti")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
