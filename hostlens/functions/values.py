@@ -6,10 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def lit(text: str) -> Column:
-    return F.lit(text)
-
-
 def text(value: Column) -> Column:
     """Null is empty; white space of any script goes at both ends."""
     return F.coalesce(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""), F.lit(""))
@@ -57,9 +53,16 @@ def cim_date_in(value: Column, zone: Column) -> Column:
     return F.coalesce(F.when(well_formed, F.date_format(local, "dd.MM.yyyy")), F.lit(""))
 
 
+# Letters whose capital form is several letters in full case mapping (ß: SS). Compared without case they have at most their one-letter form.
+_LONG = [chr(c) for c in range(0x80, 0x110000) if len(chr(c).upper()) > 1]
+_SHORT = [c.title() if len(c.title()) == 1 else c for c in _LONG]
+_ASIDE = [chr(0x100000 + i) for i in range(len(_LONG))]
+
+
 def key(device_id: Column) -> Column:
-    """What device ids are compared by: case does not count."""
-    return F.upper(device_id)
+    """What device ids are compared by: case does not count, letter by letter, so that ß is not SS. Grouping and joins hash it like any text."""
+    aside = F.upper(F.translate(device_id, "".join(_LONG), "".join(_ASIDE)))
+    return F.when(F.octet_length(device_id) == F.length(device_id), F.upper(device_id)).otherwise(F.translate(aside, "".join(_ASIDE), "".join(_SHORT)))
 
 
 def parts(separator: str, *columns: Column) -> Column:

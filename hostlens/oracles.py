@@ -233,4 +233,17 @@ SQL = {
         CASE WHEN ok THEN bus_type END AS bus_type, CASE WHEN NOT ok THEN line END AS reject FROM (SELECT *, seq % 7 <> 3 AS ok FROM fx_physical_disk) d JOIN fx_disk_line l ON l.seq = d.seq""",
     "cim_date_zones": _with(("signed_driver",)) + f"""SELECT host_id, seq, {_zoned("(substr(driver_date, 1, 8) || '043000.000000+000')")} AS early, {_zoned("(substr(driver_date, 1, 8) || '003000.000000+120')")} AS late, {_zoned('driver_date')} AS plain FROM fx_signed_driver""",
 }
+_TICKED = "SELECT (host_id, component_key) FROM states WHERE recommended AND state <> 'Installed'"
+SQL |= {
+    # letters that are equal without case, one by one: ss and SS, the long s and s, one pair of Greek letters, e with an accent, a digraph
+    "keys_without_case": _with(("pnp_entity",)) + f"""SELECT host_id, upper({_s('pnp_device_id')}) || CASE seq % 12 WHEN 0 THEN 'ß' WHEN 1 THEN 'SS' WHEN 2 THEN 'SS' WHEN 3 THEN 'S' WHEN 4 THEN 'S' WHEN 5 THEN 'S' WHEN 6 THEN 'ᾼ' WHEN 7 THEN 'ᾼ' WHEN 8 THEN 'ŉ' WHEN 9 THEN 'É' WHEN 10 THEN 'É' ELSE 'Ǆ' END AS key,
+      count(*) AS n FROM fx_pnp_entity GROUP BY ALL""",
+    "inventory_without_seq": f"SELECT * EXCLUDE (seq) FROM ({SQL['full_inventory']}) x",
+    "selected_tally": _with((*COMPONENT_TABLES, "install_attempt"), COMPONENTS) + f"""SELECT *, cast(done * 100 // count(*) OVER (PARTITION BY host_id) AS INT) AS percent FROM (
+      SELECT *, count(*) OVER w AS done, count(*) FILTER (success) OVER w AS ok FROM (
+        SELECT host_id, seq, component_key, exit_code, CASE component_key WHEN 'directx' THEN exit_code = 0 WHEN 'dotnet8_desktop' THEN exit_code IN (0, 3010, 1638) ELSE exit_code IN (0, 3010, 1638, 1641) END AS success
+        FROM fx_install_attempt WHERE (host_id, component_key) IN ({_TICKED})) a
+      WINDOW w AS (PARTITION BY host_id ORDER BY seq ROWS UNBOUNDED PRECEDING)) b""",
+    "report_files": SQL["headless_report"],
+}
 SQL |= {"progress_streamed": SQL["progress_changes"], "pnp_streamed": SQL["pnp_last_wins"], "driver_streamed": SQL["driver_first_wins"], "bag_inventory": SQL["typed_inventory"], "class_scan": SQL["cpu_text"]}

@@ -87,8 +87,13 @@ def selected(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(keys.select("host_id", "component_key"), ["host_id", "component_key"], "left_semi")
 
 
-def install_tally(attempts: DataFrame, components: DataFrame) -> DataFrame:
-    """Each attempt with its success and the running counts of its host: done, ok and whole percent."""
+def install_tally(attempts: DataFrame, components: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Each attempt with its success and the running counts of its host: done, ok and whole percent.
+
+    chosen: (host_id, component_key); other attempts of the host are then neither listed nor counted.
+    """
+    if chosen is not None:
+        attempts = attempts.join(chosen.select("host_id", "component_key"), ["host_id", "component_key"], "left_semi")
     known = components.select("component_key", "success_exit_codes")
     rows = attempts.join(F.broadcast(known), "component_key", "left")  # the catalog: a handful of rows
     rows = rows.withColumn("success", F.coalesce(F.array_contains("success_exit_codes", F.col("exit_code")), F.lit(False)))

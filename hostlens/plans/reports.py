@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hostlens.functions import devices as d
@@ -114,3 +114,30 @@ def text_report(inventory: DataFrame, system_rows: DataFrame, gpus: DataFrame, c
 def write_text_report(report: DataFrame, path: str) -> None:
     """One folder for each host, its lines in order in one text file."""
     report.repartition("host_id").sortWithinPartitions("host_id", "line_no").select("host_id", "line").write.partitionBy("host_id").text(path)
+
+
+def write_report_files(report: DataFrame, path: str, lines: int = 1_000_000) -> None:
+    """The reports of all hosts in files of about so many lines, a host's report in one of them, and a manifest.
+
+    path/lines/file=<n>: text files of host, line number and line, separated by tabs, in order. path/manifest: (host_id, file, first_line, n_lines), first_line from 1.
+    The number of files follows from the number of lines, not of hosts.
+    """
+    files = max(1, -(-report.count() // lines))
+    rows = report.withColumn("file", F.pmod(F.xxhash64("host_id"), F.lit(files)))
+    text = F.concat_ws("\t", F.col("host_id").cast("string"), F.col("line_no").cast("string"), "line")
+    dealt = rows.repartition(files, "file").sortWithinPartitions("file", "host_id", "line_no")
+    dealt.select("file", text.alias("value")).write.partitionBy("file").text(f"{path}/lines")
+    sizes = rows.groupBy("file", "host_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    before = Window.partitionBy("file").orderBy("host_id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes.select("host_id", "file", (F.coalesce(F.sum("n_lines").over(before), F.lit(0)) + 1).alias("first_line"), "n_lines").write.parquet(f"{path}/manifest")
+
+
+def read_report_files(spark: SparkSession, path: str, hosts: DataFrame | None = None) -> DataFrame:
+    """(host_id, line_no, line) of all reports, or of these hosts: then only the files that the manifest names are opened."""
+    rows = spark.read.schema("value string, file bigint").text(f"{path}/lines")
+    if hosts is not None:
+        wanted = spark.read.parquet(f"{path}/manifest").join(hosts.select("host_id"), "host_id", "left_semi")
+        rows = rows.join(wanted.select("file").distinct(), "file", "left_semi")
+    part = F.split("value", "\t", 3)
+    out = rows.select(part[0].cast("bigint").alias("host_id"), part[1].cast("bigint").alias("line_no"), part[2].alias("line"))
+    return out if hosts is None else out.join(hosts.select("host_id"), "host_id", "left_semi")

@@ -17,7 +17,7 @@ from hostlens.plans import reports as r
 from hostlens.sources import bags, classes
 from hostlens.sources.derived import Derived
 from hostlens.sources.folders import shared_folder
-from hostlens.sources.tables import read_tolerant
+from hostlens.sources.tables import read_in_order, read_tolerant
 from hostlens.streaming import ledger, replay
 from hostlens.streaming.progress import CHANGE, progress_changes, progress_stream
 
@@ -355,3 +355,38 @@ def cim_date_zones(t):
     zone = F.element_at(F.array(*map(F.lit, ZONES)), (F.col("host_id") % 4 + 1).cast("int"))
     at = lambda clock: F.concat(F.substring("driver_date", 1, 8), F.lit(clock))
     return t["signed_driver"].select("host_id", "seq", v.cim_date_in(at("043000.000000+000"), zone).alias("early"), v.cim_date_in(at("003000.000000+120"), zone).alias("late"), v.cim_date_in(F.col("driver_date"), zone).alias("plain"))
+
+
+@query
+def report_files(t):
+    """The text reports of all hosts written to a few files and read back line by line."""
+    folder = shared_folder(t.spark)
+    r.write_report_files(QUERIES["headless_report"](t.spark, t.sf_dir), folder, 2_000)
+    return r.read_report_files(t.spark, folder)
+
+
+@query
+def keys_without_case(t):
+    """Device ids that end in letters whose cases differ in length, grouped by key."""
+    letter = F.element_at(F.array(*map(F.lit, LETTERS)), (F.col("seq") % len(LETTERS) + 1).cast("int"))
+    return t["pnp_entity"].select("host_id", v.key(F.concat(v.text(F.col("pnp_device_id")), letter)).alias("key")).groupBy("host_id", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+LETTERS = ("ß", "SS", "ss", "ſ", "S", "s", "ᾳ", "ᾼ", "ŉ", "é", "É", "ǆ")
+
+
+@query
+def inventory_without_seq(t):
+    """The inventory of snapshots that list their rows in order and number none of them."""
+    folder, tables = shared_folder(t.spark), {}
+    for name in ("pnp_entity", "signed_driver", "video_controller", "network_adapter", "sound_device", "usb_controller", "desktop_monitor", "physical_memory", "disk_drive", "physical_disk", "processor", "base_board", "bios"):
+        t[name].repartitionByRange(3, "host_id").sortWithinPartitions("host_id", "seq").drop("seq").write.parquet(f"{folder}/{name}")
+        tables[name] = read_in_order(t.spark, folder, name)
+    return r.grouped(inv.full_inventory(tables)).withColumn("pos", F.col("pos").cast("bigint")).drop("seq")
+
+
+@query
+def selected_tally(t):
+    """The tally over the components that are ticked at first."""
+    ticked = c.component_rows(c.component_states(_hosts(t), t)).filter("ticked")
+    return c.install_tally(t["install_attempt"], c.catalog(t.spark), ticked)

@@ -127,3 +127,53 @@ def test_report_files(spark, tmp_path):
     report = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "c")], "host_id bigint, line_no bigint, line string")
     r.write_text_report(report, f"{tmp_path}/out")
     assert [x.value for x in spark.read.text(f"{tmp_path}/out/host_id=1").collect()] == ["a", "b"]
+
+
+def test_report_files_are_few_and_read_back(spark, tmp_path):
+    """A thousand hosts in few files; one host's report opens one of them."""
+    report = spark.range(1000).selectExpr("id AS host_id", "explode(sequence(1, 3 + id % 4)) AS n").selectExpr("host_id", "cast(n AS bigint) AS line_no", "concat('host ', host_id, char(9), 'line ', n) AS line")
+    r.write_report_files(report, f"{tmp_path}/out", lines=1000)
+    files = list((tmp_path / "out" / "lines").rglob("*.txt"))
+    assert len(files) == 5
+    key = lambda x: (x.host_id, x.line_no, x.line)
+    back = r.read_report_files(spark, f"{tmp_path}/out")
+    assert sorted(map(key, back.collect())) == sorted(map(key, report.collect()))
+    one = spark.createDataFrame([(17,)], "host_id bigint")
+    assert sorted(map(key, r.read_report_files(spark, f"{tmp_path}/out", one).collect())) == sorted(map(key, report.filter("host_id = 17").collect()))
+    for m in spark.read.parquet(f"{tmp_path}/out/manifest").filter("host_id < 20").collect():
+        (file,) = (tmp_path / "out" / "lines" / f"file={m.file}").glob("*.txt")
+        lines = file.read_text(encoding="utf-8").splitlines()[m.first_line - 1 : m.first_line - 1 + m.n_lines]
+        assert lines == [f"{m.host_id}\t{i}\thost {m.host_id}\tline {i}" for i in range(1, 4 + m.host_id % 4)]
+
+
+def test_keys_without_case(spark):
+    """Letter by letter: no letter becomes two. One exchange for grouping, as before."""
+    same = [("abc", "ABC"), ("é", "É"), ("ſ", "s"), ("ᾳ", "ᾼ"), ("ς", "Σ"), ("ǆ", "ǅ")]
+    apart = [("ß", "SS"), ("ß", "ss"), ("ŉ", "ʼn"), ("ﬁ", "fi"), ("K", "k"), ("ﬀ", "FF")]
+    rows = spark.createDataFrame([(*p, i < len(same)) for i, p in enumerate(same + apart)], "a string, b string, same boolean")
+    assert [r.a + r.b for r in rows.filter((v.key(F.col("a")) == v.key(F.col("b"))) != F.col("same")).collect()] == []
+    t = Tables(spark, pnp_entity=(PNP, [(1, 1, "straße", 28, None, None), (1, 2, "STRASSE", 22, None, None), (1, 3, "STRAßE", 45, None, None)]))
+    codes = lookups.pnp_codes(t["pnp_entity"])
+    assert codes._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {x.key: x.error_code for x in codes.collect()} == {"STRAßE": 45, "STRASSE": 22}
+
+
+def test_rows_without_seq_count_in_file_order(spark, tmp_path):
+    from hostlens.sources.tables import read_in_order
+
+    for i, part in enumerate([[(1, "A", 1), (1, "a", 2)], [(1, "A", 3), (2, "A", 4)]]):
+        spark.createDataFrame(part, "host_id bigint, pnp_device_id string, error_code int").coalesce(1).write.parquet(f"{tmp_path}/w{i}")
+        (file,) = (tmp_path / f"w{i}").glob("*.parquet")
+        (tmp_path / "pnp_entity").mkdir(exist_ok=True)
+        (tmp_path / "pnp_entity" / f"{1 - i}.parquet").write_bytes(file.read_bytes())  # the second part is the first file
+    rows = read_in_order(spark, str(tmp_path), "pnp_entity")
+    assert [r.error_code for r in rows.orderBy("seq").collect()] == [3, 4, 1, 2]
+    assert {(x.host_id, x.error_code) for x in lookups.pnp_codes(rows).collect()} == {(1, 2), (2, 4)}
+    assert read_in_order(spark, str(tmp_path), "bios").count() == 0
+
+
+def test_tally_of_chosen_components(spark):
+    attempts = spark.createDataFrame([(1, 1, "vcredist_x64", 0), (1, 2, "directx", 0), (1, 3, "vcredist_x64", 5), (2, 1, "directx", 0)], "host_id bigint, seq bigint, component_key string, exit_code int")
+    chosen = spark.createDataFrame([(1, "vcredist_x64"), (1, "vcredist_x64"), (3, "directx")], "host_id bigint, component_key string")
+    got = [(x.host_id, x.seq, x.done, x.ok, x.percent) for x in c.install_tally(attempts, c.catalog(spark), chosen).orderBy("seq").collect()]
+    assert got == [(1, 1, 1, 1, 50), (1, 3, 2, 1, 100)]
