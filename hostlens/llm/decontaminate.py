@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,31 +46,24 @@ _table[:128] = [ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(1
 LETTERS = _table
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """(number of each word in the list of distinct words, that list, words in each text). ASCII marks separate words; case is ignored."""
+def tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(number of each word among the distinct words, those, words in each text). ASCII marks separate words; case is ignored."""
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int32)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     plain = pa.StringArray.from_buffers(n, pa.py_buffer((offsets - offsets[0]).astype(np.int32).tobytes()), pa.py_buffer(LETTERS[data].tobytes()))
-    codes, words, counts = split_words(plain)
-    return codes, words.to_pylist(), counts
-
-
-def symbols(codes: np.ndarray, words: list[str]) -> np.ndarray:
-    """A 32-bit hash of each word: what walks and runs see. Candidates only; matches are verified on the words."""
-    hashed = np.fromiter((xxhash.xxh32_intdigest(w) | 1 for w in words), np.uint32, len(words))
-    return hashed[codes] if len(codes) else np.zeros(0, np.uint32)
+    return split_words(plain)
 
 
 class Index:
     """The hash tables of a block of items. Bounded: for each item less than one entry a word in the runs, and WALKS x len(REACHES) a start in the walks."""
 
     def __init__(self, ids: list[int], texts: list[str], min_words: int = 1):
-        codes, words, counts = tokens(pa.array(texts, pa.string()))
-        flat, cuts = symbols(codes, words), np.cumsum(counts) - counts
+        codes, self.words, counts = tokens(pa.array(texts, pa.string()))
+        #: what walks and runs see of the items' words, by their numbers from 1: a 32-bit hash. Candidates only; matches are verified on the words
+        self.seen = np.fromiter((0, *(xxhash.xxh32_intdigest(w) | 1 for w in self.words.to_pylist())), np.uint32, len(self.words) + 1)
+        flat, cuts = self.seen[codes + 1] if len(codes) else np.zeros(0, np.uint32), np.cumsum(counts) - counts
         hashed = [flat[a : a + n] for a, n in zip(cuts, counts)]
-        #: numbers of the items' words from 1; 0 is any other word
-        self.numbers = {w: i for i, w in enumerate(words, 1)}
         self.items = [codes[a : a + n] + 1 for a, n in zip(cuts, counts)]
         self.ids = np.array(ids, np.int64)
         rng = np.random.default_rng(SEED)
@@ -265,9 +259,11 @@ class Index:
         codes, words, counts = tokens(texts)
         ends = np.cumsum(counts)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        numbers = np.fromiter((self.numbers.get(w, 0) for w in words), np.int64, len(words))
-        text = numbers[codes] if len(codes) else codes
-        for start, item, doc in self.candidates(symbols(codes, words), text, ends).tolist():
+        # 0 is a word of no item: it matches nothing, and walks see something else in each
+        numbers = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1)).astype(np.int64) + 1
+        shown = np.where(numbers > 0, self.seen[numbers], np.arange(1, len(words) + 1, dtype=np.uint32) * np.uint32(0x9E3779B1) & np.uint32(0xFFFFFFFE))
+        text, symbol = (numbers[codes], shown[codes]) if len(codes) else (codes, np.zeros(0, np.uint32))
+        for start, item, doc in self.candidates(symbol, text, ends).tolist():
             n = len(self.items[item])
             most = int(EDITS * n)
             if best.get((doc, item), (n,))[0] == 0:

@@ -203,11 +203,11 @@ def _salted(rows: DataFrame) -> DataFrame:
 def _marked(rows: DataFrame) -> DataFrame:
     """Adds `again` to rows of hot surroundings that are not their first, and deals those out evenly: they need no comparison.
 
-    The first ones are a minimum combined before the shuffle; there are few, and they are broadcast.
+    The first ones are a minimum combined before the shuffle; up to BROADCAST_ANCHORS of them are broadcast.
     """
     firsts = rows.filter("hot").groupBy("h", "c", "d").agg(F.min(F.struct("doc_id", "pos")).alias("_f"))
     firsts = written(firsts).withColumnsRenamed({"h": "_h", "c": "_c", "d": "_d"})
-    found = rows.join(F.broadcast(firsts), F.col("hot") & (rows.h == firsts._h) & (rows.c == firsts._c) & (rows.d == firsts._d), "left").withColumn("again", F.coalesce(F.struct("doc_id", "pos") != F.col("_f"), F.lit(False)))
+    found = rows.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ANCHORS else firsts, F.col("hot") & (rows.h == firsts._h) & (rows.c == firsts._c) & (rows.d == firsts._d), "left").withColumn("again", F.coalesce(F.struct("doc_id", "pos") != F.col("_f"), F.lit(False)))
     dealt = F.when(F.col("again"), SALTS + 1 + F.pmod(F.xxhash64("doc_id", "pos"), F.lit(1 << 20))).otherwise(F.col("salt")).cast("int")
     return found.withColumn("salt", dealt).drop("_h", "_c", "_d", "_f")
 

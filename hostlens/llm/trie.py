@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import partitions, written
 
-#: Turns of one subtrie and of a task's subtries together, on average. A subtrie of more turns is dealt again by the next turn; a single sequence isn't.
-SUBTRIE, TASK = 50_000, 50_000
+#: Turns of one subtrie at most, and of a task's subtries together, on average. A subtrie of more turns is dealt again by the next turn; a single sequence isn't.
+SUBTRIE, TASK = 4_000, 50_000
 #: Conversations whose ids are close (by this many low bits) are joined to one text before a node's ids are digested: at most 2^13 ids.
 NEAR_BITS = 13
 ROOT = b"\0" * 16

@@ -97,6 +97,26 @@ def test_blocks_of_large_buckets(spark, monkeypatch, blocks):
     assert all(r.n_links == ends[rep[r.doc_id]] for r in rows) and len({(x.a, x.b) for x in links}) == len(links)
 
 
+def test_recall_at_the_threshold(spark):
+    """Pairs of a similarity from 0.80 to 0.82, just where signatures could miss them, end to end; and pairs just below, which must stay apart."""
+    docs, pairs, below = [], [], []
+    for n, n_edits in [(50, 1)] * 250 + [(100, 2)] * 250 + [(145, 3)] * 100 + [(46, 1)] * 100 + [(95, 2)] * 100:
+        words = text(n).split()
+        other = list(words)
+        for k in range(n_edits):
+            other[(k + 1) * n // (n_edits + 1)] = f"new{len(docs)}x{k}"
+        d = len(docs)
+        docs += [(d, " ".join(words)), (d + 1, " ".join(other))]
+        at = similar(bag(docs[d][1]), bag(docs[d + 1][1]))
+        assert 0.77 < at < 0.82
+        (pairs if at >= 0.8 else below).append(d)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = sum(got[d] == got[d + 1] for d in pairs) / len(pairs)
+    assert len(pairs) >= 600 and len(below) >= 100
+    assert found == 1.0  # a miss has a probability under 1e-4 a step
+    assert all(got[d] != got[d + 1] for d in below)
+
+
 @pytest.mark.parametrize("least", [0.6, 0.9])
 def test_other_similarities(spark, least):
     docs, n = [], 0
