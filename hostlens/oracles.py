@@ -245,5 +245,11 @@ SQL |= {
         FROM fx_install_attempt WHERE (host_id, component_key) IN ({_TICKED})) a
       WINDOW w AS (PARTITION BY host_id ORDER BY seq ROWS UNBOUNDED PRECEDING)) b""",
     "report_files": SQL["headless_report"],
+    # What the catalog says of each component.
+    "component_downloads": _with(COMPONENT_TABLES, COMPONENTS) + f"""SELECT host_id, x.* FROM (SELECT host_id, component_key AS k FROM states WHERE (host_id, component_key) IN ({_TICKED})) s JOIN (VALUES
+      ('vcredist_x64', 'C/C++ библиотеки, нужны множеству программ и игр.', 'https://aka.ms/vs/17/release/vc_redist.x64.exe', 'vc_redist.x64.exe', '/install /quiet /norestart', NULL),
+      ('vcredist_x86', '32-битные C/C++ библиотеки (нужны даже на 64-бит Windows).', 'https://aka.ms/vs/17/release/vc_redist.x86.exe', 'vc_redist.x86.exe', '/install /quiet /norestart', NULL),
+      ('directx', 'Легаси-компоненты DirectX (d3dx9, XInput, XAudio) для игр.', 'https://download.microsoft.com/download/1/7/1/1718CCC4-6315-4D8E-9543-8E28A4E18C4C/dxwebsetup.exe', 'dxwebsetup.exe', '/Q', 'https://www.microsoft.com/en-us/download/details.aspx?id=35'))
+      x(component_key, description, url, file_name, silent_args, fallback_url) ON x.component_key = s.k""",
 }
 SQL |= {"progress_streamed": SQL["progress_changes"], "pnp_streamed": SQL["pnp_last_wins"], "driver_streamed": SQL["driver_first_wins"], "bag_inventory": SQL["typed_inventory"], "class_scan": SQL["cpu_text"]}

@@ -87,6 +87,12 @@ def selected(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(keys.select("host_id", "component_key"), ["host_id", "component_key"], "left_semi")
 
 
+def downloads(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """(host_id, component_key, description, url, file_name, silent_args, fallback_url) of the ticked rows of component_rows(): what a run would fetch and start."""
+    known = components.select("component_key", "description", "url", "file_name", "silent_args", "fallback_url")
+    return rows.filter("ticked").select("host_id", "component_key").join(F.broadcast(known), "component_key").select("host_id", *known.columns)  # the catalog: a handful of rows
+
+
 def install_tally(attempts: DataFrame, components: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """Each attempt with its success and the running counts of its host: done, ok and whole percent.
 

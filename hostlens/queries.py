@@ -390,3 +390,9 @@ def selected_tally(t):
     """The tally over the components that are ticked at first."""
     ticked = c.component_rows(c.component_states(_hosts(t), t)).filter("ticked")
     return c.install_tally(t["install_attempt"], c.catalog(t.spark), ticked)
+
+
+@query
+def component_downloads(t):
+    """What a run over the components that are ticked at first would fetch on each host."""
+    return c.downloads(c.component_rows(c.component_states(_hosts(t), t)), c.catalog(t.spark))
