@@ -33,6 +33,8 @@ SIMILARITY = 0.8
 DEVIATIONS, SHARP = 4.0, 1024
 #: Rows of one bucket that one task compares. Buckets whose classes beside the largest have more rows than BLOCKS such blocks are searched by rare shingles.
 BLOCK, BLOCKS = 1000, 8
+#: Ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _SCALE = np.float64(2.0**-53)
 
 
@@ -250,8 +252,8 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         buckets = written(buckets.join(met, ["band", "key"]))
 
         # only the texts of documents that met another one are needed from here on
-        involved = buckets.select("doc_id").distinct()
-        texts = written(docs.join(involved, "doc_id", "left_semi"))
+        involved = written(buckets.select("doc_id").distinct())
+        texts = written(docs.join(F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved, "doc_id", "left_semi"))
         star = written(buckets.filter("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct())
         links = written(_verified(star, texts, similarity))
 
