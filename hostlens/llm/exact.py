@@ -33,14 +33,16 @@ def normalised(text: Column) -> Column:
 def _borders(keys: DataFrame, draw: Column, n_rows: int, ranges: int) -> Column:
     """Borders of equally filled ranges as a constant array of keys (a, b, c).
 
-    From a bounded sample: about ranges x OVERSAMPLE keys of under 300 bytes are sorted by Spark, and one for each range comes to the
-    driver. The array is one literal of the plan, however many ranges there are.
+    From a bounded sample: about ranges x OVERSAMPLE keys of under 300 bytes, which Spark deals to tasks by range; each task cuts its own keys into
+    RANGES parts, and one key for each range comes to the driver. The array is one literal of the plan, however many ranges there are.
     """
     share = min(1.0, ranges * OVERSAMPLE / max(n_rows, 1))
     # a hash of id and raw text decides, so that a rerun draws the same sample, and only what is drawn is normalised
-    drawn = keys.filter(F.pmod(draw, F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    tiles = drawn.select("_key", F.ntile(max(ranges, 1)).over(Window.orderBy("_key")).alias("_tile"))
-    got = sorted({tuple(r[0]) for r in tiles.groupBy("_tile").agg(F.min("_key")).filter("_tile > 1").select("min(_key)").collect()})
+    drawn = written(keys.filter(F.pmod(draw, F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("_key"))
+    dealt = drawn.repartitionByRange(max(ranges // RANGES, 1), "_key").withColumn("_part", F.spark_partition_id())
+    tiles = dealt.withColumn("_tile", F.ntile(RANGES).over(Window.partitionBy("_part").orderBy("_key")))
+    # a key that begins the first range of all is no border, but does no harm
+    got = sorted({tuple(r[0]) for r in tiles.groupBy("_part", "_tile").agg(F.min("_key")).select("min(_key)").collect()})
     return F.from_json(F.lit(json.dumps([dict(zip("abc", k)) for k in got])), "array<struct<a:string,b:string,c:bigint>>")
 
 

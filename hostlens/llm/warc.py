@@ -4,7 +4,8 @@ Records are range-partitioned and sorted by their URL key with the host reversed
 range of keys in order. The index lines of about a thousand records form a compressed block; a sparse
 directory has the first key of each block, and a manifest the first and last key of each file. A
 lookup searches the manifest, then the directory of one file, by bisection, and reads a block and the records it names by
-byte range. All files lie in one shared folder, under names that only a task which succeeded makes known.
+byte range. All files lie in one shared folder, under names that only a task which succeeded makes known. Payloads are exchanged once: which
+pages revisit another one is found by digests and ids, and these short rows go along the same ranges.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import partitions, shared_dir, written
 
 #: A block of the index ends at so many records or so many bytes of archive.
 BLOCK_RECORDS, BLOCK_BYTES = 1000, 8 << 20
+#: A task goes on in a new file once one has so many bytes.
+FILE_BYTES = 1 << 30
 DATE = "1970-01-01T00:00:00Z"
 LEVEL = 6
 
@@ -82,6 +85,48 @@ def parse_record(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 MANIFEST = "part int, first_key string, last_key string, warc string, index string, directory_at bigint, directory_bytes bigint, blocks int, records bigint"
 
 
+class _File:
+    """An archive file and its index while they are written."""
+
+    def __init__(self, system: fs.FileSystem, path: str, part: int):
+        self.part, name = part, f"part-{part:05d}-{uuid.uuid4().hex}"
+        self.names = f"{name}.warc.gz", f"{name}.idx"
+        self.warc, self.index = (system.open_output_stream(posixpath.join(path, x), compression=None) for x in self.names)
+        self.lines: list[str] = []
+        self.directory: list[tuple[str, int, int, int, int]] = []
+        self.at = self.block_at = self.index_at = self.records = 0
+
+    def add(self, key: str, page_id: int | None, url: str, payload: bytes, refers_to: int | None, date: str) -> None:
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        record = _record(page_id, url, payload, digest, refers_to, date)
+        self.warc.write(record)
+        if not self.lines:
+            self.block_key = key
+        self.lines.append(json.dumps({"key": key, "page_id": page_id, "url": url, "digest": digest, "offset": self.at, "length": len(record), "refers_to": refers_to}))
+        self.at, self.records, self.last = self.at + len(record), self.records + 1, key
+        if len(self.lines) == BLOCK_RECORDS or self.at - self.block_at >= BLOCK_BYTES:
+            self._close_block()
+
+    def _close_block(self) -> None:
+        block = zlib.compress("\n".join(self.lines).encode(), LEVEL)
+        self.index.write(block)
+        self.directory.append((self.block_key, self.index_at, len(block), self.block_at, self.at - self.block_at))
+        self.index_at, self.block_at = self.index_at + len(block), self.at
+        self.lines.clear()
+
+    def close(self) -> pa.RecordBatch:
+        """Its row of the manifest."""
+        if self.lines:
+            self._close_block()
+        sparse = zlib.compress(json.dumps(self.directory).encode(), LEVEL)
+        self.index.write(sparse)
+        self.warc.close()
+        self.index.close()
+        row = [self.part, self.directory[0][0], self.last, *self.names, self.index_at, len(sparse), len(self.directory), self.records]
+        kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [x.split()[0] for x in MANIFEST.split(", ")])
+
+
 def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", folder: str | None = None, date: str = DATE) -> Archive:
     """Writes all rows; each is one record.
 
@@ -93,55 +138,32 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     spark = pages.sparkSession
     folder = folder or shared_dir(spark)
     rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url"), F.coalesce(F.col(f"`{payload_col}`"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("same", F.sha2("payload", 256)).withColumn("key", url_key(F.col("url")))
+    rows = rows.withColumn("same", F.unhex(F.sha2("payload", 256))).withColumn("key", url_key(F.col("url")))
+    keys = written(rows.select("key", "page_id", "same"))
     # one row for each payload that occurs twice, counted before the shuffle; a payload that very many rows share is a skewed key of a join that Spark can split
-    first = written(rows.filter("page_id is not null").groupBy("same").agg(F.min("page_id").alias("response"), F.max("page_id").alias("_last")).filter("response <> _last").select("same", "response"))
-    rows = rows.join(first, "same", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("response"), F.col("response")))
-    rows = rows.select("key", "page_id", "url", "payload", "refers_to").repartitionByRange(partitions(spark), "key", "page_id").sortWithinPartitions("key", "page_id")
+    first = keys.filter("page_id is not null").groupBy("same").agg(F.min("page_id").alias("response"), F.max("page_id").alias("_last")).filter("response <> _last").select("same", "response")
+    # a row without URL and payload goes before the rows that it makes revisits
+    marks = keys.join(first, "same").filter("page_id > response").select("key", "page_id", "same", F.col("response").alias("refers_to"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"))
+    rows = rows.select("key", "page_id", "same", F.lit(None).cast("bigint").alias("refers_to"), "url", "payload").unionByName(marks)
+    rows = rows.repartitionByRange(partitions(spark), "key", "page_id").sortWithinPartitions("key", "page_id", "same", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         system, path = _file_system(folder)
         system.create_dir(path, recursive=True)
-        name = f"part-{part:05d}-{uuid.uuid4().hex}"
-        warc = index = None
-        lines: list[str] = []
-        directory: list[tuple[str, int, int, int, int]] = []
-        at = block_at = index_at = records = 0
-        last = ""
-
-        def close_block() -> None:
-            nonlocal index_at, block_at
-            block = zlib.compress("\n".join(lines).encode(), LEVEL)
-            index.write(block)
-            directory.append((json.loads(lines[0])["key"], index_at, len(block), block_at, at - block_at))
-            index_at, block_at = index_at + len(block), at
-            lines.clear()
-
+        file, marked, response = None, None, None
         for batch in batches:
-            for key, page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
-                if warc is None:
-                    warc, index = system.open_output_stream(posixpath.join(path, f"{name}.warc.gz"), compression=None), system.open_output_stream(posixpath.join(path, f"{name}.idx"), compression=None)
-                payload = payload.encode()
-                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                record = _record(page_id, url, payload, digest, refers_to, date)
-                warc.write(record)
-                lines.append(json.dumps({"key": key, "page_id": page_id, "url": url, "digest": digest, "offset": at, "length": len(record), "refers_to": refers_to}))
-                at, records, last = at + len(record), records + 1, key
-                if len(lines) == BLOCK_RECORDS or at - block_at >= BLOCK_BYTES:
-                    close_block()
-        if warc is None:
-            return
-        if lines:
-            close_block()
-        sparse = zlib.compress(json.dumps(directory).encode(), LEVEL)
-        index.write(sparse)
-        warc.close()
-        index.close()
-        row = [part, directory[0][0], last, f"{name}.warc.gz", f"{name}.idx", index_at, len(sparse), len(directory), records]
-        names = [x.split()[0] for x in MANIFEST.split(", ")]
-        kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
+            for key, page_id, same, refers_to, url, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if url is None:
+                    marked, response = (key, page_id, same), refers_to
+                    continue
+                file = file or _File(system, path, part)
+                file.add(key, page_id, url, payload.encode(), response if marked == (key, page_id, same) else None, date)
+                if file.at >= FILE_BYTES:
+                    yield file.close()
+                    file = None
+        if file:
+            yield file.close()
 
     return Archive(folder, written(rows.mapInArrow(run, MANIFEST)))
 
@@ -225,7 +247,7 @@ def read_archive(archive: Archive) -> DataFrame:
         if reader:
             reader.close()
 
-    return files.repartition(n, "part", "block").sortWithinPartitions("part", "block").mapInArrow(run, RECORDS)
+    return files.repartition(n, "warc", "block").sortWithinPartitions("warc", "block").mapInArrow(run, RECORDS)
 
 
 def captures(archive: Archive, keys: DataFrame, key_col: str = "key") -> DataFrame:

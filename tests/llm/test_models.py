@@ -171,6 +171,42 @@ def test_small_blocks_and_files(spark, monkeypatch, tmp_path):
     assert warc.read_archive(warc.write_archive(df.limit(0))).count() == 0
 
 
+def test_files_end_at_a_bound(spark, archive, monkeypatch):
+    rows, stored = archive
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "FILE_BYTES", 4000)
+    small = warc.write_archive(df)
+    files = small.manifest.orderBy("first_key", "last_key").collect()
+    # several files a task, in the order of keys, none with much more than a bound and a record
+    assert len(files) > 2 * len({f.part for f in files}) > 0 and sum(f.records for f in files) == len(rows)
+    assert all(a.last_key <= b.first_key for a, b in zip(files, files[1:]))
+    everything = lambda got: sorted(map(str, got.collect()))
+    assert everything(warc.read_archive(small)) == everything(warc.read_archive(stored))
+    keys = df.select(warc.url_key(F.col("url")).alias("key"))
+    assert everything(warc.captures(small, keys)) == everything(warc.captures(stored, keys))
+
+
+def test_payloads_are_exchanged_once(spark, monkeypatch):
+    df = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("p"), F.col("id") % 7).alias("html"))
+    joins, real = [], warc.written
+
+    def nodes(node):
+        yield node
+        for i in range(node.children().size()):
+            yield from nodes(node.children().apply(i))
+
+    def noted(frame):
+        joins.extend(n for n in nodes(frame._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join")
+        return real(frame)
+
+    monkeypatch.setattr(warc, "written", noted)
+    stored = warc.write_archive(df)
+    # what is joined has no payload, so that only the exchange by range carries it
+    assert joins and not any("html" in str(n.output()) or "payload" in str(n.output()) for n in joins)
+    got = warc.read_archive(stored).groupBy("record_type").count().collect()
+    assert {r["record_type"]: r["count"] for r in got} == {"response": 7, "revisit": 293}
+
+
 def test_url_key(spark):
     urls = ["http://a.B.org:80/X?y", "https://u:p@c.org", "no url", None, "http://h.org#f"]
     got = [r.k for r in spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").orderBy("i").select(warc.url_key(F.col("u")).alias("k")).collect()]
