@@ -65,7 +65,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate with the forest's decision; texts of secrets are not repeated here."""
-    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(spark)).drop("candidate")
+    docs = table(spark, sf_dir, "documents")
+    likely = secrets.letter_steps(docs)
+    return secrets.scan(docs, secrets.train(spark, likely=likely), likely=likely).drop("candidate")
 
 
 def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:

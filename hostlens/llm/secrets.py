@@ -1,7 +1,8 @@
 """Secrets: patterns propose candidates, a random forest trained from labelled findings removes false positives.
 
-Features: length, transitions between classes of characters, coverage by dictionary words, the document's path, and the
-words before and after the candidate. Work on the documents is local to a row: no shuffle.
+Features: length, transitions between classes of characters and between letters, coverage by dictionary words, the document's path, and the
+words before and after the candidate. How usual one letter after another is comes from the documents' own words (letter_steps()): a table of 26 x 26
+numbers. Other work on the documents is local to a row: no shuffle.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -55,10 +57,70 @@ _WORDS = frozenset(w for w in DICTIONARY if len(w) >= 4)
 _LONGEST = max(map(len, _WORDS))
 _CLASS = {**{c: 0 for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: 1 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: 2 for c in "0123456789"}}
 FEATURES = (
-    "log_length entropy lower upper digit other lower_upper letter_digit digit_letter vowel_turns repeats hex dictionary distinct good_before bad_before good_after bad_after assigned quoted path_good path_bad private pattern"
+    "log_length entropy lower upper digit other lower_upper letter_digit digit_letter vowel_turns usual_steps least_usual repeats hex dictionary distinct good_before bad_before good_after bad_after assigned quoted path_good path_bad private pattern"
 ).split()
 
 
+#: Letters as 0 to 25, small ones, and 32 to 57, capitals; any other byte as 63.
+_LETTER = np.full(256, 63, np.uint8)
+_LETTER[ord("a") : ord("z") + 1], _LETTER[ord("A") : ord("Z") + 1] = np.arange(26), np.arange(32, 58)
+#: Usual steps are averaged over windows of so many letters to find the least usual part.
+WINDOW = 8
+
+
+def _letter_pairs(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """26 x first + second of neighbouring letters of texts that end before the places `ends`. A capital begins anew: after a small letter it makes no pair."""
+    x = _LETTER[data]
+    first, second = x[:-1], x[1:]
+    good = (first < 63) & (second < 63) & ~((first < 32) & (second >= 32))
+    cuts = ends - 1
+    good[cuts[(cuts >= 0) & (cuts < len(good))]] = False
+    return (first[good] & 31).astype(np.int64) * 26 + (second[good] & 31)
+
+
+def _likely(*counts: np.ndarray) -> np.ndarray:
+    """26 x 26 logarithms: how much likelier one letter is after another than by chance, each table of counts having an equal say."""
+    shares = [(c.reshape(26, 26) + 0.5) / (c.reshape(26, 26) + 0.5).sum(axis=1, keepdims=True) for c in counts]
+    return np.log(np.mean(shares, axis=0) * 26)
+
+
+_COUNTS = np.bincount(np.concatenate([_letter_pairs(np.frombuffer(w.encode(), np.uint8), np.zeros(0, np.int64)) for w in DICTIONARY]), minlength=676)
+DICTIONARY_STEPS = _likely(_COUNTS)
+
+
+def letter_steps(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """26 x 26: how usual a letter is after another one, by the words of all whole texts and by the dictionary, half each.
+
+    Null and empty texts, and letters beyond ASCII, add nothing; without any text the dictionary decides alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(676, np.int64)
+        for batch in slices(batches, "text", 4 << 20):
+            texts = plain_texts(batch.column(0))
+            ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+            if ends[-1] > ends[0]:
+                total += np.bincount(_letter_pairs(np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends[1:-1] - ends[0]), minlength=676)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["step", "n"])
+
+    # at most 676 rows a task before the exchange, and 676 for the driver
+    rows = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "step bigint, n bigint").groupBy("step").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(676)
+    counts[[r.step for r in rows]] = [r.n for r in rows]
+    return _likely(counts, _COUNTS) if rows else DICTIONARY_STEPS
+
+
+def usual_steps(candidate: str, likely: np.ndarray) -> tuple[float, float]:
+    """(the mean of `likely` over the candidate's neighbouring letters, the mean of its least usual window); 0 without such letters."""
+    steps = likely.ravel()[_letter_pairs(np.frombuffer(candidate.encode("utf-8", "replace"), np.uint8), np.zeros(0, np.int64))]
+    if not len(steps):
+        return 0.0, 0.0
+    sums = np.concatenate([[0.0], np.cumsum(steps)])
+    k = min(WINDOW, len(steps))
+    return float(steps.mean()), float((sums[k:] - sums[:-k]).min() / k)
+
+
 def dictionary_coverage(candidate: str) -> float:
     """The share of characters inside dictionary words, the longest word first at each place."""
     x, i, covered = candidate.lower(), 0, 0
@@ -73,8 +135,8 @@ def _parts(text: str) -> set[str]:
     return set(re.findall(r"[a-z0-9]+", text.lower()))
 
 
-def features(kind: str, candidate: str, before: str, after: str, path: str) -> list[float]:
-    """The numbers named in FEATURES."""
+def features(kind: str, candidate: str, before: str, after: str, path: str, likely: np.ndarray | None = None) -> list[float]:
+    """The numbers named in FEATURES; likely: letter_steps(), or the dictionary's."""
     n = max(len(candidate), 1)
     counts = Counter(candidate)
     classes = [_CLASS.get(c, 3) for c in candidate]
@@ -85,7 +147,7 @@ def features(kind: str, candidate: str, before: str, after: str, path: str) -> l
     any_of = lambda words, found: float(bool(found.intersection(words)))
     return [
         math.log1p(n), entropy, *(classes.count(k) / n for k in range(4)), (turns[0, 1] + turns[1, 0]) / n, (turns[0, 2] + turns[1, 2]) / n, (turns[2, 0] + turns[2, 1]) / n,
-        sum(a != b for a, b in zip(vowels, vowels[1:])) / max(len(vowels) - 1, 1), sum(a == b for a, b in zip(candidate, candidate[1:])) / n,
+        sum(a != b for a, b in zip(vowels, vowels[1:])) / max(len(vowels) - 1, 1), *usual_steps(candidate, DICTIONARY_STEPS if likely is None else likely), sum(a == b for a, b in zip(candidate, candidate[1:])) / n,
         float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", candidate))), dictionary_coverage(candidate), len(counts) / n, any_of(GOOD_WORDS, near), any_of(BAD_WORDS, near), any_of(GOOD_WORDS, far), any_of(BAD_WORDS, far),
         float(bool(re.search(r"(?:=>|:=|=|:)[ \t]{0,4}[\"']?$", before))), float(before[-1:] in ("'", '"') and before != ""), any_of(GOOD_PATHS, names), any_of(BAD_PATHS, names), float(kind == "private_key"), float(kind == "assigned"),
     ]
@@ -148,6 +210,26 @@ def labelled_findings(n: int = 6000, seed: int = SEED) -> list[tuple[str, str, s
             else:
                 before += " "
         out.append((kind, value, before[-REACH:], after[:REACH], path, int(secret)))
+    # digests in base 64 and names in camel case, and secrets of the same letters
+    for i in range(n // 3):
+        secret, sort = i % 2 == 0, i // 2 % 2
+        before, after, path, kind = words(rng.randint(0, 4)) + " ", " " + words(rng.randint(1, 6)), rng.choice(paths), "token"
+        quote = rng.choice(['"', "'", ""])
+        if sort == 0:
+            value = draw(symbols + "+/", rng.choice([22, 27, 32, 43, 64, 86])) + rng.choice(["", "=", "=="])
+            if secret:
+                kind, before, after = "assigned", before + rng.choice(["token", "secret", "password", "api_key", "auth"]) + rng.choice([" = ", "=", ": "]) + quote, quote + after
+            else:
+                value = rng.choice(["", "sha256-", "sha384-", "sha512-", "sha1-"]) + value
+                before += rng.choice(["integrity", "digest", "checksum", "hash", "fingerprint", "etag"]) + rng.choice([" ", ": ", "=", '": ']) + quote
+        elif secret:
+            value = draw(symbols, rng.randint(17, 40))
+            before += rng.choice(["bearer ", "key ", "login ", "authorization: ", "token "])
+        else:
+            value = "".join(rng.choice(DICTIONARY).title() for _ in range(rng.randint(2, 5))) + rng.choice(["", "V", "Test"]) + str(rng.randint(0, 99)) + rng.choice(["", "Test", "Impl"])
+            value = value if rng.random() < 0.6 else value[0].lower() + value[1:]
+            before += rng.choice(["", "class ", "method ", "in ", "call "])
+        out.append((kind, value, before[-REACH:], after[:REACH], path, int(secret)))
     # names with other parts, URL user-info and dotted tokens, each with false ones
     for i in range(n // 3):
         secret, sort = i % 2 == 0, i // 2 % 3
@@ -167,10 +249,10 @@ def labelled_findings(n: int = 6000, seed: int = SEED) -> list[tuple[str, str, s
     return out
 
 
-def train(spark: SparkSession, findings: DataFrame | None = None, max_train: int = MAX_TRAIN) -> RandomForestClassificationModel:
-    """The forest, from findings of (kind, candidate, before, after, path, label); None: made ones. Rows with a null are left out."""
+def train(spark: SparkSession, findings: DataFrame | None = None, max_train: int = MAX_TRAIN, likely: np.ndarray | None = None) -> RandomForestClassificationModel:
+    """The forest, from findings of (kind, candidate, before, after, path, label); None: made ones. Rows with a null are left out. likely: as in scan()."""
     if findings is None:
-        made = [(features(*x[:5]), float(x[5])) for x in labelled_findings()]
+        made = [(features(*x[:5], likely), float(x[5])) for x in labelled_findings()]
         rows = spark.createDataFrame(made, "x array<double>, label double")
     else:
         findings = findings.select("kind", "candidate", "before", "after", "path", F.col("label").cast("double").alias("label")).dropna()
@@ -180,7 +262,7 @@ def train(spark: SparkSession, findings: DataFrame | None = None, max_train: int
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = [features(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(5)))]
+                x = [features(*row, likely) for row in zip(*(batch.column(i).to_pylist() for i in range(5)))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(5)], ["x", "label"])
 
         rows = findings.mapInArrow(run, "x array<double>, label double")
@@ -189,10 +271,11 @@ def train(spark: SparkSession, findings: DataFrame | None = None, max_train: int
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(rows)
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = THRESHOLD, likely: np.ndarray | None = None) -> DataFrame:
     """(doc_id, start, end, kind, candidate, score, kept) of every candidate in every whole text; positions in code points, end exclusive.
 
-    kept: the forest gives it a probability of at least the threshold; the others are the removed false positives.
+    kept: the forest gives it a probability of at least the threshold; the others are the removed false positives. likely: letter_steps() of the
+    documents, the same that train() was given; None: the dictionary's.
 
     * Null and empty texts have no candidates. A null path, or path_col = None, is the empty path.
     * Repeated rows and null ids are each scanned. Other columns are ignored. An empty table gives an empty result.
@@ -205,7 +288,7 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str =
             for doc_id, text, where in zip(batch.column(0).to_pylist(), plain_texts(batch.column(1)).to_pylist(), batch.column(2).to_pylist()):
                 for a, b, kind in propose(text):
                     ids.append(doc_id), starts.append(a), ends.append(b), kinds.append(kind), found.append(text[a:b])
-                    xs.append(features(kind, text[a:b], text[max(0, a - REACH) : a], text[b : b + REACH], where))
+                    xs.append(features(kind, text[a:b], text[max(0, a - REACH) : a], text[b : b + REACH], where, likely))
             if ids:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(kinds, pa.string()), pa.array(found, pa.string()), pa.array(xs, pa.list_(pa.float64()))],

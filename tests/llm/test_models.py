@@ -70,6 +70,20 @@ def test_forest_on_fresh_findings(spark):
     assert secrets.scan(docs.limit(0), secrets.train(spark, own)).count() == 0
 
 
+def test_letter_steps(spark):
+    texts = ["The theory of the Thing", None, "", "aB Bc BC", "étude th", "t", "h the"] * 3
+    counts = np.zeros((26, 26))
+    for t in texts:
+        for a, b in zip(t or "", (t or "")[1:]):
+            if a.isascii() and b.isascii() and a.isalpha() and b.isalpha() and not (a.islower() and b.isupper()):
+                counts[ord(a.lower()) - 97, ord(b.lower()) - 97] += 1
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert np.allclose(secrets.letter_steps(docs), secrets._likely(counts.ravel(), secrets._COUNTS))
+    assert np.array_equal(secrets.letter_steps(docs.limit(0)), secrets.DICTIONARY_STEPS)
+    usual = lambda x: secrets.usual_steps(x, secrets.DICTIONARY_STEPS)
+    assert usual("ParserWorkerLedger")[0] > 0.3 > usual("kQxVbZjWqTgXfHdK")[0] and usual("1234") == usual("") == (0, 0) and usual("é\ud800") == (0, 0)
+
+
 def test_proposals_do_not_overlap():
     text = 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" -----BEGIN RSA PRIVATE KEY----- abcd1234abcd1234abcd'
     spans = secrets.propose(text)
