@@ -380,7 +380,7 @@ def inventory_without_seq(t):
     """The inventory of snapshots that list their rows in order and number none of them."""
     folder, tables = shared_folder(t.spark), {}
     for name in ("pnp_entity", "signed_driver", "video_controller", "network_adapter", "sound_device", "usb_controller", "desktop_monitor", "physical_memory", "disk_drive", "physical_disk", "processor", "base_board", "bios"):
-        t[name].repartitionByRange(3, "host_id").sortWithinPartitions("host_id", "seq").drop("seq").write.parquet(f"{folder}/{name}")
+        t[name].repartitionByRange(max(3, t.parts(name)), "host_id", "seq").sortWithinPartitions("host_id", "seq").drop("seq").write.parquet(f"{folder}/{name}")
         tables[name] = read_in_order(t.spark, folder, name)
     return r.grouped(inv.full_inventory(tables)).withColumn("pos", F.col("pos").cast("bigint")).drop("seq")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .tables import SCHEMAS, conform
 
@@ -105,6 +106,10 @@ SELECT host_id, seq, concat('{"Name": ', CASE seq % 7 WHEN 0 THEN '["a b", "c"]'
 FROM fx_pnp_entity""",
 }
 _BASE = ("supplier", "part", "customer", "orders", "lineitem", "events")
+#: What the large ones are dealt by before a table is made of them: rows of one order, device or download stay together.
+DEALT = {"orders": "o_orderkey div 3", "lineitem": "l_orderkey", "events": "user_id"}
+#: So many rows of them come to one task, however large the table is.
+TASK_ROWS = 250_000
 
 
 def _needs(sql: str) -> tuple[list[str], list[str]]:
@@ -115,7 +120,22 @@ class Derived(dict):
     """Table name -> DataFrame, made on first use. A table that the test data cannot fill is missing, as on a machine without that class."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._rows = spark, sf_dir, {}
+
+    def _base(self, name: str) -> DataFrame:
+        """A table of the test data; a large one in tasks of TASK_ROWS, which sorts and aggregates over it keep."""
+        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return rows.repartition(self._parts(name), F.expr(DEALT[name])) if name in DEALT else rows
+
+    def _parts(self, name: str) -> int:
+        if name not in self._rows:
+            self._rows[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").count()  # from the files' footers
+        return max(self.spark.sparkContext.defaultParallelism, -(-self._rows[name] // TASK_ROWS))
+
+    def parts(self, name: str) -> int:
+        """Into how many tasks a derived table goes, by the rows of the tables that it is made of."""
+        base, derived = _needs(SQL[name])
+        return max([self._parts(t) for t in base] + [self.parts(t) for t in derived])
 
     def _raw(self, name: str) -> DataFrame:
         base, derived = _needs(SQL[name])
@@ -124,7 +144,7 @@ class Derived(dict):
             text = re.sub(rf"\b{t}\b", f"{{{t}}}", text)
         for t in derived:
             text = re.sub(rf"\bfx_{t}\b", f"{{fx_{t}}}", text)
-        frames = {t: self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet") for t in base} | {f"fx_{t}": self._raw(t) for t in derived}
+        frames = {t: self._base(t) for t in base} | {f"fx_{t}": self._raw(t) for t in derived}
         return self.spark.sql(text, **frames)
 
     def raw(self, name: str) -> DataFrame:

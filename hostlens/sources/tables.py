@@ -91,5 +91,6 @@ def read_in_order(spark: SparkSession, folder: str, name: str) -> DataFrame:
         return spark.createDataFrame([], schema(name))
     files = sorted(rows.inputFiles(), key=lambda f: f.rsplit("/", 1)[-1])
     place = spark.createDataFrame([(f.rsplit("/", 1)[-1], i) for i, f in enumerate(files)], "file string, place bigint")
-    found = rows.withColumn("file", F.element_at(F.split("file_path", "/"), -1)).join(place, "file")
+    # the names are broadcast, never the rows: by their compressed size Spark would take whole tables to the driver
+    found = rows.withColumn("file", F.element_at(F.split("file_path", "/"), -1)).join(F.broadcast(place), "file")
     return conform(found.withColumn("seq", F.shiftleft("place", 40) + F.col("row_index")), name)

@@ -9,7 +9,7 @@ from hostlens.functions import bags as b
 from hostlens.functions import values as v
 from hostlens.plans import inventory as inv
 from hostlens.sources import bags, classes
-from hostlens.sources.tables import SCHEMAS, read_tolerant
+from hostlens.sources.tables import SCHEMAS, read_in_order, read_tolerant
 
 
 def bag(spark, *texts):
@@ -99,3 +99,12 @@ def test_dates_by_zone(spark):
             assert [r.d for r in df.select("i", v.cim_date_in(F.col("a"), F.col("z")).alias("d")).orderBy("i").collect()] == [w for *_, w in cases]
         finally:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_rows_without_seq_are_never_broadcast(spark, tmp_path):
+    """Only the names of files are: a small compressed table may be large in the driver."""
+    spark.range(1000).selectExpr("id % 7 AS host_id", "'b' AS manufacturer").repartition(3).write.parquet(f"{tmp_path}/bios")
+    rows = read_in_order(spark, f"file://{tmp_path}", "bios")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "SortMergeJoin" not in plan
+    assert rows.select("seq").distinct().count() == 1000
