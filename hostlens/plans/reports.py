@@ -116,16 +116,22 @@ def write_text_report(report: DataFrame, path: str) -> None:
     report.repartition("host_id").sortWithinPartitions("host_id", "line_no").select("host_id", "line").write.partitionBy("host_id").text(path)
 
 
+#: So many lines of report files come to one task.
+TASK_LINES = 250_000
+
+
 def write_report_files(report: DataFrame, path: str, lines: int = 1_000_000) -> None:
     """The reports of all hosts in files of about so many lines, a host's report in one of them, and a manifest.
 
     path/lines/file=<n>: text files of host, line number and line, separated by tabs, in order. path/manifest: (host_id, file, first_line, n_lines), first_line from 1.
-    The number of files follows from the number of lines, not of hosts.
+    The number of files follows from the number of lines, not of hosts; one task writes many of them, since each task sends the driver an account of its own.
     """
-    files = max(1, -(-report.count() // lines))
+    total = report.count()
+    files = max(1, -(-total // lines))
+    tasks = min(files, max(report.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_LINES)))
     rows = report.withColumn("file", F.pmod(F.xxhash64("host_id"), F.lit(files)))
     text = F.concat_ws("\t", F.col("host_id").cast("string"), F.col("line_no").cast("string"), "line")
-    dealt = rows.repartition(files, "file").sortWithinPartitions("file", "host_id", "line_no")
+    dealt = rows.repartition(tasks, "file").sortWithinPartitions("file", "host_id", "line_no")
     dealt.select("file", text.alias("value")).write.partitionBy("file").text(f"{path}/lines")
     sizes = rows.groupBy("file", "host_id").agg(F.count(F.lit(1)).alias("n_lines"))
     before = Window.partitionBy("file").orderBy("host_id").rowsBetween(Window.unboundedPreceding, -1)
