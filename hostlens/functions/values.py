@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,11 @@ def text(value: Column) -> Column:
     return F.coalesce(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""), F.lit(""))
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """The rows with a column that is computed once for each: what is made of it, conditions included, reads it and doesn't repeat it."""
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != name], F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def joined_text(values: Column) -> Column:
     """An array as one text, parts separated by a comma and a space; null is empty."""
     return F.coalesce(F.array_join(values, ", ", ""), F.lit(""))

@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.functions.devices import disk_media
-from hostlens.functions.values import cim_date, integer, key, text
+from hostlens.functions.values import cim_date, integer, key, once, text
 
 
 def pnp_codes(pnp_entity: DataFrame) -> DataFrame:
     """(host_id, key, error_code): of the rows of one device the last counts; an absent code is 0."""
-    rows = pnp_entity.select("host_id", key(text(F.col("pnp_device_id"))).alias("key"), "seq", integer(F.col("error_code")).alias("error_code"))
+    rows = once(pnp_entity, "_id", text(F.col("pnp_device_id"))).select("host_id", key(F.col("_id")).alias("key"), "seq", integer(F.col("error_code")).alias("error_code"))
     return rows.filter("key <> ''").groupBy("host_id", "key").agg(F.max_by("error_code", "seq").alias("error_code"))
 
 
 def driver_records(signed_driver: DataFrame, zone_minutes: int = 0) -> DataFrame:
     """(host_id, key, driver_version, driver_date, driver_provider): of the rows of one device the first counts."""
-    rows = signed_driver.select("host_id", key(text(F.col("device_id"))).alias("key"), "seq", F.struct("driver_version", "driver_date", "provider").alias("r")).filter("key <> ''")
+    rows = once(signed_driver, "_id", text(F.col("device_id"))).select("host_id", key(F.col("_id")).alias("key"), "seq", F.struct("driver_version", "driver_date", "provider").alias("r")).filter("key <> ''")
     first = rows.groupBy("host_id", "key").agg(F.min_by("r", "seq").alias("r"))
     # texts are cleaned once a device, not once a row
     return first.select("host_id", "key", text(F.col("r.driver_version")).alias("driver_version"), cim_date(F.col("r.driver_date"), zone_minutes).alias("driver_date"), text(F.col("r.provider")).alias("driver_provider"))
@@ -25,7 +25,7 @@ def driver_records(signed_driver: DataFrame, zone_minutes: int = 0) -> DataFrame
 
 def disk_kinds(physical_disk: DataFrame) -> DataFrame:
     """(host_id, key, kind) by the disk's name: of the rows with a kind the last counts."""
-    rows = physical_disk.select("host_id", key(text(F.col("friendly_name"))).alias("key"), "seq", disk_media(integer(F.col("media_type")), integer(F.col("bus_type"))).alias("kind"))
+    rows = once(physical_disk, "_id", text(F.col("friendly_name"))).select("host_id", key(F.col("_id")).alias("key"), "seq", disk_media(integer(F.col("media_type")), integer(F.col("bus_type"))).alias("kind"))
     return rows.filter("key <> '' and kind <> ''").groupBy("host_id", "key").agg(F.max_by("kind", "seq").alias("kind"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.functions import devices as d
-from hostlens.functions.values import cim_date, gib, integer, key, parts, tenths, text, unsigned
+from hostlens.functions.values import cim_date, gib, integer, key, once, parts, tenths, text, unsigned
 from hostlens.operators.lookups import disk_kinds, driver_records, first_rows, pnp_codes
 
 DEVICE = "host_id src_ord seq category name manufacturer detail pnp_device_id error_code health health_text driver_version driver_date driver_provider".split()
@@ -141,7 +141,7 @@ def reported_keys(t: Tables) -> DataFrame:
     rows = [t["video_controller"], t["disk_drive"], t["network_adapter"].filter("physical_adapter"), t["sound_device"], named, t["usb_controller"]]
     out = None
     for r in rows:
-        k = r.select("host_id", key(text(F.col("pnp_device_id"))).alias("key"))
+        k = once(r, "_id", text(F.col("pnp_device_id"))).select("host_id", key(F.col("_id")).alias("key"))
         out = k if out is None else out.union(k)
     return out.filter("key <> ''")
 
@@ -170,7 +170,7 @@ def full_inventory(t: Tables, strict_vendor: bool = False, zone_minutes: int = 0
     """
     code = integer(F.col("error_code"))
     failed = F.col("error_code") > 0
-    pnp = t["pnp_entity"].select("host_id", key(text(F.col("pnp_device_id"))).alias("key"), "seq", code.alias("code"), F.when(failed, F.col("seq")).alias("failed"), F.struct("seq", "pnp_device_id", "name", "pnp_class", "error_code", "manufacturer").alias("r"))
+    pnp = once(t["pnp_entity"], "_id", text(F.col("pnp_device_id"))).select("host_id", key(F.col("_id")).alias("key"), "seq", code.alias("code"), F.when(failed, F.col("seq")).alias("failed"), F.struct("seq", "pnp_device_id", "name", "pnp_class", "error_code", "manufacturer").alias("r"))
     pnp = pnp.filter("key <> ''").groupBy("host_id", "key").agg(F.max_by("code", "seq").alias("_code"), F.min_by("r", "failed").alias("_r"), F.min("failed").alias("_failed"))
     found = _scans(t, strict_vendor, zone_minutes).join(pnp, ["host_id", "key"], "full").filter("src_ord is not null or _failed is not null")
     found = found.join(driver_records(t["signed_driver"], zone_minutes).withColumnsRenamed({c: f"_{c}" for c in DRIVER}), ["host_id", "key"], "left")
