@@ -31,20 +31,18 @@ def progress_changes(events: DataFrame) -> DataFrame:
 class Changes(StatefulProcessor):
     """The changes of each download in event time, and its final event once nothing has come for `idle_ms`.
 
-    Downloads share their state by a hash, so that a batch takes one turn of Python and few calls to the state store for many of them. State of such a group:
-    the events that the watermark hasn't passed yet, the last one of each download that it has, and one timer: at the first waiting event or, where a download has
-    none, idle_ms after its last one. A final event clears the download's state.
+    State of a download: the events that the watermark hasn't passed yet, the last one that it has, and one timer: at the first waiting event or, where
+    none waits, idle_ms after the last one. A final event clears the state.
     """
 
-    FIELDS = ["download_id", "seq", "done_bytes", "total_bytes", "pct", "at_ms"]
-    EVENT = "download_id bigint, seq bigint, done_bytes bigint, total_bytes bigint, pct int, at_ms bigint"
+    EVENT = "seq bigint, done_bytes bigint, total_bytes bigint, pct int, at_ms bigint"
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting, self.last = handle.getListState("waiting", self.EVENT), handle.getListState("last", self.EVENT)
+        self.waiting, self.last = handle.getListState("waiting", self.EVENT), handle.getValueState("last", self.EVENT)
 
     def _wake(self, at_ms: int, now: int) -> None:
         """One timer, the earliest asked for. Those that are due by now are still listed and go by themselves."""
@@ -54,61 +52,52 @@ class Changes(StatefulProcessor):
             self.handle.deleteTimer(other)
         self.handle.registerTimer(at_ms)
 
-    def _rows(self, state) -> pd.DataFrame:
-        return pd.DataFrame([tuple(e) for e in state.get()] if state.exists() else [], columns=self.FIELDS, dtype="int64")
-
-    def _put(self, state, rows: pd.DataFrame) -> None:
-        if len(rows):
-            state.put(list(rows.itertuples(index=False, name=None)))
-        else:
-            state.clear()
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for events in rows:
-            events = events.loc[events["download_id"].notna(), self.FIELDS].astype("int64")  # rows without a download only move the watermark
-            if len(events):
-                self.waiting.appendList(list(events.itertuples(index=False, name=None)))
-                first = min(int(events["at_ms"].min()), first) if first is not None else int(events["at_ms"].min())
-        if first is not None:
-            self._wake(first, timerValues.getCurrentWatermarkInMs())
+        if key[0] is not None and not pd.isna(key[0]):  # rows without a download only move the watermark
+            for events in rows:
+                events = events[["seq", "done_bytes", "total_bytes", "pct", "at_ms"]]
+                self.waiting.appendList([tuple(int(x) for x in r) for r in events.itertuples(index=False, name=None)])
+                self._wake(int(events["at_ms"].min()), timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = self._rows(self.waiting)
-        passed = waiting["at_ms"] <= now
-        due, later = waiting[passed].sort_values(self.FIELDS), waiting[~passed]
-        events = pd.concat([self._rows(self.last).assign(new=False), due.assign(new=True)]).sort_values("download_id", kind="stable")
-        before = events.groupby("download_id")["pct"].shift(fill_value=-1)
-        changes = events[events["new"] & (events["pct"] != before)]
-        last = events.drop_duplicates("download_id", keep="last")
-        goes_on = last["download_id"].isin(later["download_id"])
-        ends = ~goes_on & (last["at_ms"] + self.idle_ms <= now)
-        if len(due):
-            self._put(self.waiting, later)
-        if len(due) or ends.any():
-            self._put(self.last, last.loc[~ends, self.FIELDS])
-        wake = [*later["at_ms"], *(last.loc[~ends & ~goes_on, "at_ms"] + self.idle_ms)]
-        if wake:
-            self._wake(int(min(wake)), now)
-        out = pd.concat([changes.assign(is_final=False), last[ends].assign(is_final=True)])
-        if len(out):
-            yield out[["download_id", "seq", "done_bytes", "total_bytes", "pct", "is_final"]].astype({"pct": "int32", "is_final": "bool"})
+        waiting = sorted(tuple(e) for e in self.waiting.get()) if self.waiting.exists() else []
+        due, later = [e for e in waiting if e[-1] <= now], [e for e in waiting if e[-1] > now]
+        last = tuple(self.last.get()) if self.last.exists() else None
+        out = []
+        for event in due:
+            if event[3] != (last[3] if last else -1):
+                out.append((*event[:4], False))
+            last = event
+        if due:
+            self.last.update(last)
+            self.waiting.clear()
+            if later:
+                self.waiting.put(later)
+        if later:
+            self._wake(min(e[-1] for e in later), now)
+        elif last and last[-1] + self.idle_ms <= now:
+            out.append((*last[:4], True))
+            self.last.clear()
+        elif last:
+            self._wake(last[-1] + self.idle_ms, now)
+        if out:
+            yield pd.DataFrame([(key[0], *r) for r in out], columns=["download_id", "seq", "done_bytes", "total_bytes", "pct", "is_final"])
 
     def close(self) -> None:
         pass
 
 
-def progress_stream(events: DataFrame, idle: str = "10 minutes", delay: str = "0 seconds", groups: int = 1024) -> DataFrame:
+def progress_stream(events: DataFrame, idle: str = "10 minutes", delay: str = "0 seconds") -> DataFrame:
     """Streaming form, with the columns of the batch form: changes once the watermark has passed them, and the final event of a download once
     it has been idle in event time.
 
     events: download_id, seq, done_bytes, total_bytes and the event time `at`, which must not fall while seq grows. Batches may bring events out of order
     within `delay`. A download that goes on after `idle` counts as a new one. A row of null download_id moves the watermark and no more: a source
-    that ends sends one. One group's state and its events of a batch are held at once; more `groups` make them smaller. Needs the RocksDB state store.
+    that ends sends one. Needs the RocksDB state store.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     rows = events.withWatermark("at", delay).select("download_id", "seq", "done_bytes", "total_bytes", percent(F.col("done_bytes"), F.col("total_bytes")).alias("pct"), F.unix_millis("at").alias("at_ms"), "at")
-    out = rows.withColumn("part", F.pmod(F.xxhash64("download_id"), F.lit(groups))).groupBy("part").transformWithStateInPandas(Changes(idle_ms), outputStructType=CHANGE, outputMode="Append", timeMode="EventTime")
+    out = rows.groupBy("download_id").transformWithStateInPandas(Changes(idle_ms), outputStructType=CHANGE, outputMode="Append", timeMode="EventTime")
     return out.select("download_id", "seq", "done_bytes", "total_bytes", "pct", clamp(F.col("pct")).alias("shown"), "is_final")
