@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: White space of any script: what `\\s` with (?U) matches.
+WHITE = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def text(value: Column) -> Column:
-    """Null is empty; white space of any script goes at both ends."""
-    return F.coalesce(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    """Null is empty; white space of any script goes at both ends. The pattern, which tries every position, runs only where there is some."""
+    edge = lambda at: F.lit(WHITE).contains(F.substring(value, at, 1))
+    return F.coalesce(F.when(edge(1) | edge(-1), F.regexp_replace(value, r"(?U)^\s+|\s+$", "")).otherwise(value), F.lit(""))
 
 
 def once(rows: DataFrame, name: str, value: Column) -> DataFrame:

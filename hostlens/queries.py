@@ -312,7 +312,7 @@ def bag_inventory(t):
             table = table.withColumns({"cores": F.col("cores") + 0.25, "threads": F.col("threads").cast("string")})
         if name == "base_board":  # a text as a list of one
             table = table.withColumn("manufacturer", F.array("manufacturer"))
-        bag = bags.bag_rows(table, name)
+        bag = bags.variant_rows(table, name)
         rows = bag if rows is None else rows.unionByName(bag)
     bags.write_bags(rows, folder)
     return inv.typed_inventory(bags.BagTables(bags.read_bags(t.spark, folder)))

@@ -37,9 +37,15 @@ def parsed(rows: DataFrame) -> DataFrame:
     return rows.select("host_id", "seq", F.coalesce(F.try_parse_json("properties"), F.parse_json(F.lit("{}"))).alias("properties"), "class")
 
 
+def variant_rows(table: DataFrame, name: str) -> DataFrame:
+    """A typed table as bag rows whose properties are VARIANT at once: no JSON is written and parsed. Nulls are null properties."""
+    properties = F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in table.columns if c not in ("host_id", "seq")]))
+    return table.select("host_id", "seq", properties.alias("properties"), F.lit(name).alias("class"))
+
+
 def write_bags(rows: DataFrame, folder: str) -> None:
-    """Bag rows as Parquet, one folder a class."""
-    parsed(rows).write.partitionBy("class").parquet(folder)
+    """Bag rows as Parquet, one folder a class; JSON text is parsed."""
+    (parsed(rows) if dict(rows.dtypes)["properties"] == "string" else rows).write.partitionBy("class").parquet(folder)
 
 
 def read_bags(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -108,3 +109,21 @@ def test_rows_without_seq_are_never_broadcast(spark, tmp_path):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "SortMergeJoin" not in plan
     assert rows.select("seq").distinct().count() == 1000
+
+
+def test_bags_are_read_in_methods_that_the_jvm_compiles(spark, tmp_path, capsys):
+    """A method of over 8,000 bytes stays interpreted, however many rows it reads."""
+    folder = f"file://{tmp_path}/bags"
+    rows = spark.createDataFrame([(1, 0, "n", 28)], "host_id bigint, seq bigint, name string, error_code int").withColumn("pnp_device_id", F.array(F.lit("p"), F.lit(None)))
+    bags.write_bags(bags.variant_rows(rows, "video_controller"), folder)
+    table = bags.BagTables(bags.read_bags(spark, folder))["video_controller"]
+    table.explain("codegen")
+    assert all(int(x) < 8000 for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out))
+    assert [(r.name, r.error_code, r.pnp_device_id, r.driver_date) for r in table.collect()] == [("n", 28, "p, ", "")]
+
+
+def test_white_space_of_any_script_goes(spark):
+    """The characters that text() looks for at the ends are those of the pattern."""
+    ends = spark.range(0x10000).filter("id < 55296 or id > 57343").select(F.lit("a").alias("a"), F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    found = ends.filter(v.text(F.concat("c", "a", "c")) != F.regexp_replace(F.concat("c", "a", "c"), r"(?U)^\s+|\s+$", ""))
+    assert found.count() == 0 and ends.filter(v.text(F.concat("c", "a")) == "a").count() == len(v.WHITE)
